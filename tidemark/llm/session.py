@@ -38,16 +38,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(did, th, text): did is doc_id with null as the least long; th tells texts of one doc_id apart.
+def keyed(docs: DataFrame, hashed: bool = True) -> DataFrame:
+    """(did, th, text): did is doc_id with null as the least long; th, a hash of the text, tells texts of one doc_id
+    apart. Without hashed, th is 0 where every doc_id stands once, as rows sort and compress better then.
 
     Rows with equal doc_id and text are one document wherever documents are compared.
     """
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"),
-        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
-    )
+    did = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    hashed = hashed or not docs.select(did).groupBy("did").count().where("count > 1").isEmpty()
+    return docs.select(did, (F.xxhash64(text) if hashed else F.lit(0).cast("long")).alias("th"), text.alias("text"))
 
 
 def doc_id_of(did: str | Column) -> Column:

@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from .session import n_partitions
 from .textwords import U64, mix
 
-#: Cells of a row, as powers of two. Two rows of two bits at most: 2 * 2 * 2**26 / 8 = 32 MiB broadcast.
-LEAST_BITS, MOST_BITS = 14, 26
+#: Cells of a row, as powers of two. Two rows of a bit (two, with `hot`): 2 * 2**27 / 8 = 32 MiB broadcast at most.
+LEAST_BITS, MOST_BITS = 14, 27
 #: Cells of a row that are merged together.
 RANGE_BITS = 20
 #: Keys that a task gathers before it sends the cells.
-FLUSH = 1 << 21
+FLUSH = 1 << 19
 SCHEMA = "part int, cells binary, counts binary"
 
 
@@ -57,7 +57,7 @@ def _send(keys: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
 class Sketch:
     """The merged sketch as it is read: packed bits of both rows."""
 
-    def __init__(self, bits: int, repeated: np.ndarray, hot: np.ndarray):
+    def __init__(self, bits: int, repeated: np.ndarray, hot: np.ndarray | None):
         self.bits, self._repeated, self._hot = bits, repeated, hot
 
     @staticmethod
@@ -77,7 +77,7 @@ class Sketch:
         return self._both(self._hot, keys)
 
 
-def build(rows: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], bits: int, least: int = 2, hot: int = 1 << 31) -> Broadcast:
+def build(rows: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], bits: int, least: int = 2, hot: int | None = None) -> Broadcast:
     """Count the keys that keys_of yields for each task's batches and broadcast the merged Sketch."""
     spark = rows.sparkSession
     width = 1 << min(RANGE_BITS, bits)
@@ -100,16 +100,18 @@ def build(rows: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterato
                 at = np.cumsum(np.frombuffer(zlib.decompress(cells), dtype=np.uint32).astype(np.int64))
                 sums.setdefault(part, np.zeros(width, dtype=np.int64))[at] += np.frombuffer(zlib.decompress(counts), dtype=np.uint32)
         for part, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([zlib.compress(np.packbits(total >= bound).tobytes(), 1)], pa.binary()) for bound in (least, hot))], ["part", "cells", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([zlib.compress(np.packbits(total >= bound).tobytes(), 1)], pa.binary()) for bound in (least, hot or 1 << 62))], ["part", "cells", "counts"])
 
     parts = (2 << bits) // width
     # One partition for each range or fewer: what a task holds is bounded by the ranges it gets.
     sent = rows.mapInArrow(count, SCHEMA).repartition(max(1, min(parts, n_partitions(spark))), "part").mapInArrow(merge, SCHEMA)
-    repeated, found_hot = (np.zeros((2 << bits) // 8, dtype=np.uint8) for _ in range(2))
+    repeated = np.zeros((2 << bits) // 8, dtype=np.uint8)
+    found_hot = None if hot is None else repeated.copy()
     for part, a, b in sent.select(F.col("part"), F.col("cells"), F.col("counts")).toLocalIterator():
         at = slice(part * width // 8, (part + 1) * width // 8)
         repeated[at] = np.frombuffer(zlib.decompress(bytes(a)), dtype=np.uint8)
-        found_hot[at] = np.frombuffer(zlib.decompress(bytes(b)), dtype=np.uint8)
+        if found_hot is not None:
+            found_hot[at] = np.frombuffer(zlib.decompress(bytes(b)), dtype=np.uint8)
     return spark.sparkContext.broadcast(Sketch(bits, repeated, found_hot))
 
 

@@ -2,7 +2,7 @@
 
 A window is `window` consecutive words. First pass: every window's count is overestimated by the count of its least
 gram (`gram` words), which equal windows share; partition sketches of those grams are merged. Second pass: only
-windows estimated as repeated are grouped, exactly, by 128-bit hashes of their words. Within a task later copies of
+windows estimated as repeated are grouped, exactly, by 96-bit hashes of their words. Within a task later copies of
 a window are marked at once and only the first goes on, so a passage in a third of all documents costs each task
 one row a window.
 
@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .session import bytes_estimate, doc_id_of, keyed
-from .textwords import Hasher, anchored, slices, word_hashes
+from .textwords import U64, Hasher, anchored, slices, word_hashes
 
 #: Windows that a task gathers before it marks later copies and sends the rest.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 
 
 def _window_state(window: int, gram: int):
@@ -55,7 +55,7 @@ def repeated_windows(docs: DataFrame, window: int, gram: int, seen) -> DataFrame
             if len(at):
                 owner = np.searchsorted(words.first, at, side="right") - 1
                 did, th = (batch.column(batch.schema.get_field_index(c)).to_numpy()[owner] for c in ("did", "th"))
-                held.append((one.windows(h, window)[at].view(np.int64), two.windows(h, window)[at].view(np.int64), did, th, at - words.first[owner]))
+                held.append((one.windows(h, window)[at].view(np.int64), (two.windows(h, window)[at] >> U64(32)).astype(np.int64), did, th, at - words.first[owner]))
                 n += len(at)
             if n >= FLUSH:
                 yield _marked([np.concatenate(x) for x in zip(*held, strict=True)])
@@ -101,7 +101,7 @@ def _marked(rows: list[np.ndarray]) -> pa.RecordBatch:
 
 def remove_repeated_passages(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the remaining words joined by one space), one row for each row of docs."""
-    rows = keyed(docs)
+    rows = keyed(docs, hashed=False)
     # A gram in about (window - gram + 2) / 2 words is an anchor, and a word has about 6 bytes.
     bits = sketch.bits_for(bytes_estimate(docs) // (3 * (window - gram + 2)))
 
@@ -128,7 +128,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 20, gram: int = 8) -
                 out.append((len(words), len(words) - len(kept), b" ".join(kept).decode()))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("did")), *(pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string())))], ["did", "n_words", "n_removed", "kept"])
 
-    done = rows.join(spans, ["did", "th"], "left").mapInArrow(cut, "did long, n_words long, n_removed long, kept string")
+    done = rows.join(spans, ["did", "th"], "left").select("did", "text", "spans").mapInArrow(cut, "did long, n_words long, n_removed long, kept string")
     return done.select(doc_id_of("did").alias("doc_id"), "n_words", "n_removed", "kept")
 
 

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 FULL = U64(0xFFFFFFFFFFFFFFFF)
 #: Texts are worked on in slices of about this many bytes; one longer text is a slice by itself.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 IS_BLANK = np.zeros(256, dtype=bool)
 IS_BLANK[[0x20, *range(0x09, 0x0E)]] = True
