@@ -132,7 +132,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     rule = Rule(k, percent)
     rows = keyed(docs)
     # A set of n n-grams has about 0.4 n signatures at 85 percent, and a word has about 6 bytes.
-    bits = sketch.bits_for(int(bytes_estimate(docs) * 0.065 * (1 + (85 - percent) / 12)))
+    width = sketch.cells_for(bytes_estimate(docs) * 0.065 * (1 + (85 - percent) / 12), per_key=2.4)
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         shingler, fragments, seen = Shingler(k), Fragments(rule), set()
@@ -145,7 +145,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
             if found:
                 yield np.concatenate(found)
 
-    repeated = sketch.build(rows.select("text"), signatures, bits)
+    repeated = sketch.build(rows.select("text"), signatures, width)
     kind = "sig long, sid long, n long, did long, th long"
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +180,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     # One document stands for each clustered set; its text is recognised by a bitmap of th, so no text is shuffled.
     standing = members.join(clusters, "sid").groupBy("sid", "cluster").agg(F.min(F.struct("did", "th")).alias("key"), F.count("*").alias("copies"), F.first("n").alias("n"))
     standing = stash(standing.select("sid", "cluster", "key.did", "key.th", "copies", "n"))
-    wanted = sketch.build(standing.select("th"), sketch.counted("th"), sketch.bits_for(standing.count()), least=1)
+    wanted = sketch.build(standing.select("th"), sketch.counted("th"), sketch.cells_for(standing.count(), per_key=8), least=1)
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, known = Shingler(k), wanted.value

@@ -21,34 +21,34 @@ from pyspark.sql import functions as F
 from .session import n_partitions
 from .textwords import U64, mix
 
-#: Cells of a row, as powers of two. Two rows of a bit (two, with `hot`): 2 * 2**27 / 8 = 32 MiB broadcast at most.
-LEAST_BITS, MOST_BITS = 14, 27
-#: Cells of a row that are merged together.
-RANGE_BITS = 20
+#: Cells of a row. Two rows of a bit (two, with `hot`): 2 * 2**27 / 8 = 32 MiB (64 MiB) broadcast at most.
+LEAST_CELLS, MOST_CELLS = 1 << 14, 1 << 27
+#: Cells that are merged together.
+RANGE = 1 << 20
 #: Keys that a task gathers before it sends the cells.
 FLUSH = 1 << 19
 SCHEMA = "part int, cells binary, counts binary"
 
 
-def bits_for(keys: int) -> int:
-    """The power of two that gives each key about four cells in a row, within the bounds."""
-    return min(MOST_BITS, max(LEAST_BITS, int(4 * max(keys, 1) - 1).bit_length()))
+def cells_for(keys: float, per_key: float = 4.0) -> int:
+    """Cells of a row for about so many keys, a multiple of eight within the bounds."""
+    return min(MOST_CELLS, max(LEAST_CELLS, int(keys * per_key))) // 8 * 8
 
 
-def cells_of(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def cells_of(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """A key's cell in each row; the second row's cells lie behind the first's."""
-    shift = U64(64 - bits)
-    return (keys >> shift).astype(np.int64), (mix(keys) >> shift).astype(np.int64) + (1 << bits)
+    half = U64(32)
+    return ((keys >> half) * U64(width) >> half).astype(np.int64), ((mix(keys) >> half) * U64(width) >> half).astype(np.int64) + width
 
 
-def _send(keys: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    cells, counts = np.unique(np.concatenate(cells_of(keys, bits)), return_counts=True)
-    part = cells >> min(RANGE_BITS, bits)
+def _send(keys: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+    cells, counts = np.unique(np.concatenate(cells_of(keys, width)), return_counts=True)
+    part = cells // RANGE
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(cells)]
     rows = []
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
-            steps = np.diff(cells[a:b], prepend=part[a] << min(RANGE_BITS, bits)).astype(np.uint32)
+            steps = np.diff(cells[a:b], prepend=part[a] * RANGE).astype(np.uint32)
             rows.append((int(part[a]), zlib.compress(steps.tobytes(), 1), zlib.compress(counts[a:b].astype(np.uint32).tobytes(), 1)))
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["part", "cells", "counts"])
@@ -57,15 +57,15 @@ def _send(keys: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
 class Sketch:
     """The merged sketch as it is read: packed bits of both rows."""
 
-    def __init__(self, bits: int, repeated: np.ndarray, hot: np.ndarray | None):
-        self.bits, self._repeated, self._hot = bits, repeated, hot
+    def __init__(self, width: int, repeated: np.ndarray, hot: np.ndarray | None):
+        self.width, self._repeated, self._hot = width, repeated, hot
 
     @staticmethod
     def _test(packed: np.ndarray, cells: np.ndarray) -> np.ndarray:
         return (packed[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 > 0
 
     def _both(self, packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        a, b = cells_of(keys, self.bits)
+        a, b = cells_of(keys, self.width)
         return self._test(packed, a) & self._test(packed, b)
 
     def repeated(self, keys: np.ndarray) -> np.ndarray:
@@ -77,10 +77,9 @@ class Sketch:
         return self._both(self._hot, keys)
 
 
-def build(rows: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], bits: int, least: int = 2, hot: int | None = None) -> Broadcast:
+def build(rows: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], width: int, least: int = 2, hot: int | None = None) -> Broadcast:
     """Count the keys that keys_of yields for each task's batches and broadcast the merged Sketch."""
     spark = rows.sparkSession
-    width = 1 << min(RANGE_BITS, bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -88,31 +87,31 @@ def build(rows: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterato
             held.append(keys)
             n += len(keys)
             if n >= FLUSH:
-                yield from _send(np.concatenate(held), bits)
+                yield from _send(np.concatenate(held), width)
                 held, n = [], 0
         if n:
-            yield from _send(np.concatenate(held), bits)
+            yield from _send(np.concatenate(held), width)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, cells, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 at = np.cumsum(np.frombuffer(zlib.decompress(cells), dtype=np.uint32).astype(np.int64))
-                sums.setdefault(part, np.zeros(width, dtype=np.int64))[at] += np.frombuffer(zlib.decompress(counts), dtype=np.uint32)
+                sums.setdefault(part, np.zeros(RANGE, dtype=np.int64))[at] += np.frombuffer(zlib.decompress(counts), dtype=np.uint32)
         for part, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([zlib.compress(np.packbits(total >= bound).tobytes(), 1)], pa.binary()) for bound in (least, hot or 1 << 62))], ["part", "cells", "counts"])
 
-    parts = (2 << bits) // width
+    parts = -(-2 * width // RANGE)
     # One partition for each range or fewer: what a task holds is bounded by the ranges it gets.
     sent = rows.mapInArrow(count, SCHEMA).repartition(max(1, min(parts, n_partitions(spark))), "part").mapInArrow(merge, SCHEMA)
-    repeated = np.zeros((2 << bits) // 8, dtype=np.uint8)
+    repeated = np.zeros(parts * RANGE // 8, dtype=np.uint8)
     found_hot = None if hot is None else repeated.copy()
     for part, a, b in sent.select(F.col("part"), F.col("cells"), F.col("counts")).toLocalIterator():
-        at = slice(part * width // 8, (part + 1) * width // 8)
+        at = slice(part * RANGE // 8, (part + 1) * RANGE // 8)
         repeated[at] = np.frombuffer(zlib.decompress(bytes(a)), dtype=np.uint8)
         if found_hot is not None:
             found_hot[at] = np.frombuffer(zlib.decompress(bytes(b)), dtype=np.uint8)
-    return spark.sparkContext.broadcast(Sketch(bits, repeated, found_hot))
+    return spark.sparkContext.broadcast(Sketch(width, repeated, found_hot))
 
 
 def counted(column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]:

@@ -103,14 +103,14 @@ def remove_repeated_passages(docs: DataFrame, window: int = 20, gram: int = 8) -
     """doc_id, n_words, n_removed, kept (the remaining words joined by one space), one row for each row of docs."""
     rows = keyed(docs, hashed=False)
     # A gram in about (window - gram + 2) / 2 words is an anchor, and a word has about 6 bytes.
-    bits = sketch.bits_for(bytes_estimate(docs) // (3 * (window - gram + 2)))
+    width = sketch.cells_for(bytes_estimate(docs) / (3 * (window - gram + 2)))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         state = _window_state(window, gram)
         for batch in slices(batches):
             yield state(batch)[2].hashes
 
-    seen = sketch.build(rows.select("text"), anchors, bits)
+    seen = sketch.build(rows.select("text"), anchors, width)
     spans = repeated_windows(rows, window, gram, seen).groupBy("did", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -270,14 +270,14 @@ def remove_repeated_strings(docs: DataFrame, least: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), one row for each row of docs."""
     rows = keyed(docs, hashed=False)
     # A gram in about (least - gram + 2) / 2 bytes is an anchor.
-    bits = sketch.bits_for(2 * bytes_estimate(docs) // (least - min(GRAM, least) + 2))
+    width = sketch.cells_for(2 * bytes_estimate(docs) / (least - min(GRAM, least) + 2))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         cutter = Fragmenter(least)
         for batch in slices(batches):
             yield cutter.anchors(batch)[3].hashes
 
-    seen = sketch.build(rows.select("text"), anchors, bits, hot=HOT)
+    seen = sketch.build(rows.select("text"), anchors, width, hot=HOT)
     spans = repeated_spans(rows, least, seen).groupBy("did", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
