@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, langid, mixing, packing, pii, quality, substring, suffix, toxicity
+from . import jaccard, langid, mixing, mtree, packing, pii, quality, substring, suffix, toxicity
 from .session import documents
 
 
@@ -26,6 +26,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked_documents(documents(spark, sf_dir), k=4, percent=85)
 
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(documents(spark, sf_dir), least=100)
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_pii": op3_pii,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_topk_search": op5_topk_search,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_packing": op8_packing,
@@ -60,4 +65,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE_SQL,
+    "op5_topk_search": mtree.ORACLE_SQL,
 }
