@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import n_partitions
+from .session import n_partitions, stash
 from .textwords import U64, mix
 
 #: Cells of a row. Two rows of a bit (two, with `hot`): 2 * 2**27 / 8 = 32 MiB (64 MiB) broadcast at most.
@@ -122,3 +122,31 @@ def counted(column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[np.nda
             yield batch.column(batch.schema.get_field_index(column)).to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
 
     return keys
+
+
+def cut_spans(rows: DataFrame, spans: DataFrame, cut: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """cut over the rows (did, th, text) with their spans (did, th, spans), as columns did, text, spans.
+
+    Texts that a bitmap of the spans' documents rules out are cut where they are read; only the others are shuffled.
+    """
+    spans = stash(spans)
+    touched = build(spans.select(F.xxhash64("did", "th").alias("k")), counted("k"), cells_for(spans.count(), per_key=8), least=1)
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64())]))
+
+    def parted(batch: pa.RecordBatch, inside: bool) -> pa.RecordBatch:
+        found = touched.value.repeated(batch.column(3).to_numpy().view(U64))
+        return batch.filter(pa.array(found if inside else ~found))
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = parted(batch, False)
+            yield from cut(iter([pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.nulls(part.num_rows, kind)], ["did", "text", "spans"])]))
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = parted(batch, True)
+            yield pa.RecordBatch.from_arrays(part.columns[:3], ["did", "th", "text"])
+
+    keyed = rows.select("did", "th", "text", F.xxhash64("did", "th").alias("k"))
+    joined = keyed.mapInArrow(rest, "did long, th long, text string").join(spans, ["did", "th"], "left").select("did", "text", "spans")
+    return keyed.mapInArrow(plain, schema).union(joined.mapInArrow(cut, schema))

@@ -297,8 +297,7 @@ def remove_repeated_strings(docs: DataFrame, least: int = 100) -> DataFrame:
                 out.append((int(off[i + 1] - off[i]), int(off[i + 1] - off[i]) - len(body), runs, body.tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary())))], ["did", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    done = rows.join(spans, ["did", "th"], "left").select("did", "text", "spans")
-    done = done.mapInArrow(cut, "did long, n_bytes long, n_removed long, n_spans long, kept binary")
+    done = sketch.cut_spans(rows, spans, cut, "did long, n_bytes long, n_removed long, n_spans long, kept binary")
     return done.select(doc_id_of("did").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
 
 
