@@ -116,7 +116,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 20, gram: int = 8) -
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out: list[tuple] = []
-            texts, spans_ = batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index("spans"))
+            texts, spans_ = batch.column(1), batch.column(2)
             for text, found in zip(texts.to_pylist(), spans_.to_pylist(), strict=True):
                 words = text.encode().split()
                 kept = words
@@ -128,7 +128,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 20, gram: int = 8) -
                 out.append((len(words), len(words) - len(kept), b" ".join(kept).decode()))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("did")), *(pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string())))], ["did", "n_words", "n_removed", "kept"])
 
-    done = rows.join(spans, ["did", "th"], "left").select("did", "text", "spans").mapInArrow(cut, "did long, n_words long, n_removed long, kept string")
+    done = sketch.cut_spans(rows, spans, cut, "did long, n_words long, n_removed long, kept string")
     return done.select(doc_id_of("did").alias("doc_id"), "n_words", "n_removed", "kept")
 
 
