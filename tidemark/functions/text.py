@@ -155,7 +155,7 @@ def ellipses(text: Column) -> Column:
 def dash_segments(text: Column) -> Column:
     """Dialogue turns: lines that a dash begins, with the lines that follow them."""
     marked = F.regexp_replace(F.btrim(text), r"(?m)^\s*[-–—‐]\s*(?=\S)", "\u0001")
-    turns = F.transform(F.split(marked, "\u0001"), lambda x: F.btrim(x))
+    turns = F.transform(F.split(marked, "\u0001"), lambda x: F.btrim(x, F.lit(" \n\t")))
     return F.filter(turns, lambda x: x != "")
 
 

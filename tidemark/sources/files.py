@@ -69,8 +69,12 @@ def decode_bytes(content: bytes) -> tuple[str, str, bool]:
     return text, name, False
 
 
+#: Lead bytes of each encoding's common characters (the frequent half of its table, and kana).
+COMMON_LEADS = {"gb18030": ((0xB0, 0xD7),), "big5": ((0xA4, 0xC6),), "shift_jis": ((0x82, 0x83), (0x88, 0x97)), "euc_kr": ((0xB0, 0xC8),)}
+
+
 def _likely(content: bytes, name: str) -> float:
-    """Share of common letters of the encoding's language, less five times that of implausible ones."""
+    """Share of the encoding's common characters, less five times that of implausible ones."""
     try:
         text = content.decode(name)
     except UnicodeDecodeError:
@@ -78,9 +82,9 @@ def _likely(content: bytes, name: str) -> float:
     wide = [c for c in text if ord(c) > 127]
     if not wide:
         return 0.0
-    common = {"gb18030": "一鿿", "big5": "一鿿", "shift_jis": "぀ヿ", "euc_kr": "가힣"}[name]
-    good = sum(common[0] <= c <= common[1] for c in wide)
-    bad = sum("" <= c <= "" or "｡" <= c <= "ﾟ" for c in wide)
+    encoded = [c.encode(name) for c in wide]
+    good = sum(any(low <= x[0] <= high for low, high in COMMON_LEADS[name]) and (name != "gb18030" or x[1] >= 0xA1) for x in encoded)
+    bad = sum("\ue000" <= c <= "\uf8ff" or "\uff61" <= c <= "\uff9f" for c in wide)
     return (good - 5 * bad) / len(wide)
 
 
