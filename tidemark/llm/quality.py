@@ -129,13 +129,17 @@ def _fences(sketch: DataFrame, by: list[str], rules: Rules) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame, rules: Rules) -> DataFrame:
-    """__lang, __source and the fences in force there."""
-    levels = [_fences(sketch, by, rules) for by in (["__lang", "__source"], ["__lang"], [])]
+    """__lang, __source and the fences in force there; sketch: a stored result of sketches."""
     names = [f"{side}_{x}" for x in MEASURES for side in ("low", "high")]
-    named = [level.select(*[c for c in level.columns if c.startswith("__")], *(F.col(c).alias(f"{c}_{i}") for c in ["docs", *names])) for i, level in enumerate(levels)]
-    joined = named[0].join(named[1], "__lang").join(F.broadcast(named[2]), how="cross")  # the last has one row
-    enough = lambda i: F.col(f"docs_{i}") >= rules.least_group
-    return joined.select("__lang", "__source", *(F.when(enough(0), F.col(f"{c}_0")).when(enough(1), F.col(f"{c}_1")).otherwise(F.col(f"{c}_2")).alias(c) for c in names))
+    own, by_lang = (_fences(sketch, by, rules) for by in (["__lang", "__source"], ["__lang"]))
+    by_lang = by_lang.select("__lang", *(F.col(c).alias(f"{c}_1") for c in ["docs", *names]))
+    corpus = _fences(sketch, [], rules).first()  # one row of few numbers
+
+    def pick(c: str) -> Column:
+        last = F.lit(None if corpus is None else corpus[c]).cast("long")
+        return F.when(F.col("docs") >= rules.least_group, F.col(c)).when(F.col("docs_1") >= rules.least_group, F.col(f"{c}_1")).otherwise(last)
+
+    return own.join(by_lang, "__lang").select("__lang", "__source", *(pick(c).alias(c) for c in names))
 
 
 def with_verdict(m: DataFrame, fences: DataFrame) -> DataFrame:
@@ -154,7 +158,7 @@ def judge(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
     rules = rules or Rules()
     m = stash(measured(docs.select("doc_id", "text", "lang", "source"), rules).drop("text", "lang", "source"))
-    fences = stash(thresholds(sketches(m), rules))
+    fences = stash(thresholds(stash(sketches(m)), rules))
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     return with_verdict(m, fences).select("doc_id", *(F.col("__m")[c].alias(c) for c in base), F.col("__kept").alias("kept"))
 
@@ -163,7 +167,7 @@ def keep_good(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     """The rows of docs that judge keeps. Measures are taken twice rather than texts shuffled."""
     rules = rules or Rules()
     m = measured(docs, rules)
-    fences = stash(thresholds(sketches(m), rules))
+    fences = stash(thresholds(stash(sketches(m)), rules))
     return with_verdict(m, fences).where("__kept").select(docs.columns)
 
 
