@@ -42,7 +42,8 @@ def test_bounds_avoid_computations(monkeypatch):
     centres = rnd.normal(size=(40, 3)) * 500
     vectors = np.floor(np.repeat(centres, 50, axis=0) + rnd.normal(size=(2000, 3))).astype(np.int64)
     seen = []
-    monkeypatch.setattr(mtree, "products", lambda v, q: seen.append(len(v)) or products(v, q))
+    plain = MTree._scores
+    monkeypatch.setattr(MTree, "_scores", lambda self, node, keep, *rest: seen.append(len(keep)) or plain(self, node, keep, *rest))
     tree = MTree(np.arange(2000), vectors, page=32)
     tree.best(vectors[7], 5)
     assert sum(seen) < 1000

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .session import stash
 
 #: Vectors of a part, queries of a block, entries of a page.
-PART, BLOCK, PAGE = 8192, 4096, 128
+PART, BLOCK, PAGE = 8192, 4096, 1024
 
 
 class Node:
@@ -50,6 +50,7 @@ class MTree:
         norms = (exact * exact).sum(axis=1).astype(float) if len(vectors) else np.zeros(0)
         norms = norms[order]
         self.most = float(norms.max(initial=0.0))
+        self.reach = float(np.abs(self.vectors.astype(float)).max(initial=0))
         self.places = np.concatenate([self.vectors.astype(float), np.sqrt(np.maximum(0.0, self.most - norms))[:, None]], axis=1)
         self.root = self._load(np.arange(len(ids)), None, 1)
 
@@ -77,11 +78,20 @@ class MTree:
                 children.append(self._load(mine, point, level + 1))
         return Node(np.array(points), np.array(radius), np.array(parent), children, None)
 
+    def _scores(self, node: Node, keep: np.ndarray, query: np.ndarray, at: np.ndarray, exact: bool) -> np.ndarray:
+        """Inner products of the query with the vectors of a leaf; doubles hold them exactly while they are small."""
+        if not exact:
+            return np.array(products(self.vectors[node.rows[keep]], query), dtype=object)
+        if 2 * len(keep) > len(node.rows):  # the page lies in one piece; the last coordinate meets the query's 0
+            return (node.points @ at)[keep].astype(np.int64)
+        return (node.points[keep] @ at).astype(np.int64)
+
     def best(self, query: np.ndarray, k: int, skip: int | None = None) -> list[tuple[int, int]]:
         """The k greatest (score, vec_id), ties to the smaller vec_id, without the vector of id skip."""
         size = float((query.astype(float) ** 2).sum())
         at = np.append(query.astype(float), 0.0)
         slack = 1e-9 * (1.0 + size + self.most)
+        exact = self.reach * float(np.abs(at).max(initial=0)) * len(at) < 2**53
         found: list[tuple[int, int]] = []  # a heap of (score, -vec_id): the worst on top
         # Pages by the least distance possible; with it the distance of the query from the page's routing object.
         queue: list[tuple[float, int, float | None, Node]] = [(0.0, 0, None, self.root)]
@@ -97,13 +107,16 @@ class MTree:
             if low > limit:
                 break
             keep = np.arange(len(node.points))
-            if up is not None:
+            if up is not None and limit < np.inf:
                 keep = keep[np.abs(up - node.parent) - node.radius <= limit + slack]
             if not len(keep):
                 continue
             if node.children is None:
-                rows = node.rows[keep]
-                for score, i in zip(products(self.vectors[rows], query), self.ids[rows].tolist(), strict=True):
+                scores = self._scores(node, keep, query, at, exact)
+                if len(found) == k:
+                    good = np.flatnonzero(scores >= found[0][0])
+                    keep, scores = keep[good], scores[good]
+                for score, i in zip(scores.tolist(), self.ids[node.rows[keep]].tolist(), strict=True):
                     if i != skip and (len(found) < k or (score, -i) > found[0]):
                         (heapq.heappush if len(found) < k else heapq.heapreplace)(found, (score, -i))
             else:
