@@ -11,10 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import checks as K
 from tidemark.functions import clock
 from tidemark.functions import text as T
 from tidemark.operators import cues as C
+from tidemark.operators import incidents as I
 from tidemark.operators import status as S
+from tidemark.operators import terms as M
 
 FLAGSHIP = "hourly_status"
 
@@ -593,3 +596,78 @@ def scene_chunks(spark, sf_dir):
 @query()
 def spread_samples(spark, sf_dir):
     return C.spread_sample(cue_rows(spark, sf_dir), 3).select("doc_id", "pos")
+
+
+# Incident records, endpoints and checks.
+
+
+@query("SELECT event_id, CASE WHEN s IS NULL THEN 'network' WHEN s = 429 THEN 'rate_limited' WHEN s BETWEEN 500 AND 599 THEN 'server' WHEN s BETWEEN 400 AND 499 THEN 'client' WHEN s BETWEEN 200 AND 399 THEN 'ok' ELSE 'network' END AS error FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE [200, 204, 301, 404, 429, 500, 503][event_id % 7 + 1] END AS s FROM events)")
+def probe_classification(spark, sf_dir):
+    code = F.element_at(F.array(*map(F.lit, (200, 204, 301, 404, 429, 500, 503))), (F.col("event_id") % 7 + 1).cast("int"))
+    return events(spark, sf_dir).select("event_id", I.probe_error(F.when(F.col("event_id") % 7 != 0, code)).alias("error"))
+
+
+@query("WITH e AS (SELECT DISTINCT user_id, event_type AS endpoint, length(event_type) * 10 + ascii(event_type) AS priority, CASE WHEN user_id % 5 = 0 THEN 'major_outage' WHEN event_type IN ('click', 'view') THEN 'major_outage' ELSE 'operational' END AS status FROM events) SELECT user_id, coalesce(arg_min(endpoint, priority) FILTER (status IN ('operational', 'degraded_performance')), arg_min(endpoint, priority)) AS endpoint FROM e GROUP BY 1")
+def endpoint_choice(spark, sf_dir):
+    e = events(spark, sf_dir).select("user_id", F.col("event_type").alias("endpoint")).distinct()
+    e = e.withColumn("priority", F.length("endpoint") * 10 + F.ascii("endpoint"))
+    down = (F.col("user_id") % 5 == 0) | F.col("endpoint").isin("click", "view")
+    return S.endpoint_choice(e.withColumn("status", F.when(down, "major_outage").otherwise("operational")), ["user_id"])
+
+
+@query(f"WITH {STATES}, w AS (SELECT user_id, ['operational', 'maintenance', 'degraded_performance', 'partial_outage', 'major_outage'][max(list_position(['operational', 'maintenance', 'degraded_performance', 'partial_outage', 'major_outage'], status))] AS status FROM states WHERE event_id % 3 = 0 GROUP BY 1), n AS (SELECT user_id, count(*) AS errors FROM events WHERE event_type = 'error' AND event_id % 2 = 0 GROUP BY 1) SELECT w.user_id, CASE WHEN w.status = 'operational' OR coalesce(errors, 0) >= 2 THEN w.status ELSE 'operational' END AS effective FROM w LEFT JOIN n ON w.user_id = n.user_id")
+def corroborated_impact(spark, sf_dir):
+    reports = S.worst_of(states(spark, sf_dir).where("event_id % 3 = 0"), ["user_id"]).withColumnRenamed("worst", "status")
+    errors = events(spark, sf_dir).where("event_type = 'error' AND event_id % 2 = 0").groupBy("user_id").agg(F.count("*").alias("errors"))
+    return S.corroborated(reports, errors, ["user_id"]).select("user_id", "effective")
+
+
+@query("WITH u AS (SELECT user_id, event_type, event_id FROM events), l AS (SELECT user_id, arg_max(event_type, event_id) AS last, max(event_id) AS id FROM u GROUP BY 1) SELECT user_id, last = 'signup' AND id % 2 = 0 AS human FROM l")
+def human_resolved(spark, sf_dir):
+    u = events(spark, sf_dir).select(F.col("user_id").alias("incident_id"), F.lit(0).alias("ts"), F.col("event_id").alias("update_id"), F.when(F.col("event_type") == "signup", "resolved").otherwise("monitoring").alias("status"), F.when(F.col("event_id") % 2 == 0, "human").otherwise("system").alias("author"))
+    return I.human_resolved(u).withColumnRenamed("incident_id", "user_id")
+
+
+@query("WITH t AS (SELECT o_orderkey, n, CASE WHEN n < 1000000 THEN (n + 50) // 100 ELSE (n + 50000) // 100000 END AS t FROM (SELECT o_orderkey, o_orderkey * 25 AS n FROM orders)) SELECT o_orderkey, CASE WHEN n < 1000 THEN n::VARCHAR ELSE t // 10 || CASE WHEN t % 10 = 0 THEN '' ELSE '.' || t % 10 END || CASE WHEN n < 1000000 THEN 'k' ELSE 'M' END END AS shown FROM t")
+def compact_numbers(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.compact_number(F.col("o_orderkey") * 25).alias("shown"))
+
+
+@query("SELECT event_id, least(30000, 500 * power(2, least(event_id % 12, 30)))::BIGINT AS delay_ms, least(20, ceil(value * 10 / 100))::INTEGER AS units FROM events")
+def retry_and_rate(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", K.retry_delay(F.col("event_id") % 12).alias("delay_ms"), K.rate_units(F.col("value") * 10, 100).alias("units"))
+
+
+@query(f"WITH {CUES} SELECT doc_id, pos, CASE WHEN regexp_matches(text, '[.!?。！？][\"''”’»)\\]]*\\s*$') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(text, '[,，、;；:：—–-]\\s*$') THEN 2 ELSE 0 END AS flags FROM cues")
+def edge_flags(spark, sf_dir):
+    return cue_rows(spark, sf_dir).select("doc_id", "pos", K.edge_flags(F.col("text")).bitwiseAND(3).alias("flags"))
+
+
+@query(f"WITH {CUES} SELECT doc_id, pos, length(regexp_replace(text, '[^\\[\\](){{}}]', '', 'g')) AS brackets FROM cues")
+def bracket_counts(spark, sf_dir):
+    return cue_rows(spark, sf_dir).select("doc_id", "pos", K.bracket_count(F.col("text")).cast("long").alias("brackets"))
+
+
+@query("SELECT a.p_name AS inner_name, b.p_name AS outer_name FROM (SELECT DISTINCT string_split(p_name, ' ')[1] AS p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON a.p_name <> b.p_name AND list_contains(string_split(lower(b.p_name), ' '), lower(a.p_name))")
+def containing_terms(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    terms = p.select(F.col("p_name").alias("term")).union(p.select(F.get(F.split("p_name", " "), F.lit(0)).alias("term"))).distinct()
+    heads = p.select(F.get(F.split("p_name", " "), F.lit(0)).alias("inner")).distinct()
+    return M.containing_pairs(terms).join(heads, "inner", "left_semi").select(F.col("inner").alias("inner_name"), F.col("outer").alias("outer_name"))
+
+
+@query("SELECT event_id, (1 + event_id % 3) || '.' || (event_id % 12) AS version, (1 + event_id % 3) * 100 + event_id % 12 >= 105 AND (1 + event_id % 3) * 100 + event_id % 12 < 302 AS fits FROM events")
+def version_ranges(spark, sf_dir):
+    v = F.concat((1 + F.col("event_id") % 3).cast("string"), F.lit("."), (F.col("event_id") % 12).cast("string"))
+    return events(spark, sf_dir).select("event_id", v.alias("version"), K.version_in_range(v, "1.5", "3.2").alias("fits"))
+
+
+@query()
+def longest_matches(spark, sf_dir):
+    keys = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("key"))
+    return M.longest_matches(table(spark, sf_dir, "documents"), keys.union(spark.createDataFrame([("of the",), ("de la",), ("in der",)], "key string")))
+
+
+@query()
+def text_hashes(spark, sf_dir):
+    return M.text_hash(cue_rows(spark, sf_dir).select("doc_id", "pos", "text")).select("doc_id", "pos", "hash")

@@ -203,8 +203,11 @@ def equal_but_noise(a: Column, b: Column) -> Column:
 
 
 def compact_number(n: Column) -> Column:
-    cut = lambda x, unit: F.concat(F.regexp_replace(F.format_string("%.1f", x), r"\.0$", ""), F.lit(unit))
-    return F.when(n < 1000, n.cast("string")).when(n < 1_000_000, cut(n / 1e3, "k")).when(n < 1_000_000_000, cut(n / 1e6, "M")).otherwise(cut(n / 1e9, "B"))
+    def cut(size: int, unit: str) -> Column:
+        tenths = F.floor((n + size // 20) / (size // 10))  # half up, in whole numbers
+        return F.concat(F.floor(tenths / 10).cast("string"), F.when(tenths % 10 == 0, "").otherwise(F.concat(F.lit("."), (tenths % 10).cast("string"))), F.lit(unit))
+
+    return F.when(n < 1000, n.cast("string")).when(n < 1_000_000, cut(1000, "k")).when(n < 1_000_000_000, cut(1_000_000, "M")).otherwise(cut(1_000_000_000, "B"))
 
 
 def base_language(tag: Column) -> Column:
