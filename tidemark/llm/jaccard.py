@@ -22,15 +22,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import sketch
 from .components import components
-from .session import bytes_estimate, doc_id_of, keyed, stash
+from .session import NO_ID, bytes_estimate, doc_id_of, keyed, stash
 from .textwords import U64, Hasher, mix, slices, stream, word_hashes
 
 #: A block has at most about so many sets and so many n-grams.
 BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 21
+#: Signatures whose first set a task remembers.
+LEADS = 1 << 18
 #: Ranges of the global order whose partial overlaps are counted one after the other.
 VERTICAL = 16
 
@@ -122,8 +125,8 @@ def _names(kind: str) -> list[str]:
     return [part.split()[0] for part in kind.split(", ")]
 
 
-def _record(columns: list[np.ndarray], kind: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) if not isinstance(c, pa.Array) else c for c in columns], _names(kind))
+def _record(columns: list, kind: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], _names(kind))
 
 
 def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -132,7 +135,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     rule = Rule(k, percent)
     rows = keyed(docs)
     # A set of n n-grams has about 0.4 n signatures at 85 percent, and a word has about 6 bytes.
-    width = sketch.cells_for(bytes_estimate(docs) * 0.065 * (1 + (85 - percent) / 12), per_key=2.4)
+    width = sketch.cells_for(bytes_estimate(docs) * 0.065 * (1 + (85 - percent) / 12), per_key=2.4 if percent > 82 else 1.7)
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         shingler, fragments, seen = Shingler(k), Fragments(rule), set()
@@ -146,13 +149,15 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
                 yield np.concatenate(found)
 
     repeated = sketch.build(rows.select("text"), signatures, width)
-    kind = "sig long, sid long, n long, did long, th long"
+    kind = "sig long, sid long, lead long, n long, did long, th long"
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row with did for each document, and rows with sig for each different set's repeated fragments."""
+        """A row with did for each document; for each repeated signature a row with sig and the first set in this task
+        that has it; and rows with lead for the task's further sets, so a frequent signature costs a task one row."""
         shingler, fragments, seen, known = Shingler(k), Fragments(rule), set(), repeated.value
+        leads: dict[int, int] = {}
         for batch in slices(batches):
-            names, sizes, sigs, owners = [], [], [np.zeros(0, dtype=U64)], [np.zeros(0, dtype=np.int64)]
+            names, sizes, sigs, owners, near = [], [], [], [], set()
             for grams in shingler.sets(batch):
                 name = set_id(grams)
                 names.append(name)
@@ -160,21 +165,27 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
                 if len(grams) and name not in seen:
                     seen.add(name)
                     found = fragments.signatures(grams)
-                    found = found[known.repeated(found)]
-                    sigs.append(found)
-                    owners.append(np.full(len(found), name, dtype=np.int64))
+                    for sig in found[known.repeated(found)].view(np.int64).tolist():
+                        lead = leads.setdefault(sig, name)
+                        if lead != name:
+                            near.add((name, lead))
+                        else:
+                            sigs.append(sig)
+                            owners.append(name)
             did, th = (batch.column(batch.schema.get_field_index(c)) for c in ("did", "th"))
-            none = pa.nulls(batch.num_rows, pa.int64())
-            yield _record([none, np.array(names, dtype=np.int64), np.array(sizes, dtype=np.int64), did, th], kind)
-            sig, sid = np.concatenate(sigs).view(np.int64), np.concatenate(owners)
-            none = pa.nulls(len(sig), pa.int64())
-            yield _record([sig, sid, none, none, none], kind)
+            none = lambda n: pa.nulls(n, pa.int64())
+            yield _record([none(len(names)), names, none(len(names)), sizes, did, th], kind)
+            yield _record([sigs, owners, *[none(len(sigs))] * 4], kind)
+            yield _record([none(len(near)), [x for x, _ in near], [x for _, x in near], *[none(len(near))] * 3], kind)
+            if len(leads) > LEADS:
+                leads.clear()
 
     described = stash(rows.mapInArrow(describe, kind))
     members = described.where("did IS NOT NULL").select("did", "th", "n", "sid")
-    fragments = described.where("sig IS NOT NULL").select("sig", "sid")
-    lead = fragments.groupBy("sig").agg(F.min("sid").alias("lead"), F.max("sid").alias("last")).where("lead != last")
-    near = fragments.join(lead.select("sig", "lead"), "sig").where("sid != lead").select("sid", "lead").distinct()
+    # After the tasks' own leads a signature has few rows, as many as there are tasks at most.
+    first = F.min("sid").over(W.partitionBy("sig"))
+    shared = described.where("sig IS NOT NULL").select("sid", first.alias("lead")).where("sid != lead")
+    near = shared.union(described.where("lead IS NOT NULL").select("sid", "lead")).distinct()
     clusters = stash(components(near).select(F.col("node").alias("sid"), F.col("component").alias("cluster")))
 
     # One document stands for each clustered set; its text is recognised by a bitmap of th, so no text is shuffled.
@@ -289,12 +300,15 @@ def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFram
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that are the first (by doc_id, null first) of their class; equal rows leave one."""
-    found = stash(jaccard_join(docs, k, percent))
-    first = found.where("n_shingles > 0").groupBy("class_id").agg(F.min(F.struct("did", "th")).alias("key")).select("key.*")
-    first = stash(first.union(found.where("n_shingles = 0").select("did", "th")).distinct())
-    own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))]
-    kept = docs.withColumns({"__did": own[0], "__th": own[1]})
-    kept = kept.join(first.select(F.col("did").alias("__did"), F.col("th").alias("__th")), ["__did", "__th"], "left_semi")
-    if found.groupBy("did", "th").count().where("count > 1").isEmpty():
-        return kept.select(docs.columns)
-    return kept.dropDuplicates(["__did", "__th"]).select(docs.columns)
+    found = stash(jaccard_join(docs, k, percent).select("did", "th", "n_shingles", "class_id"))
+    best = found.where("n_shingles > 0").groupBy("class_id").agg(F.min(F.struct("did", "th")).alias("best"))
+    placed = found.join(best, "class_id", "left").withColumn("__stays", (F.col("n_shingles") == 0) | (F.struct("did", "th") == F.col("best")))
+    once = placed.groupBy("did", "th").agg(F.count("*").alias("n"), F.bool_and("__stays").alias("__stays"))
+    # Only texts that may have to go are shuffled: those of documents that do not stay, or that stand more than once.
+    doubtful = stash(once.where("n > 1 OR NOT __stays"))
+    key = {"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__th": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))}
+    rows = docs.withColumns(key).withColumn("__k", F.xxhash64("__did", "__th"))
+    sure, maybe = sketch.parted(rows, doubtful.select(F.xxhash64("did", "th").alias("__k")))
+    judged = maybe.join(doubtful.select(F.col("did").alias("__did"), F.col("th").alias("__th"), "__stays"), ["__did", "__th"], "left")
+    kept = judged.where(F.coalesce("__stays", F.lit(True))).dropDuplicates(["__did", "__th"])
+    return sure.select(docs.columns).union(kept.select(docs.columns))

@@ -124,29 +124,32 @@ def counted(column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[np.nda
     return keys
 
 
-def cut_spans(rows: DataFrame, spans: DataFrame, cut: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """cut over the rows (did, th, text) with their spans (did, th, spans), as columns did, text, spans.
+def parted(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows without any of the keys, and the others, which have them all and some more.
 
-    Texts that a bitmap of the spans' documents rules out are cut where they are read; only the others are shuffled.
+    rows and keys have a long column __k. The keys come as a bitmap, so neither part is shuffled.
     """
-    spans = stash(spans)
-    touched = build(spans.select(F.xxhash64("did", "th").alias("k")), counted("k"), cells_for(spans.count(), per_key=8), least=1)
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64())]))
+    known = build(keys.select("__k"), counted("__k"), cells_for(keys.count(), per_key=8), least=1)
+    at = rows.columns.index("__k")
 
-    def parted(batch: pa.RecordBatch, inside: bool) -> pa.RecordBatch:
-        found = touched.value.repeated(batch.column(3).to_numpy().view(U64))
-        return batch.filter(pa.array(found if inside else ~found))
+    def kept(inside: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = known.value.repeated(batch.column(at).to_numpy().view(U64))
+                yield batch.filter(pa.array(found if inside else ~found))
 
-    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            part = parted(batch, False)
-            yield from cut(iter([pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.nulls(part.num_rows, kind)], ["did", "text", "spans"])]))
+        return run
+
+    return rows.mapInArrow(kept(False), rows.schema), rows.mapInArrow(kept(True), rows.schema)
 
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            part = parted(batch, True)
-            yield pa.RecordBatch.from_arrays(part.columns[:3], ["did", "th", "text"])
 
-    keyed = rows.select("did", "th", "text", F.xxhash64("did", "th").alias("k"))
-    joined = keyed.mapInArrow(rest, "did long, th long, text string").join(spans, ["did", "th"], "left").select("did", "text", "spans")
-    return keyed.mapInArrow(plain, schema).union(joined.mapInArrow(cut, schema))
+def cut_spans(rows: DataFrame, spans: DataFrame, cut: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """cut over the rows (did, th, text) with their spans (did, th, spans), as columns did, text, spans.
+
+    Texts that a bitmap of the spans' documents rules out are cut where they are read; only the others are shuffled.
+    """
+    spans = stash(spans)
+    plain, touched = parted(rows.select("did", "th", "text", F.xxhash64("did", "th").alias("__k")), spans.select(F.xxhash64("did", "th").alias("__k")))
+    none = F.lit(None).cast("array<struct<start:bigint,n:bigint>>").alias("spans")
+    joined = touched.join(spans, ["did", "th"], "left").select("did", "text", "spans")
+    return plain.select("did", "text", none).mapInArrow(cut, schema).union(joined.mapInArrow(cut, schema))
