@@ -64,10 +64,11 @@ def test_held_out(spark):
 
 def test_sample_is_bounded_and_one_class_is_enough(spark):
     rows = corpus(100, 3)
-    labelled = spark.createDataFrame([(t, y) for _, t, y in rows], "text string, toxic int")
-    texts, labels = sampled(labelled, Model(most_toxic=5, most_clean=7))
-    assert labels.sum() == 5 and len(texts) == 12
-    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").select("doc_id", "text")
+    every = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    docs = every.select("doc_id", "text")
+    texts, labels = sampled(docs.union(docs), every.select("doc_id", "toxic"), Model(most_toxic=5, most_clean=7))
+    assert set(zip(texts, labels.tolist(), strict=True)) <= {(t, y) for _, t, y in rows}
+    assert 0 < labels.sum() <= 5 and len(texts) <= 12
     clean = spark.createDataFrame([(i, 0) for i in range(100)], "doc_id long, toxic int")
     assert digest(docs, clean, SMALL).where("predicted = 1").count() == 0
     assert digest(docs.limit(0), clean.limit(0), SMALL).count() == 0

@@ -151,21 +151,26 @@ def odds(texts: list[str], cutter: Grams, numbers: np.ndarray, intercept: float,
     return intercept + np.bincount(owner, weights=per_word, minlength=len(texts))[: len(texts)] / (np.bincount(owner, minlength=len(texts))[: len(texts)] + model.neutral_words)
 
 
-def sampled(labelled: DataFrame, model: Model) -> tuple[list[str], np.ndarray]:
-    """The bounded sample of (text, toxic): the first of each class by a hash of the text, as far as the bytes go."""
-    rows = labelled.where("toxic IN (0, 1) AND text IS NOT NULL").withColumn("h", F.xxhash64(F.lit(model.seed), "text"))
-    texts, labels = [], []
+def sampled(docs: DataFrame, labels: DataFrame, model: Model) -> tuple[list[str], np.ndarray]:
+    """The bounded sample of texts and labels: the first of each class by a hash of the text, as far as the bytes go.
+
+    Hashes and sizes are joined with the labels; texts are read for the chosen rows only, which are few by the model's
+    bounds and so can be broadcast.
+    """
+    docs = docs.where("text IS NOT NULL").select("doc_id", "text", F.xxhash64(F.lit(model.seed), "text").alias("h"))
+    facts = docs.select("doc_id", "h", F.octet_length("text").alias("size")).join(labels.where("toxic IN (0, 1)").select("doc_id", "toxic"), "doc_id")
+    chosen = []
     for toxic, most in ((1, model.most_toxic), (0, model.most_clean)):
         budget = model.most_bytes * most // (model.most_toxic + model.most_clean)
-        first = rows.where(F.col("toxic") == toxic).withColumn("size", F.octet_length("text")).where(F.col("size") <= budget // 8)
-        picked = first.select("h", "size").orderBy("h").limit(most).collect()
-        upto = np.searchsorted(np.cumsum([r["size"] for r in picked]), budget, side="right")
-        if upto:
-            last = picked[upto - 1]["h"]
-            for r in first.where(F.col("h") <= last).select("text", "h").orderBy("h").limit(most).collect():
-                texts.append(r["text"])
-                labels.append(toxic)
-    return texts, np.array(labels)
+        first = facts.where((F.col("toxic") == toxic) & (F.col("size") <= budget // 8)).orderBy("h", "doc_id").limit(most).collect()
+        upto = int(np.searchsorted(np.cumsum([r["size"] for r in first]), budget, side="right"))
+        chosen += [(r["doc_id"], r["h"], toxic) for r in first[:upto]]
+    if not chosen:
+        return [], np.zeros(0, dtype=np.int64)
+    few = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, h long, toxic int").dropDuplicates())
+    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(few, ["doc_id", "h"]).groupBy("h", "doc_id", "toxic").agg(F.first("text").alias("text"))
+    found = sorted(rows.collect(), key=lambda r: (-r["toxic"], r["h"], r["doc_id"]))
+    return [r["text"] for r in found], np.array([r["toxic"] for r in found])
 
 
 def score(docs: DataFrame, numbers: np.ndarray, intercept: float, model: Model) -> DataFrame:
@@ -188,5 +193,5 @@ def digest(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> Da
     """doc_id, held_out, score, predicted; labels of rows that are held out are never read."""
     model = model or Model()
     known = labels.select("doc_id", "toxic").where(remainder("doc_id", 5) != 0)
-    numbers, intercept = train(*sampled(docs.select("doc_id", "text").join(known, "doc_id"), model), model)
+    numbers, intercept = train(*sampled(docs.select("doc_id", "text"), known, model), model)
     return score(docs.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "text"), numbers, intercept, model)
