@@ -66,6 +66,7 @@ def test_blocks_agree(spark, monkeypatch):
     rows = corpus(5, 60)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
+    monkeypatch.setattr(jaccard, "BROADCAST_SETS", 0)
     assert sorted(tuple(r) for r in linked_documents(df).collect()) == by_hand(rows, 4, 85)
 
 

@@ -32,6 +32,8 @@ from .textwords import U64, Hasher, mix, slices, stream, word_hashes
 
 #: A block has at most about so many sets and so many n-grams.
 BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 21
+#: Clustered sets (about 100 bytes each) whose facts are broadcast; beyond that they are shuffled.
+BROADCAST_SETS = 300_000
 #: Signatures whose first set a task remembers.
 LEADS = 1 << 18
 #: Ranges of the global order whose partial overlaps are counted one after the other.
@@ -203,9 +205,10 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
     grams = rows.mapInArrow(needed, "did long, th long, grams binary")
     sizes = standing.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    # The sets are the bulk: while the facts beside them are few they are broadcast, so the sets travel only once.
+    facts = standing.join(sizes, "cluster")
     blocked = (
-        standing.join(sizes, "cluster")
-        .join(grams, ["did", "th"])
+        grams.join(F.broadcast(facts) if standing.count() <= BROADCAST_SETS else facts, ["did", "th"])
         .withColumn("own", F.pmod(F.col("sid"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("cluster", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "sid", "own", "copies", "grams")
