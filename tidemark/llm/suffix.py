@@ -32,8 +32,10 @@ from .textwords import U64, Hasher, anchored, raw, slices
 GRAM = 32
 #: Fragments of a gram that is counted so often are split into single windows.
 HOT = 1 << 14
+#: Bytes of text that are hashed at a time; each takes about a hundred bytes of memory meanwhile.
+SLICE = 1 << 19
 #: Bytes of fragments that a task works on at a time.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 ROW = "key long, did long, th long, start long, n long, body binary"
 
 
@@ -103,7 +105,7 @@ def _scatter(least: int, seen):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, known = Fragmenter(least), seen.value
         rows, bodies, n = [], [], 0
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             found = cutter.fragments(batch, known)
             if found is None:
                 continue
@@ -274,14 +276,14 @@ def remove_repeated_strings(docs: DataFrame, least: int = 100) -> DataFrame:
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         cutter = Fragmenter(least)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             yield cutter.anchors(batch)[3].hashes
 
     seen = sketch.build(rows.select("text"), anchors, width, hot=HOT)
     spans = repeated_spans(rows, least, seen).groupBy("did", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             off, flat = raw(batch.column(1))
             out = []
             for i, found in enumerate(batch.column(2).to_pylist()):
