@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from tidemark.llm import components as parts
 from tidemark.llm import jaccard
 from tidemark.llm.components import components
 from tidemark.llm.jaccard import Fragments, Rule, keep_one_of_each, linked_documents
@@ -105,3 +106,20 @@ def test_components(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert all(root[x] == got.get(x, x) for x in root)
+
+
+@pytest.mark.parametrize("labels", [(1, 2, 3, 5), (10, 40, 70, 90), (4, 6, 7, 8)])
+def test_components_when_a_node_has_two_lesser_ones(spark, monkeypatch, labels):
+    """The first pass, in a task for each u, leaves (d, b), (c, b) and (c, a): no v is a u, but c has two."""
+    monkeypatch.setattr(parts, "CHUNK", 2)
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "2", "spark.sql.shuffle.partitions": "31"}
+    before = {k: spark.conf.get(k) for k in conf}
+    a, b, c, d = labels
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = components(spark.createDataFrame([(d, c), (d, b), (c, a)], "a long, b long")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, found)) == [(x, a) for x in labels]

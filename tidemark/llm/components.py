@@ -19,7 +19,7 @@ from .session import stash
 CHUNK = 1 << 19
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forest(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
     """Replaces the edges that a task has, in chunks, by stars around the least node of each of their components."""
     held: list[np.ndarray] = []
     n = 0
@@ -46,7 +46,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows:
             held.append(np.stack([c.to_numpy() for c in batch.columns], axis=1))
             n += batch.num_rows
-        if n >= CHUNK:
+        if n >= chunk:
             yield stars()
             held, n = [], 0
     if n:
@@ -59,17 +59,20 @@ def components(edges: DataFrame) -> DataFrame:
     Self-loops count for nothing and nulls are left out; an empty table gives an empty one.
     """
     a, b = edges.columns
+    chunk = CHUNK
+    forest = lambda batches: _forest(batches, chunk)
     found = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    found = stash(found.repartition("u").mapInArrow(_forest, "u long, v long").distinct())
+    found = stash(found.repartition("u").mapInArrow(forest, "u long, v long").distinct())
     while True:
-        # Is this a forest of stars? Then no centre has an edge to a lesser node.
-        if found.select(F.col("v").alias("u")).distinct().join(found.select("u").distinct(), "u", "left_semi").isEmpty():
+        # Is this a forest of stars? Then no centre has an edge to a lesser node, and every other node has one edge.
+        ends = found.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(found.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").isEmpty():
             break
         both = found.union(found.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u != v")
-        found = stash(small.union(least.select("u", F.col("m").alias("v"))).mapInArrow(_forest, "u long, v long").distinct())
+        found = stash(small.union(least.select("u", F.col("m").alias("v"))).mapInArrow(forest, "u long, v long").distinct())
     nodes = found.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(found.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
