@@ -45,3 +45,11 @@ def test_query_equals_its_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_query_without_sql_runs(spark, name):
     assert catalog.QUERIES[name](spark, SMOKE).count() > 0
+
+
+def test_set_difference_users_covers_later_events(spark, tmp_path):
+    rows = [(1, 1, "click"), (200, 2, "click"), (10**6, 3, "click"), (10**6 + 1, 3, "view"), (10**6 + 2, 4, "view"), (10**6 + 3, 3, "click")]
+    found = [(i, u, kind, "2024-01-01 00:00:00") for i, u, kind in rows]
+    spark.createDataFrame(found, "event_id long, user_id long, event_type string, ts string").write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(map(tuple, catalog.QUERIES["set_difference_users"](spark, str(tmp_path)).collect()))
+    assert got == [(1, "difference"), (2, "difference"), (3, "common")]

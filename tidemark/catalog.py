@@ -549,6 +549,15 @@ def set_difference_ids(spark, sf_dir):
     return sets.select(shown(F.array_except("a", "b")).alias("difference"), shown(F.array_intersect("a", "b")).alias("common"))
 
 
+@query("WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'view') SELECT a.user_id, CASE WHEN b.user_id IS NULL THEN 'difference' ELSE 'common' END AS part FROM a LEFT JOIN b ON a.user_id = b.user_id")
+def set_difference_users(spark, sf_dir):
+    """set_difference_ids over all events, as rows; that one reads event_id < 150, as its SQL does."""
+    users = lambda kind: events(spark, sf_dir).where(F.col("event_type") == kind).select("user_id").distinct()
+    a, b = users("click"), users("view")
+    parts = (a.join(b, "user_id", how).withColumn("part", F.lit(part)) for how, part in (("left_anti", "difference"), ("left_semi", "common")))
+    return next(parts).union(next(parts))
+
+
 # Queries without SQL: tests hold them against brute force or a round trip.
 
 
