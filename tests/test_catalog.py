@@ -53,3 +53,14 @@ def test_set_difference_users_covers_later_events(spark, tmp_path):
     spark.createDataFrame(found, "event_id long, user_id long, event_type string, ts string").write.parquet(str(tmp_path / "events.parquet"))
     got = sorted(map(tuple, catalog.QUERIES["set_difference_users"](spark, str(tmp_path)).collect()))
     assert got == [(1, "difference"), (2, "difference"), (3, "common")]
+
+
+def test_semi_join_and_corroboration_cover_all_ids(spark, tmp_path):
+    docs = [(1, "x", "a"), (3, "x", "b"), (5, "y", "a"), (7, "y", "a"), (8, "z", None), (9, None, "a")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [r.n for r in catalog.QUERIES["semi_join_sources"](spark, str(tmp_path)).collect()] == [2]
+    rows = [(1, 1, "error"), (5, 1, "error"), (7, 2, "click"), (11, 3, "error"), (13, 4, "signup")]
+    found = [(i, u, kind, "2024-01-01 00:00:00") for i, u, kind in rows]
+    spark.createDataFrame(found, "event_id long, user_id long, event_type string, ts string").write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(map(tuple, catalog.QUERIES["corroborated_states"](spark, str(tmp_path)).collect()))
+    assert got == [(1, "major_outage"), (2, "operational"), (3, "operational"), (4, "operational")]

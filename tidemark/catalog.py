@@ -558,6 +558,14 @@ def set_difference_users(spark, sf_dir):
     return next(parts).union(next(parts))
 
 
+@query("SELECT count(*) AS n FROM documents WHERE text IN (SELECT text FROM documents GROUP BY text HAVING count(DISTINCT source) > 1)")
+def semi_join_sources(spark, sf_dir):
+    """semi_join_text with every document among the keys: documents whose text stands in several sources."""
+    d = table(spark, sf_dir, "documents")
+    shared = d.select("text", "source").where("source IS NOT NULL").distinct().groupBy("text").agg(F.count("*").alias("sources")).where("sources > 1")
+    return d.join(shared, "text", "left_semi").agg(F.count("*").alias("n"))
+
+
 # Queries without SQL: tests hold them against brute force or a round trip.
 
 
@@ -631,6 +639,14 @@ def corroborated_impact(spark, sf_dir):
     return S.corroborated(reports, errors, ["user_id"]).select("user_id", "effective")
 
 
+@query(f"WITH {STATES}, w AS (SELECT user_id, ['operational', 'maintenance', 'degraded_performance', 'partial_outage', 'major_outage'][max(list_position(['operational', 'maintenance', 'degraded_performance', 'partial_outage', 'major_outage'], status))] AS status FROM states GROUP BY 1), n AS (SELECT user_id, count(*) AS errors FROM events WHERE event_type = 'error' GROUP BY 1) SELECT w.user_id, CASE WHEN w.status = 'operational' OR coalesce(errors, 0) >= 2 THEN w.status ELSE 'operational' END AS effective FROM w LEFT JOIN n ON w.user_id = n.user_id")
+def corroborated_states(spark, sf_dir):
+    """corroborated_impact over all states and all errors."""
+    reports = S.worst_of(states(spark, sf_dir), ["user_id"]).withColumnRenamed("worst", "status")
+    errors = events(spark, sf_dir).where("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("errors"))
+    return S.corroborated(reports, errors, ["user_id"]).select("user_id", "effective")
+
+
 @query("WITH u AS (SELECT user_id, event_type, event_id FROM events), l AS (SELECT user_id, arg_max(event_type, event_id) AS last, max(event_id) AS id FROM u GROUP BY 1) SELECT user_id, last = 'signup' AND id % 2 = 0 AS human FROM l")
 def human_resolved(spark, sf_dir):
     u = events(spark, sf_dir).select(F.col("user_id").alias("incident_id"), F.lit(0).alias("ts"), F.col("event_id").alias("update_id"), F.when(F.col("event_type") == "signup", "resolved").otherwise("monitoring").alias("status"), F.when(F.col("event_id") % 2 == 0, "human").otherwise("system").alias("author"))
