@@ -84,3 +84,20 @@ def test_combinations_and_nnls():
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_queries_give_added_tokens_their_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.queries import QUERIES
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\ny", "<|endoftext|", *(t or "" for _, t in corpus(3, 30))]
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    wanted = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert wanted[0] == [64, 220, 50256, 275]
+    encoder = ChunkEncoder(None, added=True)
+    assert [encoder.ids(x) for x in texts] == wanted
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.start): (r.length, r.ids_crc32, r.doc_tokens) for r in QUERIES["op8_packing"](spark, str(tmp_path)).collect()}
+    whole = [np.array([*ids, 1], dtype="<u4") for ids in wanted]
+    assert got == {(i, s): (len(x[s : s + 2048]), zlib.crc32(x[s : s + 2048].tobytes()), len(x)) for i, x in enumerate(whole) for s in range(0, len(x), 2048)}

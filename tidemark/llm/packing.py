@@ -39,7 +39,8 @@ REMEMBERED = 300_000
 
 @dataclass(frozen=True)
 class Packing:
-    """ranks: the byte-level BPE vocabulary as ranks, by default that of byte_bpe_50k."""
+    """ranks: the byte-level BPE vocabulary as ranks, by default that of byte_bpe_50k. added: a text's added_tokens of
+    byte_bpe_50k.json, such as <|endoftext|>, get their own ids, as tokenizers reads them, and are not plain text."""
 
     window: int = 2048
     unit: int = 8
@@ -47,13 +48,15 @@ class Packing:
     end: int = 1
     ranks: str | None = None
     salts: int = 256
+    added: bool = False
 
 
 class ChunkEncoder:
     """Token ids of texts; chunks seen before are looked up."""
 
-    def __init__(self, ranks: str | None):
+    def __init__(self, ranks: str | None, added: bool = False):
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
@@ -63,8 +66,24 @@ class ChunkEncoder:
             table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
         self.known: dict[str, list[int]] = {}
+        self.added: dict[str, int] = {}
+        if added:
+            with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+                self.added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        # Longer ones first, as one may begin another.
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
 
     def ids(self, text: str) -> list[int]:
+        if self.split is None:
+            return self._plain(text)
+        plain, *rest = self.split(text)
+        out = self._plain(plain)
+        for token, plain in zip(rest[::2], rest[1::2], strict=True):
+            out.append(self.added[token])
+            out += self._plain(plain)
+        return out
+
+    def _plain(self, text: str) -> list[int]:
         known, out = self.known, []
         extend = out.extend
         for chunk in CHUNK.findall(text):
@@ -83,7 +102,7 @@ def pieces(docs: DataFrame, rule: Packing) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: each document's full windows and its remainder."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(rule.ranks)
+        encoder = ChunkEncoder(rule.ranks, rule.added)
         for batch in slices(batches):
             out = []
             for row, text in enumerate(batch.column(1).to_pylist()):

@@ -39,7 +39,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir))
+    return packing.pack(documents(spark, sf_dir), packing.Packing(added=True))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
