@@ -73,3 +73,12 @@ def test_sample_is_bounded_and_one_class_is_enough(spark):
     assert digest(docs, clean, SMALL).where("predicted = 1").count() == 0
     assert digest(docs.limit(0), clean.limit(0), SMALL).count() == 0
     assert score(docs.limit(0), np.zeros(4096, dtype=np.float32), 0.0, SMALL).count() == 0
+
+
+def test_longest_part_bounds_the_texts_trained_on(spark):
+    from tidemark.llm.toxicity import Model, sampled
+
+    docs = spark.createDataFrame([(1, "bad " * 100), (2, "bad"), (3, "good")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "doc_id long, toxic int")
+    longest = lambda **k: max(len(t) for t in sampled(docs, labels, Model(most_bytes=2000, **k))[0])
+    assert longest() == 4 and longest(longest_part=1) == 400

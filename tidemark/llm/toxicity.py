@@ -6,7 +6,8 @@ misspelling that was never seen shares most n-grams with words that were. As eve
 trained model comes down to one number for each row, and scoring adds those up.
 
 Training takes a bounded sample of the labelled rows, `Model.most_toxic` and `Model.most_clean` of them at most and
-`Model.most_bytes` of text, in the order of a hash of the text; everything else covers all rows and whole texts.
+`Model.most_bytes` of text, in the order of a hash of the text. A labelled text of more than 1 / `Model.longest_part` of its class's bytes (375 kB
+toxic, 1.1 MB clean) is not trained on. Everything else covers all rows and whole texts.
 
 Defined results: null text and text without letters or digits get the model's score of an empty text; null labels teach
 nothing; where one class is missing every score is that class's share; rows are judged one by one; an empty table gives
@@ -43,6 +44,7 @@ class Model:
     most_toxic: int = 1500
     most_clean: int = 4500
     most_bytes: int = 12_000_000
+    longest_part: int = 8  # a text of more than one such part of its class's bytes is not trained on
     seed: int = 3
 
 
@@ -162,7 +164,7 @@ def sampled(docs: DataFrame, labels: DataFrame, model: Model) -> tuple[list[str]
     chosen = []
     for toxic, most in ((1, model.most_toxic), (0, model.most_clean)):
         budget = model.most_bytes * most // (model.most_toxic + model.most_clean)
-        first = facts.where((F.col("toxic") == toxic) & (F.col("size") <= budget // 8)).orderBy("h", "doc_id").limit(most).collect()
+        first = facts.where((F.col("toxic") == toxic) & (F.col("size") <= budget // model.longest_part)).orderBy("h", "doc_id").limit(most).collect()
         upto = int(np.searchsorted(np.cumsum([r["size"] for r in first]), budget, side="right"))
         chosen += [(r["doc_id"], r["h"], toxic) for r in first[:upto]]
     if not chosen:
