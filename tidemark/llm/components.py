@@ -1,8 +1,8 @@
 """Connected components of large graphs by alternating stars, with a local spanning forest first.
 
-Every step is a grouped minimum and a join on its key; no adjacency list is ever gathered. A round ends in a written
-table, so a lost executor costs no more than the round. Hubs are safe: their minimum is combined before the shuffle,
-and the join's other side is unique, so adaptive execution can split it.
+Every step is a grouped minimum and a join on its key; no adjacency list is ever gathered. Steps end in written
+tables, so a lost executor costs no more than a step. Hubs are safe: their minimum is combined before the shuffle, and
+in the join the nodes with far more edges than others, which are boundedly few, are broadcast.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import stash
+from .session import join_unique, release, stash
 
 CHUNK = 1 << 19
 
@@ -61,18 +61,22 @@ def components(edges: DataFrame) -> DataFrame:
     a, b = edges.columns
     chunk = CHUNK
     forest = lambda batches: _forest(batches, chunk)
+    star = "u long, v long"
     found = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    found = stash(found.repartition("u").mapInArrow(forest, "u long, v long").distinct())
+    # A hub has one edge a task left when the edges are dealt out by their greater ends.
+    found = stash(found.mapInArrow(forest, star).distinct().repartition("u").mapInArrow(forest, star).distinct())
     while True:
         # Is this a forest of stars? Then no centre has an edge to a lesser node, and every other node has one edge.
         ends = found.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(found.select("v", F.lit(0), F.lit(1)))
         if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").isEmpty():
             break
-        both = found.union(found.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u != v")
-        found = stash(small.union(least.select("u", F.col("m").alias("v"))).mapInArrow(forest, "u long, v long").distinct())
+        both = stash(found.union(found.select("v", "u")))
+        least = stash(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")))
+        large = stash(join_unique(both, least, "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
+        least = stash(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = join_unique(large, least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        last, found = found, stash(small.union(least.select("u", F.col("m").alias("v"))).mapInArrow(forest, star).distinct())
+        for done in (last, both, large):
+            release(done)
     nodes = found.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(found.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

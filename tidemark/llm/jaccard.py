@@ -1,17 +1,24 @@
 """Exact Jaccard join of documents on word n-grams, by vertical partitioning.
 
 The global order of n-grams is the order of their 64-bit hashes. Cut into ranges of that order, a set falls into
-fragments. Candidates: sets of nearly equal size (a size class and the one below) are cut into more fragments than
-two linked sets can differ in n-grams, so linked sets have an equal fragment; only fragments that a count-min sketch
-estimates as repeated are shuffled. Verification: candidates that hang together form a cluster; within it overlaps
-are counted fragment by fragment and summed for each pair, in blocks of bounded size, inside the tasks. No pair is
-emitted: a block sends the stars of its links and each set's number of links. So a large group of near copies costs
-rows in proportion to its size.
-
+fragments, and two linked sets of nearly equal size (a size class and the one below) differ in few of them.
+
+1. Evidence: the hashes of all fragments, half as many again as linked sets can differ in, are dealt out by ranges.
+   Each range counts the sets that have each fragment and gives every set its partial number of fragments that another
+   set has too; these are summed per set. A set with fewer than a partner must share links with none and is settled.
+   So a set that merely quotes others goes no further, and the work follows the sets that have a near copy.
+2. Candidates: the other sets are cut into fragments anew, the fewest that must have an equal one in each linked set.
+   Sets that hang together by equal fragments form a cluster.
+3. Verification: within a cluster overlaps are counted fragment by fragment and summed for each pair, in blocks of
+   bounded size, inside the tasks. No pair is emitted: a block sends the stars of its links and each set's number of
+   links. So a large group of near copies costs rows in proportion to its size.
+
+Nothing is broadcast but what was counted first; every shuffle is by hashes, and grows in proportion to the input.
 Equal sets are one class with one 64-bit id; two different sets would share an id once in 2**64 pairs.
 
 Defined results: null text and text without words have an empty set and link with nothing; equal rows are linked like
-any copies; component_id is the least doc_id of the class that is not null, or null; further columns are ignored.
+any copies; component_id is the least doc_id of the class that is not null, or null; a text of any length is one set,
+held by one task; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,17 +34,21 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .components import components
-from .session import NO_ID, bytes_estimate, doc_id_of, keyed, stash
+from .session import NO_ID, bytes_estimate, doc_id_of, join_unique, keyed, n_partitions, release, stash
 from .textwords import U64, Hasher, mix, slices, stream, word_hashes
 
 #: A block has at most about so many sets and so many n-grams.
-BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 21
-#: Clustered sets (about 100 bytes each) whose facts are broadcast; beyond that they are shuffled.
+BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 20
+#: Candidate sets (about 100 bytes each) whose facts are broadcast; beyond that they are shuffled.
 BROADCAST_SETS = 300_000
-#: Signatures whose first set a task remembers.
-LEADS = 1 << 18
+#: Signatures whose first set a task remembers, and sets that it remembers to have sent.
+LEADS, SENT = 1 << 18, 1 << 18
+#: Fragments that a task gathers before it sends them, and about so many are counted at a time.
+FLUSH, RANGE = 1 << 19, 1 << 21
 #: Ranges of the global order whose partial overlaps are counted one after the other.
 VERTICAL = 16
+EVIDENCE = "part int, did long, th long, n long, sid long, sids binary, metas binary, counts binary, digests binary"
+COUNTED = "did long, th long, n long, sid long, meta long, shared long"
 
 
 @dataclass(frozen=True)
@@ -84,43 +95,76 @@ def set_id(grams: np.ndarray) -> int:
         return int(mix(np.array([np.sum(mix(grams ^ U64(0x5E7))) + U64(len(grams))], dtype=U64)).view(np.int64)[0])
 
 
+@dataclass
+class Cut:
+    """Fragments of sets: hashes and, in order, the entry of each. An entry is a set (by index) as a member of its own
+    class (up 0) or the next (up 1); need: so many of its fragments at least must a linked set share."""
+
+    sigs: np.ndarray
+    entry: np.ndarray
+    owner: np.ndarray
+    up: np.ndarray
+    need: np.ndarray
+
+
 class Fragments:
-    """Signatures of the fragments of a set."""
+    """Cuts sets into fragments."""
 
     def __init__(self, rule: Rule):
-        self.rule, self.classes, self.salt = rule, size_classes(rule, 64), stream(77, 2)
-
-    def _class_of(self, n: int) -> int:
-        while self.classes[-1][1] < n:
-            self.classes = size_classes(self.rule, self.classes[-1][1] * 4)
-        return next(i for i, (low, high) in enumerate(self.classes) if low <= n <= high)
+        self.rule, self.salt = rule, stream(77, 2)
+        self._grow(64)
+
+    def _grow(self, most: int) -> None:
+        classes = size_classes(self.rule, most)
+        self.low, self.high = (np.array([c[i] for c in classes], dtype=np.int64) for i in (0, 1))
+
+    def cut(self, sets: list[np.ndarray], wide: bool) -> Cut:
+        """The fewest fragments that suffice, or half as many again (wide). Sets too small to differ have none.
+
+        Linked sets differ in at most k n-grams, each of which spoils one fragment: of e fragments that are not empty,
+        e - k are equal in both. With the fewest (k + 1 and some more, as some are empty) a set that has k or fewer also
+        gives its empty ones, so of two linked sets either both do or one has an equal fragment that is not empty.
+        """
+        size = np.array([len(s) for s in sets], dtype=np.int64)
+        if len(size) and self.high[-2] < (most := int(size.max())):
+            self._grow(4 * most)
+        own = np.searchsorted(self.low, size, side="right") - 1
+        grams = np.concatenate(sets) if sets else np.zeros(0, dtype=U64)
+        content, first = mix(grams ^ self.salt[0]), np.append(0, np.cumsum(size))
+        out: list[tuple[np.ndarray, ...]] = []
+        for up in (0, 1):
+            c = own + up
+            low, high = self.low[c], self.high[c]
+            k = self.rule.differing(high)
+            total = k + 1
+            if wide:
+                total = total * 3 // 2
+            else:
+                empty = total * np.exp(-self.rule.percent * low / 100 / total)
+                total = total + np.ceil(empty + 4 * np.sqrt(empty)).astype(np.int64)
+            at = np.flatnonzero((c > 0) & (100 * size >= self.rule.percent * low))
+            lengths = size[at]
+            doc = np.repeat(np.arange(len(at)), lengths)
+            take = np.arange(len(doc)) + np.repeat(first[:-1][at] - (np.cumsum(lengths) - lengths), lengths)
+            place = ((grams[take] >> U64(32)) * total[at].astype(U64)[doc]) >> U64(32)
+            begins = np.flatnonzero((np.diff(place, prepend=U64(0)) != 0) | (np.diff(doc, prepend=-1) != 0))
+            owner, place = doc[begins], place[begins]
+            full = np.bincount(owner, minlength=len(at))
+            name = c[at].astype(U64) << U64(32)
+            with np.errstate(over="ignore"):
+                sums = np.add.reduceat(content[take], begins) if len(begins) else content[:0]
+                sigs = mix(sums + mix(place + name[owner] + self.salt[1]))
+                if not wide:
+                    gaps = [(d, np.setdiff1d(np.arange(total[at[d]], dtype=U64), place[owner == d])) for d in np.flatnonzero(full <= k[at]).tolist()]
+                    sigs = np.concatenate([sigs, *(mix(mix(empty + name[d] + self.salt[1]) ^ U64(0xE)) for d, empty in gaps)])
+                    owner = np.concatenate([owner, *(np.full(len(empty), d) for d, empty in gaps)])
+            out.append((sigs, owner, at, np.full(len(at), up), full - k[at]))
+        n = len(out[0][2])
+        return Cut(np.concatenate([x[0] for x in out]), np.concatenate([out[0][1], out[1][1] + n]), *(np.concatenate([x[i] for x in out]) for i in (2, 3, 4)))
 
     def signatures(self, grams: np.ndarray) -> np.ndarray:
         """Two different linked sets have a signature in common. (Sets too small to differ have none.)"""
-        n = len(grams)
-        own = self._class_of(n)
-        out = []
-        for c in (own, own + 1):
-            if c >= len(self.classes):
-                self.classes = size_classes(self.rule, self.classes[-1][1] * 4)
-            low, high = self.classes[c]
-            if c == 0 or 100 * n < self.rule.percent * low:
-                continue
-            # Where f of the fragments are empty in both sets, f more are needed; sets with more empty ones than the
-            # spare fragments also send those.
-            k = self.rule.differing(high)
-            mean = self.rule.percent * low / 100 / (k + 1)
-            spare = int(np.ceil((k + 1) * np.exp(-mean) + 4 * np.sqrt((k + 1) * np.exp(-mean))))
-            total = k + 1 + spare
-            place = ((grams >> U64(32)) * U64(total)) >> U64(32)
-            begins = np.flatnonzero(np.diff(place, prepend=U64(total)) != 0)
-            with np.errstate(over="ignore"):
-                content = np.add.reduceat(mix(grams ^ self.salt[0]), begins)
-                out.append(mix(content + mix(place[begins] + (U64(c) << U64(32)) + self.salt[1])))
-            if total - len(begins) >= total - k:
-                empty = np.setdiff1d(np.arange(total, dtype=U64), place[begins])
-                out.append(mix(mix(empty + (U64(c) << U64(32)) + self.salt[1]) ^ U64(0xE)))
-        return np.concatenate(out) if out else np.zeros(0, dtype=U64)
+        return self.cut([grams], wide=False).sigs
 
 
 def _names(kind: str) -> list[str]:
@@ -131,101 +175,212 @@ def _record(columns: list, kind: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], _names(kind))
 
 
-def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """One row for each row of docs: did, th (see session.keyed), n_shingles, set_id, class_id (the same for
-    documents that links connect), n_links (different texts or copies that it links with)."""
-    rule = Rule(k, percent)
-    rows = keyed(docs)
-    # A set of n n-grams has about 0.4 n signatures at 85 percent, and a word has about 6 bytes.
-    width = sketch.cells_for(bytes_estimate(docs) * 0.065 * (1 + (85 - percent) / 12), per_key=2.4 if percent > 82 else 1.7)
+def _none(n: int) -> pa.Array:
+    return pa.nulls(n, pa.int64())
+
+
+def _sent(cuts: list[tuple[Cut, np.ndarray]], ranges: int) -> pa.RecordBatch:
+    """The fragments of some sets, a row for each range of hashes: the entries that have any there (set, need * 2 + up,
+    how many) and 32 further bits of each hash."""
+    offset, entries = 0, []
+    for cut, _ in cuts:
+        entries.append(cut.entry + offset)
+        offset += len(cut.owner)
+    sigs, entry = np.concatenate([c.sigs for c, _ in cuts]), np.concatenate(entries)
+    sid = np.concatenate([names[c.owner] for c, names in cuts])
+    meta = np.concatenate([np.maximum(c.need, 0) * 2 + c.up for c, _ in cuts])
+    wide = (sigs >> U64(32)) * U64(ranges)
+    part = (wide >> U64(32)).astype(np.int64)
+    order = np.lexsort((entry, part))
+    part, entry, digest = part[order], entry[order], (mix(sigs[order]) >> U64(32)).astype(np.uint32)
+    heads = np.flatnonzero((np.diff(part, prepend=-1) != 0) | (np.diff(entry, prepend=-1) != 0))
+    counts = np.diff(np.append(heads, len(part))).astype(np.uint32)
+    cuts_ = np.flatnonzero(np.diff(part, prepend=-1) != 0)
+    rows = []
+    for a, b in zip(cuts_.tolist(), [*cuts_[1:].tolist(), len(part)], strict=True):
+        i, j = np.searchsorted(heads, [a, b])
+        who = entry[heads[i:j]]
+        rows.append((int(part[a]), sid[who].tobytes(), meta[who].astype(np.uint32).tobytes(), counts[i:j].tobytes(), digest[a:b].tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[_none(len(rows))] * 4, *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3, 4))], _names(EVIDENCE))
+
+
+def _evidence(rule: Rule, ranges: int):
+    """Of each document a row with its set; of each set of the task the fragments."""
 
-    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        shingler, fragments, seen = Shingler(k), Fragments(rule), set()
-        for batch in slices(batches):
-            found = []
-            for grams in shingler.sets(batch):
-                if len(grams) and (name := set_id(grams)) not in seen:
-                    seen.add(name)
-                    found.append(fragments.signatures(grams))
-            if found:
-                yield np.concatenate(found)
-
-    repeated = sketch.build(rows.select("text"), signatures, width)
-    kind = "sig long, sid long, lead long, n long, did long, th long"
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row with did for each document; for each repeated signature a row with sig and the first set in this task
-        that has it; and rows with lead for the task's further sets, so a frequent signature costs a task one row."""
-        shingler, fragments, seen, known = Shingler(k), Fragments(rule), set(), repeated.value
-        leads: dict[int, int] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, fragments, seen = Shingler(rule.k), Fragments(rule), set()
+        held, n = [], 0
         for batch in slices(batches):
-            names, sizes, sigs, owners, near = [], [], [], [], set()
+            names, sizes, new, fresh = [], [], [], []
             for grams in shingler.sets(batch):
-                name = set_id(grams)
-                names.append(name)
+                names.append(set_id(grams))
                 sizes.append(len(grams))
-                if len(grams) and name not in seen:
-                    seen.add(name)
-                    found = fragments.signatures(grams)
-                    for sig in found[known.repeated(found)].view(np.int64).tolist():
-                        lead = leads.setdefault(sig, name)
-                        if lead != name:
-                            near.add((name, lead))
-                        else:
-                            sigs.append(sig)
-                            owners.append(name)
+                if len(grams) and names[-1] not in seen:
+                    seen.add(names[-1])
+                    new.append(grams)
+                    fresh.append(names[-1])
             did, th = (batch.column(batch.schema.get_field_index(c)) for c in ("did", "th"))
-            none = lambda n: pa.nulls(n, pa.int64())
-            yield _record([none(len(names)), names, none(len(names)), sizes, did, th], kind)
-            yield _record([sigs, owners, *[none(len(sigs))] * 4], kind)
-            yield _record([none(len(near)), [x for x, _ in near], [x for _, x in near], *[none(len(near))] * 3], kind)
-            if len(leads) > LEADS:
-                leads.clear()
+            names, none = np.array(names, dtype=np.int64), pa.nulls(len(names), pa.binary())
+            part = pa.array((names.view(U64) % U64(ranges)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([part, did, th, pa.array(sizes, pa.int64()), pa.array(names), none, none, none, none], _names(EVIDENCE))
+            if new:
+                cut = fragments.cut(new, wide=True)
+                held.append((cut, np.array(fresh, dtype=np.int64)))
+                n += len(cut.sigs)
+            if n >= FLUSH:
+                yield _sent(held, ranges)
+                held, n = [], 0
+            if len(seen) > SENT:
+                seen.clear()
+        if n:
+            yield _sent(held, ranges)
+
+    return run
+
+
+def _shared(digest: np.ndarray, sid: np.ndarray) -> np.ndarray:
+    """True for one place of each (fragment, set) whose fragment two sets have or more."""
+    order = np.argsort((digest.astype(U64) << U64(32)) | (sid.view(U64) & U64(0xFFFFFFFF)))
+    d, s = digest[order], sid[order]
+    first = np.diff(d.astype(np.int64), prepend=-1) != 0
+    fresh = first | np.append(False, s[1:] != s[:-1])
+    group = np.cumsum(first) - 1
+    out = np.zeros(len(digest), dtype=bool)
+    out[order] = fresh & (np.bincount(group, weights=fresh)[group] > 1)
+    return out
 
-    described = stash(rows.mapInArrow(describe, kind))
-    members = described.where("did IS NOT NULL").select("did", "th", "n", "sid")
-    # After the tasks' own leads a signature has few rows, as many as there are tasks at most.
-    first = F.min("sid").over(W.partitionBy("sig"))
-    shared = described.where("sig IS NOT NULL").select("sid", first.alias("lead")).where("sid != lead")
-    near = shared.union(described.where("lead IS NOT NULL").select("sid", "lead")).distinct()
-    clusters = stash(components(near).select(F.col("node").alias("sid"), F.col("component").alias("cluster")))
 
-    # One document stands for each clustered set; its text is recognised by a bitmap of th, so no text is shuffled.
-    standing = members.join(clusters, "sid").groupBy("sid", "cluster").agg(F.min(F.struct("did", "th")).alias("key"), F.count("*").alias("copies"), F.first("n").alias("n"))
-    standing = stash(standing.select("sid", "cluster", "key.did", "key.th", "copies", "n"))
-    wanted = sketch.build(standing.select("th"), sketch.counted("th"), sketch.cells_for(standing.count(), per_key=8), least=1)
+def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents as they are; of each range the sets with fragments that others share, and how many."""
+    at, held = None, []
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        sid, meta, counts, digest = (np.concatenate([np.frombuffer(x[i], dtype=kind) for x in held]) for i, kind in enumerate((np.int64, np.uint32, np.uint32, np.uint32)))
+        owner = np.repeat(np.arange(len(sid)), counts)
+        shared = np.bincount(owner, weights=_shared(digest, sid[owner]), minlength=len(sid)).astype(np.int64)
+        keep = (shared > 0) | (meta < 2)  # who needs none is never ruled out
+        n = int(keep.sum())
+        yield _record([_none(n), _none(n), _none(n), sid[keep], meta[keep].astype(np.int64), shared[keep]], COUNTED)
+
+    for batch in batches:
+        member = batch.column(5).is_null()
+        docs = batch.filter(member)
+        if docs.num_rows:
+            yield _record([*docs.columns[1:5], _none(docs.num_rows), _none(docs.num_rows)], COUNTED)
+        blobs = batch.filter(batch.column(5).is_valid())
+        for i in range(blobs.num_rows):
+            part = blobs.column(0)[i].as_py()
+            if held and part != at:
+                yield from counted()
+                held = []
+            at = part
+            held.append([blobs.column(c)[i].as_buffer() for c in (5, 6, 7, 8)])
+    if held:
+        yield from counted()
+
+
+def evidence(rows: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """(did, th, n, sid) of each row, and (sid) of the sets that may have a linked one."""
+    # A set of n n-grams has about (100 - percent) / 30 * n fragments, and a word has about 6 bytes.
+    ranges = max(n_partitions(rows.sparkSession), int(bytes_estimate(rows) / 180 * (100 - rule.percent)) // RANGE)
+    sent = rows.mapInArrow(_evidence(rule, ranges), EVIDENCE)
+    counted = stash(sent.repartition("part").sortWithinPartitions("part").mapInArrow(_count_shared, COUNTED))
+    members = counted.where("did IS NOT NULL").select("did", "th", "n", "sid")
+    found = counted.where("did IS NULL").groupBy("sid", "meta").agg(F.sum("shared").alias("shared"))
+    return members, found.where(F.col("shared") >= F.shiftright("meta", 1)).select("sid").distinct()
+
+
+def texts_of(rows: DataFrame, wanted: DataFrame, make, schema: str) -> DataFrame:
+    """make (an Arrow function) over the rows (did, th, text) whose (did, th) is wanted, and over some others.
+
+    While the wanted are few a bitmap of them rules out the others where they are read; beyond that they are joined.
+    """
+    if (n := wanted.count()) > sketch.MOST_CELLS // 8:
+        return rows.join(wanted.select("did", "th").distinct(), ["did", "th"], "left_semi").mapInArrow(make, schema)
+    known = sketch.build(wanted.select(F.xxhash64("did", "th").alias("__k")), sketch.counted("__k"), sketch.cells_for(n, per_key=8), least=1)
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, known = Shingler(k), wanted.value
-        for batch in batches:
-            th = batch.column(batch.schema.get_field_index("th")).to_numpy()
-            for part in slices(iter([batch.filter(pa.array(known.repeated(th.view(U64))))])):
-                grams = pa.array([g.tobytes() for g in shingler.sets(part)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in ("did", "th")] + [grams], ["did", "th", "grams"])
+        at = lambda b: b.column(b.schema.get_field_index("__k")).to_numpy().view(U64)
+        return make(b.filter(pa.array(known.value.repeated(at(b)))) for b in batches)
 
-    grams = rows.mapInArrow(needed, "did long, th long, grams binary")
-    sizes = standing.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    return rows.withColumn("__k", F.xxhash64("did", "th")).mapInArrow(needed, schema)
+
+
+def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+    """One row for each row of docs: did, th (see session.keyed), n_shingles, set_id, class_id (the same for
+    documents that links connect), n_links (different texts or copies that it links with)."""
+    rule = Rule(k, percent)
+    rows = keyed(docs)
+    members, hopeful = evidence(rows, rule)
+    facts = members.where("n > 0").groupBy("sid").agg(F.min(F.struct("did", "th")).alias("key"), F.count("*").alias("copies"), F.first("n").alias("n"))
+    facts = stash(facts.select("sid", "key.did", "key.th", "copies", "n"))
+    # One document stands for each set.
+    standing = stash(facts.join(hopeful, "sid", "left_semi"))
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(k)
+        for part in slices(batches):
+            sets = list(shingler.sets(part))
+            names = pa.array([set_id(g) for g in sets], pa.int64())
+            grams = pa.array([g.tobytes() for g in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in ("did", "th")] + [names, grams], ["did", "th", "sid", "grams"])
+
+    held = texts_of(rows, standing, shingle, "did long, th long, sid long, grams binary")
+    few = standing.count() <= BROADCAST_SETS
+    keys = standing.select("sid", "did", "th")
+    held = stash(held.join(F.broadcast(keys) if few else keys, ["sid", "did", "th"], "left_semi").select("sid", "grams"))
+    near = _near(held, rule)
+    clusters = stash(components(near).select(F.col("node").alias("sid"), F.col("component").alias("cluster")))
+    placed = standing.join(clusters, "sid").select("sid", "cluster", "copies", "n")
+    sizes = placed.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     # The sets are the bulk: while the facts beside them are few they are broadcast, so the sets travel only once.
-    facts = standing.join(sizes, "cluster")
+    placed = placed.join(sizes, "cluster").drop("n")
     blocked = (
-        grams.join(F.broadcast(facts) if standing.count() <= BROADCAST_SETS else facts, ["did", "th"])
+        held.join(F.broadcast(placed) if few else placed, "sid")
         .withColumn("own", F.pmod(F.col("sid"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("cluster", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "sid", "own", "copies", "grams")
     )
     found = stash(blocked.repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b", "sid").mapInArrow(_compare(rule), "sid long, root long, links long"))
+    release(held)
     classes = components(found.select("sid", "root"))
     links = found.groupBy("sid").agg(F.sum("links").alias("links"))
-    copies = members.where("n > 0").groupBy("sid").agg((F.count("*") - 1).alias("copies"))
-    return (
-        members.join(classes.select(F.col("node").alias("sid"), "component"), "sid", "left")
-        .join(links, "sid", "left")
-        .join(copies, "sid", "left")
-        .select(
-            "did", "th", F.col("n").alias("n_shingles"), F.col("sid").alias("set_id"), F.coalesce("component", "sid").alias("class_id"),
-            F.when(F.col("n") > 0, F.coalesce("links", F.lit(0)) + F.col("copies")).otherwise(0).alias("n_links"),
-        )
-    )
+    told = facts.join(classes.select(F.col("node").alias("sid"), "component"), "sid", "left").join(links, "sid", "left")
+    told = stash(told.select("sid", "copies", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
+    return join_unique(members, told, "sid", "copies").select(
+        "did", "th", F.col("n").alias("n_shingles"), F.col("sid").alias("set_id"), F.coalesce("component", "sid").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links")
+    )
+
+
+def _near(held: DataFrame, rule: Rule) -> DataFrame:
+    """(sid, lead): sets with a common signature hang together by these.
+
+    Of each signature a task sends the first set that has it; its further sets are put down as near that one, so a
+    frequent signature costs a task one row.
+    """
+    kind = "sig long, sid long, lead long"
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fragments, leads = Fragments(rule), {}
+        for batch in slices(batches, text="grams"):
+            names = batch.column(0).to_numpy()
+            cut = fragments.cut([np.frombuffer(x.as_buffer(), dtype=U64) for x in batch.column(1)], wide=False)
+            firsts, near = ([], []), set()
+            for sig, name in zip(cut.sigs.view(np.int64).tolist(), names[cut.owner[cut.entry]].tolist(), strict=True):
+                if (first := leads.setdefault(sig, name)) == name:
+                    firsts[0].append(sig)
+                    firsts[1].append(name)
+                else:
+                    near.add((name, first))
+            yield _record([*firsts, _none(len(firsts[0]))], kind)
+            yield _record([_none(len(near)), [x for x, _ in near], [x for _, x in near]], kind)
+            if len(leads) > LEADS:
+                leads.clear()
+
+    told = stash(held.mapInArrow(lead, kind))
+    first = F.min("sid").over(W.partitionBy("sig"))
+    shared = told.where("sig IS NOT NULL").select("sid", first.alias("lead")).where("sid != lead")
+    return shared.union(told.where("lead IS NOT NULL").select("sid", "lead")).distinct()
 
 
 def _compare(rule: Rule):

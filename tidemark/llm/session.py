@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,12 +12,17 @@ from pyspark.sql import functions as F
 #: ASCII blanks that separate words: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 NO_ID = -(2**63)
+#: Keys that count as hot have more rows than the first; and there are at most as many of them as the second.
+LEAST_HOT, HOT_KEYS = 1000, 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. A session that names none gets one of
+    its own only in local mode, where driver and executors are one process; elsewhere that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -31,7 +37,33 @@ def stash(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def release(table: DataFrame) -> None:
+    """Delete a stashed table that nothing reads any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.stashed_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
+    """left with the columns of right, which has each key once; rows of left without one get nulls.
+
+    weight (a column of right) says how many rows left has with that key. Keys with so many that one task would have
+    far more than the others are at most HOT_KEYS; they are broadcast, and the rest is shuffled. Both sides are read
+    twice, so they should be stashed.
+    """
+    total, most = right.agg(F.sum(weight), F.max(weight)).first()
+    bound = max(LEAST_HOT, (total or 0) // HOT_KEYS)
+    if (most or 0) <= bound:
+        return left.join(right, key, "left")
+    hot = right.where(F.col(weight) > bound)
+    aside = left.join(F.broadcast(hot), key)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return aside.unionByName(rest.join(right.where(F.col(weight) <= bound), key, "left"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
