@@ -2,9 +2,11 @@
 
 A window is `window` consecutive words. First pass: every window's count is overestimated by the count of its least
 gram (`gram` words), which equal windows share; partition sketches of those grams are merged. Second pass: only
-windows estimated as repeated are grouped, exactly, by 96-bit hashes of their words. Within a task later copies of
-a window are marked at once and only the first goes on, so a passage in a third of all documents costs each task
-one row a window.
+windows estimated as repeated are grouped, by 96 bits of hashes over 64-bit hashes of their words: windows that differ
+pass as equal once in 2**96 pairs, or once in 2**64 where they differ in words alone whose hashes are equal. Windows
+travel packed by ranges of their least gram's hash, neighbours together; those of a very frequent gram one by one.
+Within a task later copies of a window are marked at once and only the first goes on, so a passage in a third of all
+documents costs each task one window.
 
 Defined results: null text is empty; texts with fewer words than the window lose nothing; equal rows (doc_id and text)
 are one document and get the same result; rows that share a doc_id but not the text are separate documents,
@@ -15,19 +17,64 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import sketch
-from .session import bytes_estimate, doc_id_of, keyed
-from .textwords import U64, Hasher, anchored, slices, word_hashes
+from .session import bytes_estimate, doc_id_of, keyed, n_partitions
+from .textwords import U64, Hasher, anchored, mix, slices, word_hashes
 
 #: Windows that a task gathers before it marks later copies and sends the rest.
-FLUSH = 1 << 19
+FLUSH = 1 << 18
+#: At most about so many windows are grouped at a time.
+RANGE = 1 << 21
+#: Windows whose least gram is counted so often are dealt out one by one.
+HOT = 1 << 13
+SENT = "part int, did long, th long, start long, n long, docs binary, runs binary, one binary, two binary"
+SPAN = "did long, th long, start long, n long"
+
+
+@dataclass
+class Windows:
+    """Some windows: two hashes of the words, the document's rank among docs (did, th in order) and the start."""
+
+    one: np.ndarray
+    two: np.ndarray
+    rank: np.ndarray
+    start: np.ndarray
+    docs: np.ndarray
+
+    @classmethod
+    def of(cls, one, two, did, th, start) -> Windows:
+        docs, rank = np.unique(np.stack([did, th], axis=1), axis=0, return_inverse=True)
+        return cls(one, two, rank.reshape(-1), start, docs)
+
+    def firsts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes of the first window of each group of equal ones, and of all that start later than theirs."""
+        order = np.lexsort((self.start, self.rank, self.two, self.one))
+        one, two, rank, start = (x[order] for x in (self.one, self.two, self.rank, self.start))
+        begins = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))[: len(one)]
+        head = np.flatnonzero(begins)[np.cumsum(begins) - 1]
+        return order[begins], order[(rank != rank[head]) | (start != start[head])]
+
+    def runs(self, at: np.ndarray, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """at in order of part, document and start; where runs of windows one behind the other begin; their lengths."""
+        part = np.zeros(len(self.start), dtype=np.int64) if part is None else part
+        at = at[np.lexsort((self.start[at], self.rank[at], part[at]))]
+        p, r, s = part[at], self.rank[at], self.start[at]
+        begins = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (r[1:] != r[:-1]) | (s[1:] > s[:-1] + 1))[: len(at)])
+        ends = np.append(begins[1:], len(at))[: len(begins)] - 1
+        return at, begins, s[ends] - s[begins] + 1
+
+    def spans(self, at: np.ndarray) -> list[np.ndarray]:
+        """did, th, start, n of the runs of the windows at."""
+        at, begins, n = self.runs(at)
+        docs = self.docs[self.rank[at[begins]]].reshape(-1, 2)
+        return [docs[:, 0], docs[:, 1], self.start[at[begins]], n]
 
 
 def _window_state(window: int, gram: int):
@@ -41,62 +88,92 @@ def _window_state(window: int, gram: int):
     return of
 
 
-def repeated_windows(docs: DataFrame, window: int, gram: int, seen) -> DataFrame:
-    """(did, th, start, n): runs of n windows, each with an equal window that starts earlier."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, sketch_ = _window_state(window, gram), seen.value
-        held: list[tuple[np.ndarray, ...]] = []
-        n = 0
+def _mark(window: int, gram: int, seen, ranges: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, known = _window_state(window, gram), seen.value
+        held, n = [], 0
         for batch in slices(batches):
             words, h, found, one, two = state(batch)
             at = np.flatnonzero(found.valid)
-            at = at[sketch_.repeated(found.least[at])]
+            at = at[known.repeated(found.least[at])]
             if len(at):
                 owner = np.searchsorted(words.first, at, side="right") - 1
                 did, th = (batch.column(batch.schema.get_field_index(c)).to_numpy()[owner] for c in ("did", "th"))
-                held.append((one.windows(h, window)[at].view(np.int64), (two.windows(h, window)[at] >> U64(32)).astype(np.int64), did, th, at - words.first[owner]))
+                key, first = found.least[at], one.windows(h, window)[at]
+                part = (mix(np.where(known.hot(key), first, key)) >> U64(32)) * U64(ranges) >> U64(32)
+                held.append((first, (two.windows(h, window)[at] >> U64(32)).astype(np.uint32), did, th, at - words.first[owner], part.astype(np.int64)))
                 n += len(at)
             if n >= FLUSH:
-                yield _marked([np.concatenate(x) for x in zip(*held, strict=True)])
+                yield from _marked(held)
                 held, n = [], 0
         if n:
-            yield _marked([np.concatenate(x) for x in zip(*held, strict=True)])
-
-    rows = docs.mapInArrow(mark, "h1 long, h2 long, did long, th long, start long, n long")
-    order = W.partitionBy("h1", "h2").orderBy("did", "th", "start")
-    return (
-        rows.withColumn("place", F.rank().over(order))
-        .where((F.col("n") > 0) | (F.col("place") > 1))
-        .select("did", "th", "start", F.greatest("n", F.lit(1)).alias("n"))
-    )
-
-
-def _marked(rows: list[np.ndarray]) -> pa.RecordBatch:
-    """Of each window the first in order goes on (n = 0); the later ones are put down as runs of n windows, which
-    need no further comparison and carry keys of their own."""
-    h1, h2, did, th, start = rows
-    order = np.lexsort((start, th, did, h2, h1))
-    h1, h2, did, th, start = (x[order] for x in rows)
-    begins = np.ones(len(h1), dtype=bool)
-    begins[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-    head = np.flatnonzero(begins)[np.cumsum(begins) - 1]  # the first row of each row's window
-    later = (did != did[head]) | (th != th[head]) | (start != start[head])
-    first = begins
-    lates = np.flatnonzero(later)
-    lates = lates[np.lexsort((start[lates], th[lates], did[lates]))]
-    d, t, s = did[lates], th[lates], start[lates]
-    begins = np.ones(len(lates), dtype=bool)
-    begins[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (s[1:] > s[:-1] + 1)
-    at = np.flatnonzero(begins)
-    ends = np.append(at[1:], len(lates))[: len(at)] - 1
-    runs = s[ends] - s[at] + 1 if len(at) else np.zeros(0, dtype=np.int64)
-    zero = np.zeros(int(first.sum()), dtype=np.int64)
-    columns = [
-        np.concatenate([h1[first], d[at] ^ (s[at] << 20)]), np.concatenate([h2[first], t[at]]), np.concatenate([did[first], d[at]]),
-        np.concatenate([th[first], t[at]]), np.concatenate([start[first], s[at]]), np.concatenate([zero, runs]),
-    ]
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["h1", "h2", "did", "th", "start", "n"])
+            yield from _marked(held)
+
+    return run
+
+
+def _marked(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Of each window the first in order goes on, packed with others of its range; the later ones are put down as runs
+    of n windows, which need no further comparison."""
+    *columns, part = (np.concatenate(x) for x in zip(*held, strict=True))
+    found = Windows.of(*columns)
+    first, later = found.firsts()
+    at, begins, n = found.runs(first, part)
+    cuts = np.flatnonzero(np.diff(part[at[begins]], prepend=-1) != 0)
+    rows = []
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(begins)], strict=True):
+        runs = begins[a:b]
+        docs, owner = np.unique(found.rank[at[runs]], return_inverse=True)
+        own = at[runs[0] : begins[b] if b < len(begins) else len(at)]
+        table = np.stack([owner, found.start[at[runs]], n[a:b]]).astype(np.uint32)
+        rows.append((int(part[own[0]]), found.docs[docs].tobytes(), table.tobytes(), found.one[own].tobytes(), found.two[own].tobytes()))
+    none = pa.nulls(len(rows), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), none, none, none, none, *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3, 4))], [x.split()[0] for x in SENT.split(", ")])
+    spans = found.spans(later)
+    none = pa.nulls(len(spans[0]), pa.binary())
+    spread = pa.array((np.arange(len(spans[0])) % (1 << 20)).astype(np.int32))
+    yield pa.RecordBatch.from_arrays([spread, *(pa.array(x, pa.int64()) for x in spans), none, none, none, none], [x.split()[0] for x in SENT.split(", ")])
+
+
+def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of runs as they are; of each range the windows that equal an earlier one, as runs."""
+    names = [x.split()[0] for x in SPAN.split(", ")]
+    at, held = None, []
+
+    def later() -> pa.RecordBatch:
+        did, th, start = [], [], []
+        for docs, runs, _, _ in held:
+            docs = np.frombuffer(docs, dtype=np.int64).reshape(-1, 2)
+            owner, begin, n = np.frombuffer(runs, dtype=np.uint32).astype(np.int64).reshape(3, -1)
+            owner = np.repeat(owner, n)
+            did.append(docs[owner, 0])
+            th.append(docs[owner, 1])
+            start.append(np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum()))
+        one, two = (np.concatenate([np.frombuffer(x[i], dtype=kind) for x in held]) for i, kind in ((2, U64), (3, np.uint32)))
+        found = Windows.of(one, two, *map(np.concatenate, (did, th, start)))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found.spans(found.firsts()[1])], names)
+
+    for batch in batches:
+        packed = batch.column(5).is_valid()
+        done = batch.filter(batch.column(5).is_null())
+        if done.num_rows:
+            yield pa.RecordBatch.from_arrays(done.columns[1:5], names)
+        blobs = batch.filter(packed)
+        for i in range(blobs.num_rows):
+            part = blobs.column(0)[i].as_py()
+            if held and part != at:
+                yield later()
+                held = []
+            at = part
+            held.append([blobs.column(c)[i].as_buffer() for c in (5, 6, 7, 8)])
+    if held:
+        yield later()
+
+
+def repeated_windows(rows: DataFrame, window: int, gram: int, seen, ranges: int) -> DataFrame:
+    """(did, th, start, n): runs of n windows, each with an equal window that starts earlier."""
+    sent = rows.mapInArrow(_mark(window, gram, seen, ranges), SENT)
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(_group, SPAN)
 
 
 def remove_repeated_passages(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFrame:
@@ -110,8 +187,9 @@ def remove_repeated_passages(docs: DataFrame, window: int = 20, gram: int = 8) -
         for batch in slices(batches):
             yield state(batch)[2].hashes
 
-    seen = sketch.build(rows.select("text"), anchors, width)
-    spans = repeated_windows(rows, window, gram, seen).groupBy("did", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    seen = sketch.build(rows.select("text"), anchors, width, hot=HOT)
+    ranges = max(n_partitions(docs.sparkSession), bytes_estimate(docs) // (6 * RANGE))
+    spans = repeated_windows(rows, window, gram, seen, ranges).groupBy("did", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
