@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import sketch
 from .components import components
 from .session import NO_ID, bytes_estimate, doc_id_of, join_unique, keyed, n_partitions, release, stash
-from .textwords import U64, Hasher, mix, slices, stream, word_hashes
+from .textwords import U64, Hasher, by_range, mix, slices, stream, word_hashes
 
 #: A block has at most about so many sets and so many n-grams.
 BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 20
@@ -47,7 +47,7 @@ LEADS, SENT = 1 << 18, 1 << 18
 FLUSH, RANGE = 1 << 19, 1 << 21
 #: Ranges of the global order whose partial overlaps are counted one after the other.
 VERTICAL = 16
-EVIDENCE = "part int, did long, th long, n long, sid long, sids binary, metas binary, counts binary, digests binary"
+EVIDENCE = "part int, did long, th long, n long, sid long, meta long, shared long, sids binary, metas binary, counts binary, digests binary"
 COUNTED = "did long, th long, n long, sid long, meta long, shared long"
 
 
@@ -201,7 +201,7 @@ def _sent(cuts: list[tuple[Cut, np.ndarray]], ranges: int) -> pa.RecordBatch:
         i, j = np.searchsorted(heads, [a, b])
         who = entry[heads[i:j]]
         rows.append((int(part[a]), sid[who].tobytes(), meta[who].astype(np.uint32).tobytes(), counts[i:j].tobytes(), digest[a:b].tobytes()))
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[_none(len(rows))] * 4, *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3, 4))], _names(EVIDENCE))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[_none(len(rows))] * 6, *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3, 4))], _names(EVIDENCE))
 
 
 def _evidence(rule: Rule, ranges: int):
@@ -221,8 +221,9 @@ def _evidence(rule: Rule, ranges: int):
                     fresh.append(names[-1])
             did, th = (batch.column(batch.schema.get_field_index(c)) for c in ("did", "th"))
             names, none = np.array(names, dtype=np.int64), pa.nulls(len(names), pa.binary())
-            part = pa.array((names.view(U64) % U64(ranges)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([part, did, th, pa.array(sizes, pa.int64()), pa.array(names), none, none, none, none], _names(EVIDENCE))
+            # Copies of one text have different ids, so they are dealt out evenly.
+            part = pa.array((mix(did.to_numpy().view(U64) + mix(np.arange(len(names), dtype=U64))) % U64(ranges)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([part, did, th, pa.array(sizes, pa.int64()), pa.array(names), *[_none(len(names))] * 2, none, none, none, none], _names(EVIDENCE))
             if new:
                 cut = fragments.cut(new, wide=True)
                 held.append((cut, np.array(fresh, dtype=np.int64)))
@@ -250,33 +251,14 @@ def _shared(digest: np.ndarray, sid: np.ndarray) -> np.ndarray:
     return out
 
 
-def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents as they are; of each range the sets with fragments that others share, and how many."""
-    at, held = None, []
-
-    def counted() -> Iterator[pa.RecordBatch]:
-        sid, meta, counts, digest = (np.concatenate([np.frombuffer(x[i], dtype=kind) for x in held]) for i, kind in enumerate((np.int64, np.uint32, np.uint32, np.uint32)))
-        owner = np.repeat(np.arange(len(sid)), counts)
-        shared = np.bincount(owner, weights=_shared(digest, sid[owner]), minlength=len(sid)).astype(np.int64)
-        keep = (shared > 0) | (meta < 2)  # who needs none is never ruled out
-        n = int(keep.sum())
-        yield _record([_none(n), _none(n), _none(n), sid[keep], meta[keep].astype(np.int64), shared[keep]], COUNTED)
-
-    for batch in batches:
-        member = batch.column(5).is_null()
-        docs = batch.filter(member)
-        if docs.num_rows:
-            yield _record([*docs.columns[1:5], _none(docs.num_rows), _none(docs.num_rows)], COUNTED)
-        blobs = batch.filter(batch.column(5).is_valid())
-        for i in range(blobs.num_rows):
-            part = blobs.column(0)[i].as_py()
-            if held and part != at:
-                yield from counted()
-                held = []
-            at = part
-            held.append([blobs.column(c)[i].as_buffer() for c in (5, 6, 7, 8)])
-    if held:
-        yield from counted()
+def _counted(held: list[list[pa.Buffer]]) -> pa.RecordBatch:
+    """Of a range the sets with fragments that others share, and how many."""
+    sid, meta, counts, digest = (np.concatenate([np.frombuffer(x[i], dtype=kind) for x in held]) for i, kind in enumerate((np.int64, np.uint32, np.uint32, np.uint32)))
+    owner = np.repeat(np.arange(len(sid)), counts)
+    shared = np.bincount(owner, weights=_shared(digest, sid[owner]), minlength=len(sid)).astype(np.int64)
+    keep = (shared > 0) | (meta < 2)  # who needs none is never ruled out
+    n = int(keep.sum())
+    return _record([_none(n), _none(n), _none(n), sid[keep], meta[keep].astype(np.int64), shared[keep]], COUNTED)
 
 
 def evidence(rows: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
@@ -284,7 +266,7 @@ def evidence(rows: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     # A set of n n-grams has about (100 - percent) / 30 * n fragments, and a word has about 6 bytes.
     ranges = max(n_partitions(rows.sparkSession), int(bytes_estimate(rows) / 180 * (100 - rule.percent)) // RANGE)
     sent = rows.mapInArrow(_evidence(rule, ranges), EVIDENCE)
-    counted = stash(sent.repartition("part").sortWithinPartitions("part").mapInArrow(_count_shared, COUNTED))
+    counted = stash(sent.repartition("part").sortWithinPartitions("part").mapInArrow(lambda batches: by_range(batches, COUNTED, _counted), COUNTED))
     members = counted.where("did IS NOT NULL").select("did", "th", "n", "sid")
     found = counted.where("did IS NULL").groupBy("sid", "meta").agg(F.sum("shared").alias("shared"))
     return members, found.where(F.col("shared") >= F.shiftright("meta", 1)).select("sid").distinct()

@@ -29,6 +29,8 @@ from .textwords import U64, mix, slices
 MOST_LANGUAGES = 10_000
 #: Letters up to which trigrams are counted by a table rather than by sorting.
 TABLE_LETTERS = 160
+#: Texts whose vectors are held at a time.
+TEXTS = 1024
 
 
 @dataclass(frozen=True)
@@ -98,18 +100,23 @@ class Profiler:
             owner = groups[owner]
         d = symbols.shape[1]
         out = np.zeros((n, self.space.dimensions), dtype=np.float32)
-        counts = np.bincount(owner * d + place, minlength=n * d).reshape(n, d).astype(np.float32) if d else np.zeros((n, 0), dtype=np.float32)
         rotated = [np.roll(self.letters, 2 - j, axis=1) for j in range(3)]
+        # Trigrams are worked on 2048 at a time, so the table of texts and trigrams has as many columns at most.
+        order = np.argsort(place, kind="stable")
+        owner, place = owner[order], place[order]
         for a in range(0, d, 2048):
-            first, second, third = (rotated[j][symbols[j, a : a + 2048]] for j in range(3))
-            out += counts[:, a : a + 2048] @ (first * second * third).astype(np.float32)
+            i, j = np.searchsorted(place, [a, a + 2048])
+            width = min(2048, d - a)
+            counts = np.bincount(owner[i:j] * width + place[i:j] - a, minlength=n * width).reshape(n, width).astype(np.float32)
+            first, second, third = (rotated[k][symbols[k, a : a + 2048]] for k in range(3))
+            out += counts @ (first * second * third).astype(np.float32)
         return out
 
 
 def _by_language(space: Space):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiler, sums = Profiler(space), {}
-        for batch in slices(batches):
+        for batch in slices(batches, rows=TEXTS):
             names = batch.column(1).to_pylist()
             langs = sorted(set(names))
             number = {x: i for i, x in enumerate(langs)}
@@ -156,7 +163,7 @@ def identify(docs: DataFrame, known: dict[str, np.ndarray], space: Space | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiler = Profiler(space)
-        for batch in slices(batches):
+        for batch in slices(batches, rows=TEXTS):
             vectors = profiler.bundle([t or "" for t in batch.column(len(others)).to_pylist()])
             norms = np.linalg.norm(vectors, axis=1)
             lang, score = ["und"] * len(vectors), np.zeros(len(vectors))

@@ -1,8 +1,10 @@
 """Personal data in texts: patterns propose spans, checksums confirm them, context words move the score.
 
 The four base kinds are found leftmost and without overlap, each kind by itself, and always stay. The method adds
-spans: bank account numbers (IBAN) that pass mod 97, and US social security numbers and 12- or 13-digit card numbers
-only where words nearby speak for them. Every span has a score, and added spans below `Scoring.least` are dropped.
+spans: bank account numbers (IBAN, by the length of their country) that pass mod 97; US social security numbers and 12-
+or 13-digit card numbers only where words nearby speak for them; and secrets: access keys by their published prefixes,
+private key blocks, and values with digits and much entropy that are assigned to a name such as password or token. Every
+span has a score, and added spans below `Scoring.least` are dropped.
 
 Defined results: null text is empty; rows are judged one by one, so repeated rows and null ids change nothing; an
 empty table gives an empty one; very long texts and runs are read in linear time; further columns are ignored.
@@ -11,6 +13,7 @@ empty table gives an empty one; very long texts and runs are read in linear time
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,31 +23,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import small_batches
+from .textwords import slices
+
 # Kinds in order, the base kinds first; context words by kind.
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn", "short_card")
+KINDS = (*BASE, "iban", "ssn", "short_card", "secret")
 CONTEXT = {
-    "email": ("contact", "email", "mail", "write"),
-    "ip": ("address", "host", "ip", "server"),
-    "card": ("card", "credit", "karte", "mastercard", "payment", "visa"),
-    "phone": ("call", "fax", "mobile", "phone", "tel", "telephone"),
-    "iban": ("account", "bank", "iban", "konto", "transfer"),
+    "email": ("contact", "email", "mail", "write", "kontakt", "schreiben", "contacto", "correo", "courriel", "écrire"),
+    "ip": ("address", "host", "ip", "server", "adresse", "rechner", "dirección", "servidor", "serveur"),
+    "card": ("card", "credit", "mastercard", "payment", "visa", "karte", "kreditkarte", "zahlung", "crédito", "pago", "tarjeta", "carte", "paiement"),
+    "phone": ("call", "fax", "mobile", "phone", "tel", "telephone", "anruf", "handy", "telefon", "llamar", "móvil", "teléfono", "appeler", "portable", "téléphone"),
+    "iban": ("account", "bank", "iban", "transfer", "konto", "überweisung", "banco", "cuenta", "transferencia", "banque", "compte", "virement"),
     "ssn": ("security", "social", "ssn"),
-    "short_card": ("card", "credit", "karte", "maestro", "payment", "visa"),
+    "short_card": ("card", "credit", "maestro", "payment", "visa", "karte", "kreditkarte", "tarjeta", "carte"),
+    "secret": ("key", "password", "secret", "token", "credential", "passwort", "schlüssel", "clave", "contraseña", "clé"),
 }
 AGAINST = ("example", "isbn", "order", "test", "version")
+# Lengths of account numbers by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS",
+    23: "AE IL TL", 24: "AD CZ ES MD PK RO SA SE SK TN VA", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ CY DO GT HU LB PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+# Published formats of access keys.
+KEYS = (
+    r"(?:AKIA|ASIA)[A-Z0-9]{16}", r"gh[oprsu]_[A-Za-z0-9]{36,255}", r"github_pat_[A-Za-z0-9_]{22,255}", r"xox[abprs]-[A-Za-z0-9-]{10,255}",
+    r"AIza[A-Za-z0-9_-]{35}", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,255}", r"eyJ[A-Za-z0-9_-]{10,2000}\.eyJ[A-Za-z0-9_-]{10,2000}\.[A-Za-z0-9_-]{10,2000}",
+)
 
 
 @dataclass(frozen=True)
 class Scoring:
     """Score of a span: its kind's start, more for a passed checksum, more or less for context words within reach."""
 
-    starts: tuple[float, ...] = (0.8, 0.7, 0.5, 0.7, 0.5, 0.3, 0.2)
+    starts: tuple[float, ...] = (0.8, 0.7, 0.5, 0.7, 0.5, 0.3, 0.2, 0.5)
     checksum: float = 0.3
     context: float = 0.3
     against: float = 0.2
     reach: int = 40
     least: float = 0.6
+    entropy: float = 2.5
 
 
 EMAIL_HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -52,7 +71,14 @@ EMAIL_NAME = re.compile(r"[A-Za-z0-9._%+-]*+\Z")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+IBAN_SIZE = {country: n for n, countries in IBAN_LENGTHS.items() for country in countries.split()}
+KEY = re.compile(rf"(?<![A-Za-z0-9_])(?:{'|'.join(KEYS)})(?![A-Za-z0-9_])")
+KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----")
+ASSIGNED = re.compile(
+    r"(?<![A-Za-z])(?:password|passwd|passwort|passphrase|contraseña|pwd|secret|token|(?:api|access|secret|auth)[_-]?(?:key|token))[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"'<>,;]{8,256})",
+    re.IGNORECASE,
+)
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 NAME_CHAR = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 WORD = re.compile(r"[^\W\d_]+")
@@ -63,6 +89,26 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(digits: str) -> bool:
+    """At most 255; a run of digits may be too long for int."""
+    short = digits.lstrip("0")
+    return len(short) < 3 or len(short) == 3 and short <= "255"
+
+
+def iban_end(text: str, start: int, end: int) -> int:
+    """Where an account number of its country's length ends, or 0; what follows it may look like more of it."""
+    wanted, at = IBAN_SIZE.get(text[start : start + 2], 0), start
+    while wanted and at < end:
+        wanted -= text[at] != " "
+        at += 1
+    return at if not wanted and at > start and not text[at : at + 1].isalnum() else 0
+
+
+def entropy(text: str) -> float:
+    """Bits a character."""
+    return -sum((n := text.count(c) / len(text)) * math.log2(n) for c in set(text))
+
+
 def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
@@ -90,21 +136,34 @@ def find_base(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind) of the base kinds."""
     found = [(a, b, 0) for a, b in emails(text)] if "@" in text else []
     if re.search("[0-9]", text):
-        found += [(*m.span(), 1) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))] if "." in text else []
+        found += [(*m.span(), 1) for m in IP.finditer(text) if all(map(octet, m[0].split(".")))] if "." in text else []
         found += [(*m.span(), 2) for m in CARD.finditer(text) if len(m[0]) >= 14 and 14 <= len(d := digits_of(m[0])) <= 19 and luhn(d)]
         found += [(*m.span(), 3) for m in PHONE.finditer(text) if 10 <= len(digits_of(m[0])) <= 15] if "+" in text else []
     return sorted(found)
 
 
-def find_added(text: str) -> list[tuple[int, int, int, bool]]:
-    """(start, end, kind, checksum passed) of further kinds, before scoring."""
+def find_secrets(text: str, least: float) -> list[tuple[int, int, int, bool]]:
+    found = [(*m.span(), 7, True) for m in KEY.finditer(text)]
+    if "-----BEGIN" in text:
+        at = 0
+        while m := KEY_BLOCK.search(text, at):
+            ends = text.find("-----END", m.end())
+            at = m.end() if ends < 0 else max(m.end(), text.find("-----", ends + 8) + 5)
+            found.append((m.start(), at, 7, True))
+    for m in ASSIGNED.finditer(text):
+        if any("0" <= c <= "9" for c in m[1]) and entropy(m[1]) >= least and not any(a < m.end(1) and m.start(1) < b for a, b, *_ in found):
+            found.append((*m.span(1), 7, False))
+    return found
+
+
+def find_added(text: str, scoring: Scoring) -> list[tuple[int, int, int, bool]]:
+    """(start, end, kind, checksum or format passed) of further kinds, before scoring."""
+    found = find_secrets(text, scoring.entropy)
     if not re.search("[0-9]", text):
-        return []
-    found = []
+        return found
     for m in IBAN.finditer(text):
-        plain = m[0].replace(" ", "")
-        if 15 <= len(plain) <= 34 and mod97(plain):
-            found.append((*m.span(), 4, True))
+        if (end := iban_end(text, *m.span())) and mod97(text[m.start() : end].replace(" ", "")):
+            found.append((m.start(), end, 4, True))
     if "-" in text:
         found += [(*m.span(), 5, False) for m in SSN.finditer(text) if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000"]
     found += [(*m.span(), 6, True) for m in CARD.finditer(text) if len(m[0]) >= 12 and len(d := digits_of(m[0])) in (12, 13) and luhn(d)]
@@ -122,7 +181,7 @@ def find(text: str, scoring: Scoring) -> list[tuple[int, int, int, float]]:
     """(start, end, kind, score) of all spans, by start and kind."""
     base = find_base(text)
     found = [(a, b, k, score(text, a, b, k, k == 2, scoring)) for a, b, k in base]
-    for a, b, k, passed in find_added(text):
+    for a, b, k, passed in find_added(text, scoring):
         if not any(a < y and x < b for x, y, _ in base) and (s := score(text, a, b, k, passed, scoring)) >= scoring.least:
             found.append((a, b, k, s))
     return sorted(found, key=lambda x: (x[0], x[2]))
@@ -135,9 +194,10 @@ def named(spans: list[tuple]) -> str:
 def digest(docs: DataFrame, scoring: Scoring | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores (three decimals, in the spans' order)."""
     scoring = scoring or Scoring()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column(1).to_pylist():
                 found = find(text or "", scoring)
@@ -169,7 +229,6 @@ def mask_documents(docs: DataFrame, scoring: Scoring | None = None) -> DataFrame
         for batch in batches:
             yield batch.map(lambda t: t if t is None else mask(t, scoring))
 
-    from pyspark.sql import functions as F
-
+    small_batches(docs.sparkSession)
     masked = docs.withColumn("text", F.pandas_udf(run, "string")(F.col("text")))
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked

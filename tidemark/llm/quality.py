@@ -145,13 +145,14 @@ def thresholds(sketch: DataFrame, rules: Rules) -> DataFrame:
 def with_verdict(m: DataFrame, fences: DataFrame) -> DataFrame:
     """m with the boolean column __kept; fences: a stored result of thresholds."""
     value = lambda x: F.col("__m")[x]
-    inside = (value("symbols") <= F.col("high_symbols")) & value("length").between(F.col("low_length"), F.col("high_length")) & (value("lines") <= F.col("high_lines")) & (value("repeats") <= F.col("high_repeats"))
-    kept = F.when(value("base_failed"), False).otherwise(F.coalesce(inside, F.lit(True))).alias("__kept")
     on = ["__lang", "__source"]
+    fences = fences.select(*on, *(F.col(c).alias(f"__{c}") for c in fences.columns if c not in on))  # m may have columns of those names
+    inside = (value("symbols") <= F.col("__high_symbols")) & value("length").between(F.col("__low_length"), F.col("__high_length")) & (value("lines") <= F.col("__high_lines")) & (value("repeats") <= F.col("__high_repeats"))
+    kept = F.when(value("base_failed"), False).otherwise(F.coalesce(inside, F.lit(True))).alias("__kept")
     if fences.count() <= BROADCAST_GROUPS:
         return m.join(F.broadcast(fences), on, "left").select(*m.columns, kept)
     salted = fences.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return m.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "text") if "text" in m.columns else F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [*on, "__salt"], "left").select(*m.columns, kept)
+    return m.withColumn("__salt", F.pmod(F.xxhash64("doc_id", F.col("__m").cast("string")), F.lit(SALTS)).cast("int")).join(salted, [*on, "__salt"], "left").select(*m.columns, kept)
 
 
 def judge(docs: DataFrame, rules: Rules | None = None) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: ASCII blanks that separate words: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 NO_ID = -(2**63)
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 1 << 22
 #: Keys that count as hot have more rows than the first; and there are at most as many of them as the second.
 LEAST_HOT, HOT_KEYS = 1000, 50_000
 
@@ -66,6 +68,12 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, weight: str) -> Dat
     return aside.unionByName(rest.join(right.where(F.col(weight) <= bound), key, "left"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold at most BATCH_BYTES, for the rest of the session: texts and packed rows are long, and a
+    batch is held more than once on its way to Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -76,6 +84,7 @@ def keyed(docs: DataFrame, hashed: bool = True) -> DataFrame:
 
     Rows with equal doc_id and text are one document wherever documents are compared.
     """
+    small_batches(docs.sparkSession)
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did")
     text = F.coalesce(F.col("text"), F.lit(""))
     hashed = hashed or not docs.select(did).groupBy("did").count().where("count > 1").isEmpty()

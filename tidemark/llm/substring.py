@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .session import bytes_estimate, doc_id_of, keyed, n_partitions
-from .textwords import U64, Hasher, anchored, mix, slices, word_hashes
+from .textwords import U64, Hasher, anchored, by_range, mix, slices, word_hashes
 
 #: Windows that a task gathers before it marks later copies and sends the rest.
-FLUSH = 1 << 18
+FLUSH = 1 << 17
 #: At most about so many windows are grouped at a time.
-RANGE = 1 << 21
+RANGE = 1 << 20
 #: Windows whose least gram is counted so often are dealt out one by one.
 HOT = 1 << 13
 SENT = "part int, did long, th long, start long, n long, docs binary, runs binary, one binary, two binary"
@@ -50,8 +50,12 @@ class Windows:
 
     @classmethod
     def of(cls, one, two, did, th, start) -> Windows:
-        docs, rank = np.unique(np.stack([did, th], axis=1), axis=0, return_inverse=True)
-        return cls(one, two, rank.reshape(-1), start, docs)
+        order = np.lexsort((th, did))
+        did, th = did[order], th[order]
+        fresh = np.append(True, (did[1:] != did[:-1]) | (th[1:] != th[:-1]))[: len(did)]
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.cumsum(fresh) - 1
+        return cls(one, two, rank, start, np.stack([did[fresh], th[fresh]], axis=1))
 
     def firsts(self) -> tuple[np.ndarray, np.ndarray]:
         """Indexes of the first window of each group of equal ones, and of all that start later than theirs."""
@@ -135,45 +139,25 @@ def _marked(held: list[tuple]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([spread, *(pa.array(x, pa.int64()) for x in spans), none, none, none, none], [x.split()[0] for x in SENT.split(", ")])
 
 
-def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of runs as they are; of each range the windows that equal an earlier one, as runs."""
-    names = [x.split()[0] for x in SPAN.split(", ")]
-    at, held = None, []
-
-    def later() -> pa.RecordBatch:
-        did, th, start = [], [], []
-        for docs, runs, _, _ in held:
-            docs = np.frombuffer(docs, dtype=np.int64).reshape(-1, 2)
-            owner, begin, n = np.frombuffer(runs, dtype=np.uint32).astype(np.int64).reshape(3, -1)
-            owner = np.repeat(owner, n)
-            did.append(docs[owner, 0])
-            th.append(docs[owner, 1])
-            start.append(np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum()))
-        one, two = (np.concatenate([np.frombuffer(x[i], dtype=kind) for x in held]) for i, kind in ((2, U64), (3, np.uint32)))
-        found = Windows.of(one, two, *map(np.concatenate, (did, th, start)))
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found.spans(found.firsts()[1])], names)
-
-    for batch in batches:
-        packed = batch.column(5).is_valid()
-        done = batch.filter(batch.column(5).is_null())
-        if done.num_rows:
-            yield pa.RecordBatch.from_arrays(done.columns[1:5], names)
-        blobs = batch.filter(packed)
-        for i in range(blobs.num_rows):
-            part = blobs.column(0)[i].as_py()
-            if held and part != at:
-                yield later()
-                held = []
-            at = part
-            held.append([blobs.column(c)[i].as_buffer() for c in (5, 6, 7, 8)])
-    if held:
-        yield later()
+def _later(held: list[list[pa.Buffer]]) -> pa.RecordBatch:
+    """Of a range's windows those that equal an earlier one, as runs."""
+    did, th, start = [], [], []
+    for docs, runs, _, _ in held:
+        docs = np.frombuffer(docs, dtype=np.int64).reshape(-1, 2)
+        owner, begin, n = np.frombuffer(runs, dtype=np.uint32).astype(np.int64).reshape(3, -1)
+        owner = np.repeat(owner, n)
+        did.append(docs[owner, 0])
+        th.append(docs[owner, 1])
+        start.append(np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum()))
+    one, two = (np.concatenate([np.frombuffer(x[i], dtype=kind) for x in held]) for i, kind in ((2, U64), (3, np.uint32)))
+    found = Windows.of(one, two, *map(np.concatenate, (did, th, start)))
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found.spans(found.firsts()[1])], [x.split()[0] for x in SPAN.split(", ")])
 
 
 def repeated_windows(rows: DataFrame, window: int, gram: int, seen, ranges: int) -> DataFrame:
     """(did, th, start, n): runs of n windows, each with an equal window that starts earlier."""
     sent = rows.mapInArrow(_mark(window, gram, seen, ranges), SENT)
-    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(_group, SPAN)
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(lambda batches: by_range(batches, SPAN, _later), SPAN)
 
 
 def remove_repeated_passages(docs: DataFrame, window: int = 20, gram: int = 8) -> DataFrame:
@@ -188,7 +172,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 20, gram: int = 8) -
             yield state(batch)[2].hashes
 
     seen = sketch.build(rows.select("text"), anchors, width, hot=HOT)
-    ranges = max(n_partitions(docs.sparkSession), bytes_estimate(docs) // (6 * RANGE))
+    ranges = max(4 * n_partitions(docs.sparkSession), bytes_estimate(docs) // (6 * RANGE))
     spans = repeated_windows(rows, window, gram, seen, ranges).groupBy("did", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

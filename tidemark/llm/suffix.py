@@ -1,14 +1,15 @@
 """Removal of repeated byte strings by enhanced suffix arrays.
 
 Equal strings of `least` bytes have the same least gram (`gram` bytes), so the suffixes that can share such a string are
-dealt out by that gram: runs of windows with one least gram travel as fragments, and only grams that a count-min
-sketch estimates as repeated travel at all. Each task builds an enhanced suffix array (order and common prefixes) of
+dealt out by that gram: runs of windows with one least gram travel as fragments, packed by ranges of the gram's hash,
+and only grams that a count-min sketch estimates as repeated travel at all. Long runs, as of periodic texts, are cut
+into pieces, so no suffix is longer than a few hundred bytes. Each task builds an enhanced suffix array (order and common prefixes) of
 the suffixes of its fragments that are left-diverse, scans it with a stack into the tree of common-prefix intervals
 and has from it every maximal repeat with all its occurrences.
 
 A gram that is very frequent is split: its windows are dealt out one by one, by a hash of the window. Equal fragments
-meet in the task that reads them before anything is shuffled: all but the first are covered, and only the first goes
-on. So a passage in a third of all documents costs each task one row.
+meet in the task that reads them before anything is shuffled: where their bytes agree, all but the first are covered,
+and only the first goes on. So a passage in a third of all documents costs each task one row.
 
 Defined results: null text is empty; strings never reach over the end of a document; equal rows (doc_id and text) are
 one document and get the same result; rows that share a doc_id but not the text are separate documents, ordered by a
@@ -26,17 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .session import bytes_estimate, doc_id_of, keyed
-from .textwords import U64, Hasher, anchored, raw, slices
+from .session import bytes_estimate, doc_id_of, keyed, n_partitions
+from .textwords import U64, Hasher, anchored, by_range, mix, raw, same_bytes, slices
 
 GRAM = 32
 #: Fragments of a gram that is counted so often are split into single windows.
 HOT = 1 << 14
 #: Bytes of text that are hashed at a time; each takes about a hundred bytes of memory meanwhile.
 SLICE = 1 << 19
-#: Bytes of fragments that a task works on at a time.
-CHUNK = 1 << 21
-ROW = "key long, did long, th long, start long, n long, body binary"
+#: Bytes of fragments that a task gathers before it sends them; that it sorts at a time; and of text for each range.
+FLUSH, CHUNK, RANGE = 1 << 22, 1 << 18, 1 << 22
+#: Longer runs of windows with one least gram (periodic texts) are cut into pieces of so many windows.
+PIECE = 256
+ROW = "part int, did long, th long, start long, n long, docs binary, table binary, keys binary, body binary"
+SPAN = "did long, th long, start long, n long"
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,29 +83,55 @@ class Fragmenter:
             keys = np.concatenate([keys[~hot], self.whole.ranges(values, single, single + self.least)])
         if not len(begin):
             return None
-        end = end + self.least - 1
+        pieces = -(-(end - begin) // PIECE)
+        place = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin, end, keys = (np.repeat(x, pieces) for x in (begin, end, keys))
+        begin = begin + place * PIECE
+        end = np.minimum(end, begin + PIECE) + self.least - 1
         ids = self.whole.ranges(values, begin, end), self.other.ranges(values, begin, end)
         return flat, begin, end, keys, np.searchsorted(off, begin, side="right") - 1, off, ids
 
 
-def _firsts(rows: list[list[np.ndarray]], flat: np.ndarray, least: int) -> pa.RecordBatch:
-    """Of equal fragments the first goes on; the later ones are put down as covered (n windows, no body)."""
+def _firsts(rows: list[list[np.ndarray]], flat: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Of equal fragments the first goes on, packed with others of its range; the later ones are put down as covered."""
     at, size, key, did, th, start, one, two = (np.concatenate(x) for x in zip(*rows, strict=True))
     order = np.lexsort((start, th, did, two, one))
     at, size, key, did, th, start, one, two = (x[order] for x in (at, size, key, did, th, start, one, two))
-    begins = np.ones(len(at), dtype=bool)
-    begins[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (size[1:] != size[:-1])
+    begins = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (size[1:] != size[:-1]))
     head = np.flatnonzero(begins)[np.cumsum(begins) - 1]
-    later = (did != did[head]) | (th != th[head]) | (start != start[head])
-    keep = begins | later
-    lengths = np.where(later, 0, size)[keep]
-    body, off = gather(flat, at[keep], lengths)
-    key = np.where(later, one ^ (start.view(U64) << U64(17)) ^ did.view(U64), key)[keep]
-    bodies = pa.Array.from_buffers(pa.binary(), len(lengths), [pa.array(~later[keep]).buffers()[1], pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(body))])
-    return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (key.view(np.int64), did[keep], th[keep], start[keep], np.where(later, size - least + 1, 0)[keep])), bodies], ["key", "did", "th", "start", "n", "body"])
-
-
-def _scatter(least: int, seen):
+    begins |= ~same_bytes(flat, at, at[head], size)  # hashes only propose
+    later = ~begins & ((did != did[head]) | (th != th[head]) | (start != start[head]))
+    names = [x.split()[0] for x in ROW.split(", ")]
+    n = int(later.sum())
+    none = pa.nulls(n, pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array((np.arange(n) % (1 << 20)).astype(np.int32)), *(pa.array(x[later]) for x in (did, th, start, size)), none, none, none, none], names)
+    part = ((mix(key) >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int64)
+    go = np.flatnonzero(begins)
+    go = go[np.argsort(part[go], kind="stable")]
+    cuts = np.flatnonzero(np.diff(part[go], prepend=-1) != 0)
+    rows_ = []
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(go)], strict=True):
+        own = go[a:b]
+        docs, owner = np.unique(np.stack([did[own], th[own]], axis=1), axis=0, return_inverse=True)
+        table = np.stack([owner.reshape(-1), start[own], size[own]]).astype(np.uint32)
+        rows_.append((int(part[own[0]]), docs.tobytes(), table.tobytes(), key[own].tobytes(), gather(flat, at[own], size[own])[0].tobytes()))
+    none = pa.nulls(len(rows_), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows_], pa.int32()), none, none, none, none, *(pa.array([r[i] for r in rows_], pa.binary()) for i in (1, 2, 3, 4))], names)
+
+
+def merged(did: np.ndarray, th: np.ndarray, start: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """The same spans with those of a document that overlap or touch made one."""
+    order = np.lexsort((start, th, did))
+    did, th, start, end = (x[order] for x in (did, th, start, start + n))
+    fresh = np.append(True, (did[1:] != did[:-1]) | (th[1:] != th[:-1]))[: len(did)]
+    step = (np.cumsum(fresh) - 1) * (int(end.max(initial=0)) + 1)
+    top = np.maximum.accumulate(end + step) - step
+    begins = np.flatnonzero(fresh | np.append(True, start[1:] > top[:-1])[: len(did)])
+    last = np.append(begins[1:], len(did))[: len(begins)] - 1
+    return [did[begins], th[begins], start[begins], top[last] - start[begins]]
+
+
+def _scatter(least: int, seen, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, known = Fragmenter(least), seen.value
         rows, bodies, n = [], [], 0
@@ -115,11 +145,11 @@ def _scatter(least: int, seen):
             rows.append([at[:-1] + n, end - begin, keys, did, th, begin - off[owner], one, two])
             bodies.append(body)
             n += len(body)
-            if n >= CHUNK:
-                yield _firsts(rows, np.concatenate(bodies), least)
+            if n >= FLUSH:
+                yield from _firsts(rows, np.concatenate(bodies), ranges)
                 rows, bodies, n = [], [], 0
         if rows:
-            yield _firsts(rows, np.concatenate(bodies), least)
+            yield from _firsts(rows, np.concatenate(bodies), ranges)
 
     return run
 
@@ -146,29 +176,25 @@ class SuffixArray:
             size = np.diff(np.append(begins, len(at)))
             diverse = (np.minimum.reduceat(left, begins) != np.maximum.reduceat(left, begins)) & (size > 1)
             at = at[np.repeat(diverse, size)]
-        data, ends = flat.tobytes(), ends.tolist()
-        text = {i: data[i : ends[i]] for i in at.tolist()}
+        data = flat.tobytes()
+        text = {i: data[i:end] for i, end in zip(at.tolist(), ends[at].tolist(), strict=True)}
         self.order = np.array(sorted(text, key=text.__getitem__), dtype=np.int64)
-        self.common = self._common(np.array([len(text[i]) for i in self.order.tolist()], dtype=np.int64), text)
+        self.common = self._common(ends[self.order] - self.order)
 
-    def _common(self, length: np.ndarray, text: dict[int, bytes], width: int = 192) -> np.ndarray:
-        """Length of the common prefix of each suffix with the one before it in order."""
+    def _common(self, length: np.ndarray) -> np.ndarray:
+        """Length of the common prefix of each suffix with the one before it in order, eight bytes at a time."""
         out = np.zeros(len(self.order), dtype=np.int64)
-        last = len(self.flat) - 1
-        for a in range(1, len(self.order), 1 << 14):
-            b = min(len(self.order), a + (1 << 14))
-            most = np.minimum(length[a - 1 : b - 1], length[a:b])
-            reach = np.arange(width)
-            same = self.flat[np.minimum(self.order[a - 1 : b - 1, None] + reach, last)] == self.flat[np.minimum(self.order[a:b, None] + reach, last)]
-            run = np.where(same.all(axis=1), width, same.argmin(axis=1))
-            out[a:b] = np.minimum(run, most)
-            for i in np.flatnonzero((run == width) & (most > width)).tolist():
-                x, y = text[int(self.order[a + i - 1])], text[int(self.order[a + i])]
-                low, high = width, int(most[i])
-                while low < high:  # the longest equal prefix
-                    mid = (low + high + 1) // 2
-                    low, high = (mid, high) if x[:mid] == y[:mid] else (low, mid - 1)
-                out[a + i] = low
+        padded = np.append(self.flat, np.zeros(8, dtype=np.uint8))
+        words = np.ndarray(len(self.flat) + 1, dtype="<u8", buffer=padded, strides=(1,))
+        most = np.minimum(length[1:], length[:-1])
+        left, done = np.arange(1, len(self.order)), 0
+        while len(left):
+            differ = words[self.order[left - 1] + done] ^ words[self.order[left] + done]
+            lowest = (differ & (~differ + U64(1))).astype(np.float64)  # a power of two, or 0
+            same = np.where(differ > 0, np.log2(np.maximum(lowest, 1)).astype(np.int64) // 8, 8)
+            out[left] += np.minimum(same, most[left - 1] - done)
+            left = left[(same == 8) & (most[left - 1] > done + 8)]
+            done += 8
         return out
 
     def intervals(self, least: int) -> Iterator[tuple[int, int, int, list[tuple[int, int]]]]:
@@ -223,49 +249,49 @@ class SuffixArray:
 
 def _cover(least: int):
     hasher = Hasher(64)
+    names = [x.split()[0] for x in SPAN.split(", ")]
 
-    def solve(rows: list[tuple]) -> pa.RecordBatch | None:
-        rows = list({(r[1], r[2], r[3], len(r[5])): r for r in rows}.values())
-        did, th, start = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2, 3))
-        off = np.zeros(len(rows) + 1, dtype=np.int64)
-        np.cumsum([len(r[5]) for r in rows], out=off[1:])
-        found = SuffixArray(np.frombuffer(b"".join(r[5] for r in rows), dtype=np.uint8), off, least, hasher)
+    def solve(flat: np.ndarray, size: np.ndarray, did: np.ndarray, th: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+        """Spans of some fragments, which no other fragment shares a window with."""
+        off = np.append(0, np.cumsum(size))
+        found = SuffixArray(flat, off, least, hasher)
         owner = np.searchsorted(off, found.order, side="right") - 1
         place = start[owner] + found.order - off[owner]
         rank = np.zeros(int(off[-1]), dtype=np.int64)
         rank[found.order[np.lexsort((place, th[owner], did[owner]))]] = np.arange(len(owner))
         spans = np.array(list(found.covered(least, rank)), dtype=np.int64).reshape(-1, 2)
-        if not len(spans):
-            return None
         owner = np.searchsorted(off, spans[:, 0], side="right") - 1
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (did[owner], th[owner], start[owner] + spans[:, 0] - off[owner], spans[:, 1])], ["did", "th", "start", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size, last = [], 0, None
-        for batch in batches:
-            body = batch.column(5)
-            done = batch.filter(body.is_null())
-            if done.num_rows:
-                lengths = pa.array(done.column(4).to_numpy() + (least - 1))
-                yield pa.RecordBatch.from_arrays([done.column(1), done.column(2), done.column(3), lengths], ["did", "th", "start", "n"])
-            for row in zip(*(c.to_pylist() for c in batch.filter(body.is_valid()).columns), strict=True):
-                if row[0] != last and size >= CHUNK:
-                    if (found := solve(rows)) is not None:
-                        yield found
-                    rows, size = [], 0
-                last = row[0]
-                rows.append(row)
-                size += len(row[5])
-        if rows and (found := solve(rows)) is not None:
-            yield found
-
-    return run
-
-
-def repeated_spans(rows: DataFrame, least: int, seen) -> DataFrame:
+        return merged(did[owner], th[owner], start[owner] + spans[:, 0] - off[owner], spans[:, 1])
+
+    def solved(held: list) -> pa.RecordBatch:
+        docs = [np.frombuffer(x[0], dtype=np.int64).reshape(-1, 2) for x in held]
+        tables = [np.frombuffer(x[1], dtype=np.uint32).astype(np.int64).reshape(3, -1) for x in held]
+        owners = np.concatenate([d[t[0]] for d, t in zip(docs, tables, strict=True)])
+        start, size = (np.concatenate([t[i] for t in tables]) for i in (1, 2))
+        key, flat = (np.concatenate([np.frombuffer(x[i], dtype=kind) for x in held]) for i, kind in ((2, U64), (3, np.uint8)))
+        at = np.cumsum(size) - size
+        # Rows that repeat bring the same fragment more than once.
+        order = np.lexsort((size, start, owners[:, 1], owners[:, 0], key))
+        key, start, size, at, did, th = (x[order] for x in (key, start, size, at, owners[:, 0], owners[:, 1]))
+        fresh = np.append(True, (key[1:] != key[:-1]) | (did[1:] != did[:-1]) | (th[1:] != th[:-1]) | (start[1:] != start[:-1]))
+        key, start, size, at, did, th = (x[fresh] for x in (key, start, size, at, did, th))
+        groups = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        ends = np.append(groups[1:], len(key))
+        total = np.append(0, np.cumsum(size))
+        a, out = 0, []
+        while a < len(key):
+            b = int(ends[min(len(ends) - 1, np.searchsorted(total[ends], total[a] + CHUNK))])
+            out.append(solve(gather(flat, at[a:b], size[a:b])[0], size[a:b], did[a:b], th[a:b], start[a:b]))
+            a = b
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in merged(*(np.concatenate(x) for x in zip(*out, strict=True)))], names)
+
+    return lambda batches: by_range(batches, SPAN, solved)
+
+
+def repeated_spans(rows: DataFrame, least: int, seen, ranges: int) -> DataFrame:
     """(did, th, start, n): n bytes that occur earlier as well, n at least `least`."""
-    scattered = rows.mapInArrow(_scatter(least, seen), ROW)
-    return scattered.repartition("key").sortWithinPartitions("key").mapInArrow(_cover(least), "did long, th long, start long, n long")
+    scattered = rows.mapInArrow(_scatter(least, seen, ranges), ROW)
+    return scattered.repartition("part").sortWithinPartitions("part").mapInArrow(_cover(least), SPAN)
 
 
 def remove_repeated_strings(docs: DataFrame, least: int = 100) -> DataFrame:
@@ -280,7 +306,8 @@ def remove_repeated_strings(docs: DataFrame, least: int = 100) -> DataFrame:
             yield cutter.anchors(batch)[3].hashes
 
     seen = sketch.build(rows.select("text"), anchors, width, hot=HOT)
-    spans = repeated_spans(rows, least, seen).groupBy("did", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    ranges = max(4 * n_partitions(docs.sparkSession), bytes_estimate(docs) // RANGE)
+    spans = repeated_spans(rows, least, seen, ranges).groupBy("did", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):

@@ -6,7 +6,7 @@ characters, so words of bytes and words of characters agree.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -107,8 +107,43 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], flat
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches in row ranges of about limit bytes of text."""
+def same_bytes(flat: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Whether flat[a:a+length] equals flat[b:b+length], for arrays of places and lengths above 0."""
+    out = np.zeros(len(a), dtype=bool)
+    total = np.cumsum(lengths)
+    at = 0
+    while at < len(a):
+        end = max(at + 1, int(np.searchsorted(total, total[at] - lengths[at] + step, side="right")))
+        n = lengths[at:end]
+        begins = np.cumsum(n) - n
+        reach = np.arange(int(n.sum())) - np.repeat(begins, n)
+        out[at:end] = np.logical_and.reduceat(flat[np.repeat(a[at:end], n) + reach] == flat[np.repeat(b[at:end], n) + reach], begins)
+        at = end
+    return out
+
+
+def by_range(batches: Iterator[pa.RecordBatch], schema: str, work: Callable[[list[list[pa.Buffer]]], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of part: those without packed columns (from the fifth on) as they are, without part; of each part
+    what work makes of the packed columns of its rows."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    part, held = None, []
+    for batch in batches:
+        packed = batch.column(len(names) + 1).is_valid()
+        plain = pa.RecordBatch.from_arrays(batch.columns[1 : len(names) + 1], names).filter(pc.invert(packed))
+        if plain.num_rows:
+            yield plain
+        for i in np.flatnonzero(packed.to_numpy(zero_copy_only=False)).tolist():
+            if held and batch.column(0)[i].as_py() != part:
+                yield work(held)
+                held = []
+            part = batch.column(0)[i].as_py()
+            held.append([c[i].as_buffer() for c in batch.columns[len(names) + 1 :]])
+    if held:
+        yield work(held)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """The batches in row ranges of about limit bytes of text, and of at most rows rows."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -116,7 +151,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
         part = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64)) // limit
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            yield batch.slice(a, b - a)
+            for at in range(a, b, rows):
+                yield batch.slice(at, min(rows, b - at))
 
 
 @dataclass
