@@ -431,9 +431,9 @@ def _links(rule: Rule, key, rows: list) -> Iterator[pa.RecordBatch]:
 
 def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links: one row for each row of docs."""
-    found = jaccard_join(docs, k, percent)
-    least = found.where("n_shingles > 0").groupBy("class_id").agg(F.min(doc_id_of("did")).alias("least"))
-    return found.join(least, "class_id", "left").select(
+    found = stash(jaccard_join(docs, k, percent))
+    least = stash(found.groupBy("class_id").agg(F.min(doc_id_of("did")).alias("least"), F.count("*").alias("size")))
+    return join_unique(found, least, "class_id", "size").select(
         doc_id_of("did").alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(doc_id_of("did")).alias("component_id"), "n_links"
     )
 
@@ -441,8 +441,8 @@ def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFram
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that are the first (by doc_id, null first) of their class; equal rows leave one."""
     found = stash(jaccard_join(docs, k, percent).select("did", "th", "n_shingles", "class_id"))
-    best = found.where("n_shingles > 0").groupBy("class_id").agg(F.min(F.struct("did", "th")).alias("best"))
-    placed = found.join(best, "class_id", "left").withColumn("__stays", (F.col("n_shingles") == 0) | (F.struct("did", "th") == F.col("best")))
+    best = stash(found.groupBy("class_id").agg(F.min(F.struct("did", "th")).alias("best"), F.count("*").alias("size")))
+    placed = join_unique(found, best, "class_id", "size").withColumn("__stays", (F.col("n_shingles") == 0) | (F.struct("did", "th") == F.col("best")))
     once = placed.groupBy("did", "th").agg(F.count("*").alias("n"), F.bool_and("__stays").alias("__stays"))
     # Only texts that may have to go are shuffled: those of documents that do not stay, or that stand more than once.
     doubtful = stash(once.where("n > 1 OR NOT __stays"))

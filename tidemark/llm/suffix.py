@@ -102,9 +102,10 @@ def _firsts(rows: list[list[np.ndarray]], flat: np.ndarray, ranges: int) -> Iter
     begins |= ~same_bytes(flat, at, at[head], size)  # hashes only propose
     later = ~begins & ((did != did[head]) | (th != th[head]) | (start != start[head]))
     names = [x.split()[0] for x in ROW.split(", ")]
-    n = int(later.sum())
+    spans = merged(did[later], th[later], start[later], size[later])
+    n = len(spans[0])
     none = pa.nulls(n, pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array((np.arange(n) % (1 << 20)).astype(np.int32)), *(pa.array(x[later]) for x in (did, th, start, size)), none, none, none, none], names)
+    yield pa.RecordBatch.from_arrays([pa.array((np.arange(n) % (1 << 20)).astype(np.int32)), *(pa.array(x, pa.int64()) for x in spans), none, none, none, none], names)
     part = ((mix(key) >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int64)
     go = np.flatnonzero(begins)
     go = go[np.argsort(part[go], kind="stable")]
