@@ -318,10 +318,10 @@ def quota_hour_day(spark, sf_dir):
     return S.quota_windows(r).select("key", F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "hour_requests", "hour_chars", "day_requests", "day_chars")
 
 
-@query("WITH h AS (SELECT user_id AS key, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2), d AS (SELECT *, sum(n) OVER (PARTITION BY key, hour::DATE ORDER BY hour) AS day FROM h) SELECT key, strftime(hour, '%Y-%m-%d %H') AS hour, CASE WHEN n > 3 OR day > 4 THEN 'deny' WHEN (n > 1 OR day > 2) AND key % 2 = 1 THEN 'challenge' ELSE 'allow' END AS decision FROM d")
+@query("WITH h AS (SELECT user_id AS key, date_trunc('hour', ts) AS hour, count(*) AS n, sum(length(props)) AS c FROM events GROUP BY 1, 2), d AS (SELECT *, sum(n) OVER (PARTITION BY key, hour::DATE ORDER BY hour) AS day, sum(c) OVER (PARTITION BY key, hour::DATE ORDER BY hour) AS dc FROM h) SELECT key, strftime(hour, '%Y-%m-%d %H') AS hour, CASE WHEN n > 3 OR c > 90 OR day > 4 OR dc > 150 THEN 'block' WHEN (n > 1 OR c > 40 OR day > 2 OR dc > 80) AND key % 2 = 1 THEN 'verify' ELSE 'ok' END AS decision FROM d")
 def quota_decisions(spark, sf_dir):
     r = events(spark, sf_dir).select(F.col("user_id").alias("key"), "ts", F.length("props").alias("chars"))
-    decision = S.quota_decision(F.col("hour_requests"), F.col("day_requests"), F.col("key") % 2 == 0, (1, 2), (3, 4))
+    decision = S.quota_decision((F.col("hour_requests"), F.col("hour_chars")), (F.col("day_requests"), F.col("day_chars")), F.col("key") % 2 == 0, ((1, 40), (2, 80)), ((3, 90), (4, 150)))
     return S.quota_windows(r).select("key", F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), decision.alias("decision"))
 
 
@@ -493,7 +493,7 @@ def script_share(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", n["Latin"].cast("long").alias("latin"), n["Cyrillic"].cast("long").alias("cyrillic"), n["Han"].cast("long").alias("han"))
 
 
-@query(r"SELECT doc_id, 2.5 * len(regexp_extract_all(text, '[A-Za-z](?:[''’]?[A-Za-z])*')) + 0.5 * len(regexp_extract_all(text, '[0-9]')) + len(regexp_extract_all(regexp_replace(text, '[\x00-\x7F]', '', 'g'), '[\p{L}\p{N}]')) AS weight FROM documents")
+@query(r"SELECT doc_id, CASE WHEN w > 0 THEN w ELSE length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')) END AS weight FROM (SELECT doc_id, text, 2.5 * len(regexp_extract_all(text, '[A-Za-z](?:[''’]?[A-Za-z])*')) + 0.5 * len(regexp_extract_all(text, '[0-9]')) + len(regexp_extract_all(regexp_replace(text, '[\x00-\x7F]', '', 'g'), '[\p{L}\p{N}]')) AS w FROM documents)")
 def weighted_length(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.weighted_length(F.col("text")).cast("double").alias("weight"))
 
@@ -618,7 +618,7 @@ def spread_samples(spark, sf_dir):
 # Incident records, endpoints and checks.
 
 
-@query("SELECT event_id, CASE WHEN s IS NULL THEN 'network' WHEN s = 429 THEN 'rate_limited' WHEN s BETWEEN 500 AND 599 THEN 'server' WHEN s BETWEEN 400 AND 499 THEN 'client' WHEN s BETWEEN 200 AND 399 THEN 'ok' ELSE 'network' END AS error FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE [200, 204, 301, 404, 429, 500, 503][event_id % 7 + 1] END AS s FROM events)")
+@query("SELECT event_id, CASE WHEN s IS NULL THEN 'network_error' WHEN s BETWEEN 200 AND 399 THEN 'ok' WHEN s = 429 THEN 'rate_limited' WHEN s IN (401, 403) THEN 'auth_error' ELSE 'http_error' END AS error FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE [200, 204, 301, 404, 429, 500, 503][event_id % 7 + 1] END AS s FROM events)")
 def probe_classification(spark, sf_dir):
     code = F.element_at(F.array(*map(F.lit, (200, 204, 301, 404, 429, 500, 503))), (F.col("event_id") % 7 + 1).cast("int"))
     return events(spark, sf_dir).select("event_id", I.probe_error(F.when(F.col("event_id") % 7 != 0, code)).alias("error"))
@@ -653,12 +653,12 @@ def human_resolved(spark, sf_dir):
     return I.human_resolved(u).withColumnRenamed("incident_id", "user_id")
 
 
-@query("WITH t AS (SELECT o_orderkey, n, CASE WHEN n < 1000000 THEN (n + 50) // 100 ELSE (n + 50000) // 100000 END AS t FROM (SELECT o_orderkey, o_orderkey * 25 AS n FROM orders)) SELECT o_orderkey, CASE WHEN n < 1000 THEN n::VARCHAR ELSE t // 10 || CASE WHEN t % 10 = 0 THEN '' ELSE '.' || t % 10 END || CASE WHEN n < 1000000 THEN 'k' ELSE 'M' END END AS shown FROM t")
+@query("WITH t AS (SELECT o_orderkey, o_orderkey * 25 AS n, CASE WHEN o_orderkey * 25 < 1000000 THEN 1000 ELSE 1000000 END AS size FROM orders) SELECT o_orderkey, CASE WHEN n < 1000 THEN n::VARCHAR ELSE CASE WHEN n >= 10 * size THEN ((n + size // 2) // size)::VARCHAR WHEN n * 1000 // size % 1000 IN (250, 750) AND n % (size // 1000) = 0 THEN (n // size) || CASE WHEN n * 1000 // size % 1000 = 250 THEN '.3' ELSE '.8' END ELSE regexp_replace(printf('%.1f', n / size), '[.]0$', '') END || CASE WHEN size = 1000 THEN 'k' ELSE 'M' END END AS shown FROM t")
 def compact_numbers(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", T.compact_number(F.col("o_orderkey") * 25).alias("shown"))
 
 
-@query("SELECT event_id, least(30000, 500 * power(2, least(event_id % 12, 30)))::BIGINT AS delay_ms, least(20, ceil(value * 10 / 100))::INTEGER AS units FROM events")
+@query("SELECT event_id, least(60000, 5000 * power(2, least(event_id % 12, 30)))::BIGINT AS delay_ms, greatest(1, ceil(value * 10 / greatest(100, ceil(value * 10 / 20), 1)))::INTEGER AS units FROM events")
 def retry_and_rate(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", K.retry_delay(F.col("event_id") % 12).alias("delay_ms"), K.rate_units(F.col("value") * 10, 100).alias("units"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -14,6 +15,7 @@ from tidemark.functions.text import MUSIC, join_lines
 # Markers, bracket pairs, punctuation of the two widths, quote pairs.
 MARKER = r"⟦/?[a-z]?\d*⟧"
 BRACKETS = (("(", ")"), ("[", "]"), ("{", "}"), ("（", "）"), ("【", "】"))
+OPENERS, CLOSERS = "([{（［｛〔〖〘〚〈《【⟨⟪", ")]}）］｝〕〗〙〛〉》】⟩⟫"
 HALF_WIDTH, FULL_WIDTH = ",.!?:;()", "，。！？：；（）"
 QUOTES = (("“", "”"), ("‘", "’"), ("«", "»"), ("「", "」"), ("『", "』"), ("„", "“"))
 #: Script names, whether words are written with spaces, and how long a run must be to tell.
@@ -36,7 +38,20 @@ def corrupt_markers(text: Column) -> Column:
 
 
 def bracket_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"[\[\](){}（）【】]"))
+    return F.regexp_count(text, F.lit(f"[{re.escape(OPENERS + CLOSERS)}]"))
+
+
+def bracket_profile(text: Column) -> Column:
+    """count: brackets of any kind; crossing: one closes that none has opened, or one stays open."""
+    kept = F.regexp_replace(text, f"[^{re.escape(OPENERS + CLOSERS)}]", "")
+    steps = F.transform(F.filter(F.split(kept, ""), lambda c: c != ""), lambda c: F.when(F.position(c, F.lit(OPENERS)) > 0, 1).otherwise(-1))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("crossing"))
+
+    def step(s: Column, x: Column) -> Column:
+        depth = s["depth"] + x
+        return F.struct(F.greatest(depth, F.lit(0)).alias("depth"), (s["crossing"] | (depth < 0)).alias("crossing"))
+
+    return F.struct(F.length(kept).alias("count"), F.aggregate(steps, start, step, lambda s: s["crossing"] | (s["depth"] > 0)).alias("crossing"))
 
 
 def marker_leak(text: Column, source: Column) -> Column:
@@ -45,12 +60,15 @@ def marker_leak(text: Column, source: Column) -> Column:
 
 
 def unbalanced_brackets(text: Column) -> Column:
-    """Pairs of brackets removed from the inside out; is one left over?"""
-    rest = F.regexp_replace(text, r"[^\[\](){}（）【】]", "")
-    for _ in range(8):
-        for a, b in BRACKETS:
-            rest = F.replace(rest, F.lit(a + b), F.lit(""))
-    return rest != ""
+    """Is a bracket left over when each closing one takes back the last opening one, which must be of its kind?"""
+    kept = F.regexp_replace(text, f"[^{re.escape(OPENERS + CLOSERS)}]", "")
+
+    def step(stack: Column, c: Column) -> Column:
+        kind, top = F.position(c, F.lit(CLOSERS)), F.position(F.right(stack, F.lit(1)), F.lit(OPENERS))
+        pops = (F.length(stack) > 0) & (kind == top)
+        return F.when(stack == "!", stack).when(kind == 0, F.concat(stack, c)).when(pops, F.left(stack, F.length(stack) - 1)).otherwise("!")
+
+    return F.aggregate(F.filter(F.split(kept, ""), lambda c: c != ""), F.lit(""), step) != ""
 
 
 def source_script_words(text: Column, script: str) -> Column:
@@ -133,19 +151,46 @@ def traditional_votes(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"[{traditional}]")) - F.regexp_count(text, F.lit(f"[{simplified}]"))
 
 
-def retry_delay(attempt: Column, first_ms: int = 500, most_ms: int = 30_000) -> Column:
+def retry_delay(attempt: Column, first_ms: int = 5_000, most_ms: int = 60_000) -> Column:
     """Doubling with a cap."""
     return F.least(F.lit(most_ms), first_ms * F.pow(F.lit(2), F.least(attempt, F.lit(30)))).cast("long")
 
 
 def rate_units(chars: Column, unit: int, most: int = 20) -> Column:
-    return F.least(F.lit(most), F.ceil(chars / unit)).cast("int")
+    """Calls that a request counts as, one at least; the unit grows so that there are at most `most`."""
+    wide = F.greatest(F.lit(unit), F.ceil(chars / most), F.lit(1))
+    return F.greatest(F.lit(1), F.ceil(chars / wide)).cast("int")
+
+
+def version_key(version: Column) -> Column:
+    """A struct that sorts as versions do: four numbers, a release after its prereleases, prereleases by their parts, in
+    which numbers count as numbers. What is no version is 0."""
+    plain = r"^\d{1,9}(?:\.\d{1,9}){0,3}(?:-[0-9A-Za-z.-]{1,31})?(?:\+[0-9A-Za-z.+-]{0,31})?$"
+    known = F.when((F.length(version) <= 48) & version.rlike(plain), version).otherwise("0")
+    numbers = F.split(F.regexp_extract(known, r"^[0-9.]+", 0), r"\.")
+    pre = F.regexp_extract(known, r"^[0-9.]+-([0-9A-Za-z.-]+)", 1)
+    parts = F.regexp_extract_all(F.lower(pre), F.lit(r"(\d+|\D+)"), 1)
+    padded = F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, 31, "0")).otherwise(x))
+    return F.struct(*(F.coalesce(F.get(numbers, F.lit(i)).cast("long"), F.lit(0)).alias(f"n{i}") for i in range(4)), (pre == "").alias("release"), F.array_join(padded, "").alias("pre"))
+
+
+def version_matches(version: Column, expression: str) -> Column:
+    """Does the version meet all comparators (<, <=, >, >=, = or none, blanks or commas between)?"""
+    out = F.lit(True)
+    for token in re.split(r"[\s,]+", expression):
+        if not token:
+            continue
+        found = re.fullmatch(r"(<=|>=|<|>|=)?(\d+(?:\.\d+){0,3}(?:-[0-9A-Za-z.-]+)?)", token)
+        if not found:
+            raise ValueError(f"no version comparator: {token}")
+        a, b = version_key(version), version_key(F.lit(found[2]))
+        out = out & {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b, "=": a == b}[found[1] or "="]
+    return out
 
 
 def version_in_range(version: Column, low: str, high: str) -> Column:
-    """low <= version < high, of dotted numbers."""
-    number = lambda v: F.aggregate(F.slice(F.concat(F.transform(F.split(v, r"\."), lambda x: F.coalesce(x.try_cast("long"), F.lit(0))), F.array(*[F.lit(0).cast("long")] * 3)), 1, 3), F.lit(0).cast("long"), lambda a, x: a * 100_000 + x)
-    return (number(version) >= number(F.lit(low))) & (number(version) < number(F.lit(high)))
+    """low <= version < high."""
+    return version_matches(version, f">={low} <{high}")
 
 
 def two_decimals(value: Column) -> Column:

@@ -5,6 +5,8 @@ Lengths and offsets count code points. White space is Unicode's.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,12 +81,13 @@ def plausible_length(source: Column, target: Column, low: float = 0.15, high: fl
 
 
 def weighted_length(text: Column) -> Column:
-    """Latin words 2.5, digits 0.5, other letters and digits 1."""
+    """Latin words 2.5, digits 0.5, other letters and digits 1; a text without any of them by its UTF-16 length."""
     plain = F.regexp_replace(text, STYLE_TAG, "")
     words = F.regexp_count(plain, F.lit(r"[A-Za-z](?:['’]?[A-Za-z])*"))
     digits = F.regexp_count(plain, F.lit("[0-9]"))
     others = F.regexp_count(plain, F.lit(r"[\p{L}\p{N}&&[^\x00-\x7F]]"))
-    return LATIN_WORD_WEIGHT * words + DIGIT_WEIGHT * digits + others
+    weight = LATIN_WORD_WEIGHT * words + DIGIT_WEIGHT * digits + others
+    return F.when(weight > 0, weight).otherwise(F.length(plain) + F.regexp_count(plain, F.lit(r"[\x{10000}-\x{10FFFF}]")))
 
 
 def visible_lines(text: Column) -> Column:
@@ -203,11 +206,17 @@ def equal_but_noise(a: Column, b: Column) -> Column:
 
 
 def compact_number(n: Column) -> Column:
+    """Whole below a thousand, then k and M: one decimal below ten of them, none from ten on. Ties go up, but where the
+    quotient as a double lies below the tie, as it does for 1150, they go down."""
+
     def cut(size: int, unit: str) -> Column:
-        tenths = F.floor((n + size // 20) / (size // 10))  # half up, in whole numbers
-        return F.concat(F.floor(tenths / 10).cast("string"), F.when(tenths % 10 == 0, "").otherwise(F.concat(F.lit("."), (tenths % 10).cast("string"))), F.lit(unit))
+        below = [x for x in range(size + size // 20, 10 * size, size // 10) if Decimal(x / size) * size < x]
+        tenths = F.floor((n + size // 20) / (size // 10)) - F.when(n.isin(below), 1).otherwise(0)
+        fine = F.concat(F.floor(tenths / 10).cast("string"), F.when(tenths % 10 == 0, "").otherwise(F.concat(F.lit("."), (tenths % 10).cast("string"))))
+        return F.concat(F.when(n < 10 * size, fine).otherwise(F.floor((n + size // 2) / size).cast("string")), F.lit(unit))
 
-    return F.when(n < 1000, n.cast("string")).when(n < 1_000_000, cut(1000, "k")).when(n < 1_000_000_000, cut(1_000_000, "M")).otherwise(cut(1_000_000_000, "B"))
+    whole = F.floor(F.greatest(n, F.lit(0))).cast("string")
+    return F.when(n.isNull() | F.isnan(n.cast("double")), "0").when(n < 1000, whole).when(n < 1_000_000, cut(1000, "k")).otherwise(cut(1_000_000, "M"))
 
 
 def base_language(tag: Column) -> Column:

@@ -224,9 +224,10 @@ def name_runs(docs: DataFrame, least: int = 2) -> DataFrame:
     return runs.groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def glossary_hits(docs: DataFrame, terms: DataFrame, most_words: int = 4) -> DataFrame:
-    """doc_id, term, n: the terms (term) that stand in a text between word edges. Texts' n-grams meet the terms in an
-    equi-join, so the glossary may be of any size."""
+def glossary_hits(docs: DataFrame, terms: DataFrame, most_words: int | None = None) -> DataFrame:
+    """doc_id, term, n: the terms (term) that stand in a text between word edges. Texts' n-grams, of up to as many words
+    as the longest term has, meet the terms in an equi-join, so the glossary may be of any size."""
+    most_words = most_words or terms.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}']+)"), 1)
     rows = docs.select("doc_id", words.alias("w"))
     grams = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, n), " "))).otherwise(F.array().cast("array<string>"))

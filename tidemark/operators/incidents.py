@@ -26,12 +26,16 @@ def vendor_state(reports: DataFrame) -> DataFrame:
     return rows.groupBy("provider").agg(F.count_if(open_).alias("incidents"), F.when(worst == 2, "major_outage").when(worst == 1, "degraded_performance").otherwise("operational").alias("state"))
 
 
-def probe_error(status: Column) -> Column:
-    return F.when(status.isNull(), "network").when(status == 429, "rate_limited").when(status.between(500, 599), "server").when(status.between(400, 499), "client").when(status.between(200, 399), "ok").otherwise("network")
+def probe_error(status: Column, aborted: Column | None = None) -> Column:
+    """ok (200 to 399), rate_limited, auth_error or http_error by the answer's status; without an answer timeout where
+    the call was aborted, else network_error."""
+    silent = status.isNull() | (status == 0)
+    gone = F.lit("network_error") if aborted is None else F.when(aborted, "timeout").otherwise("network_error")
+    return F.when(silent, gone).when(status.between(200, 399), "ok").when(status == 429, "rate_limited").when(status.isin(401, 403), "auth_error").otherwise("http_error")
 
 
 def probe_state(error: Column) -> Column:
-    return F.when(error == "ok", "operational").when(error.isin("rate_limited", "client"), "degraded_performance").otherwise("major_outage")
+    return F.when(error == "ok", "operational").when(error.isin("rate_limited", "auth_error"), "degraded_performance").otherwise("major_outage")
 
 
 def best_match(signals: DataFrame, open_incidents: DataFrame, debounce_minutes: int = 150) -> DataFrame:

@@ -275,9 +275,20 @@ def quota_windows(requests: DataFrame) -> DataFrame:
     return hourly.withColumns({"day_requests": F.sum("hour_requests").over(day), "day_chars": F.sum("hour_chars").over(day)})
 
 
-def quota_decision(hour: Column, day: Column, cleared: Column, soft: tuple[int, int] = (120, 600), hard: tuple[int, int] = (300, 1200)) -> Column:
-    """Beyond a hard limit deny; beyond a soft one challenge those without clearance."""
-    return F.when((hour > hard[0]) | (day > hard[1]), "deny").when(((hour > soft[0]) | (day > soft[1])) & ~cleared, "challenge").otherwise("allow")
+# Requests and characters of an hour and of a day, beyond which clearance is asked for or nothing helps.
+QUOTA_SOFT = ((120, 24_000_000), (600, 120_000_000))
+QUOTA_HARD = ((300, 60_000_000), (1_500, 300_000_000))
+
+
+def quota_decision(hour: tuple[Column, Column], day: tuple[Column, Column], cleared: Column, soft=QUOTA_SOFT, hard=QUOTA_HARD) -> Column:
+    """hour and day: requests and characters of the window with this request. Beyond any hard limit block; beyond any
+    soft one verify those without clearance; else ok."""
+
+    def over(limits) -> Column:
+        (a, b), (c, d) = limits
+        return (hour[0] > a) | (hour[1] > b) | (day[0] > c) | (day[1] > d)
+
+    return F.when(over(hard), "block").when(over(soft) & ~cleared, "verify").otherwise("ok")
 
 
 def tumbling_counter(events: DataFrame, key: list[str], size_ms: int) -> DataFrame:
@@ -287,10 +298,17 @@ def tumbling_counter(events: DataFrame, key: list[str], size_ms: int) -> DataFra
 
 
 def daily_budget(requests: DataFrame, cap: int) -> DataFrame:
-    """requests with used (before) and admitted: a request that would pass the day's cap is denied."""
-    day = W.partitionBy("day").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
-    rows = requests.withColumn("day", F.to_date("ts")).withColumn("used", F.coalesce(F.count("*").over(day), F.lit(0)))
-    return rows.withColumn("admitted", F.col("used") < cap)
+    """requests with used (before) and admitted: a request that would pass the day's cap is denied.
+
+    A day is counted by minutes first; only a minute's requests are put in order by one task."""
+    rows = requests.withColumns({"day": F.to_date("ts"), "__minute": F.date_trunc("minute", "ts")})
+    minutes = rows.groupBy("day", "__minute").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(W.partitionBy("day").orderBy("__minute").rowsBetween(W.unboundedPreceding, -1))
+    minutes = minutes.select("day", "__minute", F.coalesce(before, F.lit(0)).alias("__before"))
+    within = F.row_number().over(W.partitionBy("day", "__minute").orderBy("ts", "event_id")) - 1
+    ranked = rows.withColumn("__within", within).join(minutes, ["day", "__minute"])
+    used = (F.col("__before") + F.col("__within")).alias("used")
+    return ranked.select(*requests.columns, "day", used).withColumn("admitted", F.col("used") < cap)
 
 
 def recent(rows: DataFrame, ts: str, as_of: Column, hours: int) -> DataFrame:

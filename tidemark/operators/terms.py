@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,9 +20,10 @@ def tokens(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1)).alias("at", "token")).withColumn("key", F.lower("token"))
 
 
-def longest_matches(docs: DataFrame, keys: DataFrame, most_words: int = 4) -> DataFrame:
-    """doc_id, at, words, key: at each place the longest key (of at most most_words words) that begins there and that no
-    earlier match covers. Grams meet the keys in an equi-join; overlaps are settled per document."""
+def longest_matches(docs: DataFrame, keys: DataFrame, most_words: int | None = None) -> DataFrame:
+    """doc_id, at, words, key: at each place the longest key that begins there and that no earlier match covers. Grams of
+    up to as many words as the longest key has meet the keys in an equi-join; overlaps are settled per document."""
+    most_words = most_words or most_words_of(keys, "key")
     t = tokens(docs)
     order = W.partitionBy("doc_id").orderBy("at")
     ahead = F.collect_list("key").over(order.rowsBetween(0, most_words - 1))
@@ -81,8 +79,14 @@ def capitalised_share(units: DataFrame) -> DataFrame:
     return units.where(first != "").groupBy("source").agg(F.avg(first.rlike(r"\p{Lu}").cast("double")).alias("share"), (F.avg((F.upper("text") == F.col("text")).cast("double")) > 0.5).alias("shouted"))
 
 
-def containing_pairs(terms: DataFrame, most_words: int = 6) -> DataFrame:
+def most_words_of(keys: DataFrame, column: str) -> int:
+    """Words of the longest key."""
+    return keys.agg(F.max(F.size(F.split(column, " ")))).first()[0] or 1
+
+
+def containing_pairs(terms: DataFrame, most_words: int | None = None) -> DataFrame:
     """inner, outer: terms that stand word by word inside another, found by the outer terms' grams."""
+    most_words = most_words or most_words_of(terms, "term")
     words = F.split(F.lower("term"), " ")
     outer = terms.select(F.col("term").alias("outer"), words.alias("w")).where(F.size("w") > 1)
     n = F.size("w")
@@ -91,27 +95,34 @@ def containing_pairs(terms: DataFrame, most_words: int = 6) -> DataFrame:
     return grams.join(terms.select(F.lower("term").alias("key"), F.col("term").alias("inner")), "key").where("inner <> outer").select("inner", "outer")
 
 
+def _fold_units(text: Column, seed: int, prime: int) -> Column:
+    """The 32-bit hash that takes in one UTF-16 unit after the other: exclusive or, then the product modulo 2**32."""
+    units = F.hex(F.encode(text, "UTF-16BE"))
+    values = F.transform(F.sequence(F.lit(1), F.length(units) - 3, F.lit(4)), lambda i: F.conv(F.substring(units, i, F.lit(4)), 16, 10).cast("long"))
+    half = lambda h, p: (((h.bitwiseXOR(p)) * (prime & 0xFFFF)) + ((h.bitwiseXOR(p) * (prime >> 16)).bitwiseAND(0xFFFF) * 65536)).bitwiseAND(0xFFFFFFFF)
+    return F.when(F.length(text) == 0, F.lit(seed).cast("long")).otherwise(F.aggregate(values, F.lit(seed).cast("long"), half))
+
+
+def units_hash(texts: Column) -> Column:
+    """The 32-bit FNV-1a hash over the UTF-16 units of an array of texts, with a line feed after each, in base 36."""
+    joined = F.array_join(F.transform(texts, lambda t: F.concat(F.coalesce(t, F.lit("")), F.lit("\n"))), "")
+    return F.lower(F.conv(_fold_units(joined, 0x811C9DC5, 0x01000193).cast("string"), 10, 36))
+
+
 def text_hash(rows: DataFrame, column: str = "text") -> DataFrame:
-    """rows with hash: the 32-bit FNV-1a hash over UTF-16 units, in base 36. Spark has no wrapping 32-bit product, so this
-    runs on Arrow batches."""
-
-    def base36(n: int) -> str:
-        digits = "0123456789abcdefghijklmnopqrstuvwxyz"
-        out = ""
-        while n:
-            n, r = divmod(n, 36)
-            out = digits[r] + out
-        return out or "0"
-
-    def fnv(text: str) -> str:
-        h = 0x811C9DC5
-        data = (text or "").encode("utf-16-le", "surrogatepass")
-        for i in range(0, len(data), 2):
-            h = ((h ^ (data[i] | data[i + 1] << 8)) * 0x01000193) & 0xFFFFFFFF
-        return base36(h)
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(fnv)
-
-    return rows.withColumn("hash", F.pandas_udf(run, "string")(F.col(column)))
+    """rows with hash: units_hash of the row's one text."""
+    return rows.withColumn("hash", units_hash(F.array(column)))
+
+
+def bloom_bits(text: Column) -> Column:
+    """The three of 65,536 bits that a text sets in a Bloom filter, from two 32-bit hashes of its UTF-16 units."""
+    one, two = _fold_units(text, 0x811C9DC5, 0x01000193), _fold_units(text, 0x9E3779B9, 0x85EBCA6B)
+    return F.array(*((one + two * i).bitwiseAND(0xFFFF).cast("int") for i in range(3)))
+
+
+def bloom_semi_join(rows: DataFrame, known: DataFrame, column: str = "text") -> DataFrame:
+    """rows whose text's bits are all set by known's texts: all that are known, and few others while known is small. The
+    filter has 65,536 bits, whatever the tables."""
+    bits = known.select(F.explode(bloom_bits(F.col(column))).alias("bit")).distinct()
+    packed = bits.agg(F.collect_set("bit").alias("__bits"))  # at most 65,536 numbers
+    return rows.join(F.broadcast(packed), how="cross").where(F.size(F.array_except(bloom_bits(F.col(column)), F.col("__bits"))) == 0).drop("__bits")

@@ -1 +1 @@
-"""plans of the engine."""
+"""Plans of further queries."""
