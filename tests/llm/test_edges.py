@@ -86,6 +86,15 @@ def test_columns_named_like_fences(spark):
     assert quality.keep_good(df).columns == df.columns
 
 
+def test_repeats_fence_rejects_an_outlier(spark):
+    """A text whose repeats pass the fixed rule, in a source where the others have none."""
+    rows = [(i, " ".join(f"w{10000 + i * 97 + j}" for j in range(100)), "en", "s") for i in range(60)]
+    rows.append((99, " ".join([*(f"a{10000 + j % 20}" for j in range(40)), *(f"b{10000 + j}" for j in range(60))]), "en", "s"))
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert (got[99].n_repeat_words, got[99].base_failed, got[99].kept) == (40, False, False)
+    assert all(got[i].kept for i in range(60))
+
+
 def test_quality_of_a_very_long_text(spark):
     text = " ".join(f"w{i}" for i in range(200_000))
     r = quality.judge(spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string")).first()

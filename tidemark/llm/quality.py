@@ -35,7 +35,7 @@ class Rules:
     most_repeat_percent: int = 50
     reach: int = 8
     least_group: int = 50
-    spread: dict[str, int] = field(default_factory=lambda: {"symbols": 13, "length": 125, "lines": 50, "repeats": 63})
+    spread: dict[str, int] = field(default_factory=lambda: {"symbols": 13, "length": 125, "lines": 50, "repeats": 40})
 
 
 MEASURES = ("symbols", "length", "lines", "repeats")
@@ -194,8 +194,8 @@ by_lang AS (SELECT lang, measure, quantile_disc(edge, [0.25, 0.5, 0.75]) AS q, c
 of_all AS (SELECT measure, quantile_disc(edge, [0.25, 0.5, 0.75]) AS q, count(*) AS n FROM edges GROUP BY ALL),
 quartiles AS (SELECT g.lang, g.source, g.measure, CASE WHEN g.n >= 50 THEN g.q WHEN l.n >= 50 THEN l.q ELSE a.q END AS q
   FROM grouped g JOIN by_lang l ON g.lang = l.lang AND g.measure = l.measure JOIN of_all a ON g.measure = a.measure),
-fences AS (SELECT lang, source, measure, q[2] - 8 * greatest(q[3] - q[1], CASE measure WHEN 'symbols' THEN 13 WHEN 'length' THEN 125 WHEN 'lines' THEN 50 ELSE 63 END) AS low,
-  q[2] + 8 * greatest(q[3] - q[1], CASE measure WHEN 'symbols' THEN 13 WHEN 'length' THEN 125 WHEN 'lines' THEN 50 ELSE 63 END) AS high FROM quartiles),
+fences AS (SELECT lang, source, measure, q[2] - 8 * greatest(q[3] - q[1], CASE measure WHEN 'symbols' THEN 13 WHEN 'length' THEN 125 WHEN 'lines' THEN 50 ELSE 40 END) AS low,
+  q[2] + 8 * greatest(q[3] - q[1], CASE measure WHEN 'symbols' THEN 13 WHEN 'length' THEN 125 WHEN 'lines' THEN 50 ELSE 40 END) AS high FROM quartiles),
 broken AS (SELECT DISTINCT r FROM long JOIN fences ON long.lang = fences.lang AND long.source = fences.source AND long.measure = fences.measure
   WHERE v > high OR (long.measure = 'length' AND v < low))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM broken) AS kept FROM measured
