@@ -44,3 +44,25 @@ def test_event_lines(spark, tmp_path):
     (source / "a.txt").write_text('{"type":"result_chunk","data":{"cues":[{"id":1,"translation":"a"},{"id":2,"translation":"b"}]}}\n{"type":"result_chunk","data":{"cues":[{"id":1,"translation":"a"}]}}\n')
     got = run(spark, windows.latest_cues(spark.readStream.text(str(source))), "cues")
     assert sorted((r.id, r.translation) for r in got.collect()) == [(1, "a"), (2, "b")]
+
+
+def test_upserts_count_each_batch_once(spark, tmp_path):
+    path = f"file://{tmp_path}/table"
+    write = windows.upsert_batches(path, ["key"], "n")
+    batch = lambda *rows: spark.createDataFrame(list(rows), "key string, n long")
+    write(batch(("a", 1), ("a", 2), ("b", 5)), 0)
+    write(batch(("a", 10), ("c", 1)), 1)
+    write(batch(("a", 10), ("c", 1)), 1)  # comes again after a failure
+    write(batch(("b", 1)), 2)
+    assert sorted(map(tuple, windows.upserted(spark, path).collect())) == [("a", 13), ("b", 6), ("c", 1)]
+
+
+def test_upserts_from_a_stream(spark, tmp_path):
+    source = tmp_path / "in"
+    spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "key string, n long").repartition(3).write.parquet(str(source))
+    stream = spark.readStream.schema("key string, n long").option("maxFilesPerTrigger", 1).parquet(str(source))
+    path = f"file://{tmp_path}/table"
+    q = stream.writeStream.foreachBatch(windows.upsert_batches(path, ["key"], "n")).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(map(tuple, windows.upserted(spark, path).collect())) == [("a", 3), ("b", 3)]

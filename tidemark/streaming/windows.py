@@ -8,11 +8,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.sources.records import parse_events
+from tidemark.sources.records import EVENT
 
 
 def bucketed_counts(events: DataFrame, late: str = "10 minutes", bucket: str = "1 minute") -> DataFrame:
@@ -32,11 +32,14 @@ def session_counts(events: DataFrame, gap: str = "30 seconds", late: str = "10 m
     return counted.select("key", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "events")
 
 
-def latest_cues(lines: DataFrame) -> DataFrame:
-    """Cue updates of event lines (value), one row for each cue of each chunk; equal deltas are dropped."""
-    chunks = parse_events(lines).where("type IN ('result_chunk', 'result')").select(F.explode("data.cues").alias("c"))
-    return chunks.select("c.*").dropDuplicates(["id", "translation"])
-
+def latest_cues(lines: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Cue updates of event lines (value, and ts if there is one, else the time of reading), one row for each cue of each
+    chunk; of equal deltas that come within `late` of each other one stays, so the state that tells them apart is
+    bounded."""
+    timed = lines if "ts" in lines.columns else lines.withColumn("ts", F.current_timestamp())
+    found = timed.select("ts", F.from_json("value", EVENT).alias("e")).where("e.type IN ('result_chunk', 'result')")
+    chunks = found.select("ts", F.explode("e.data.cues").alias("c"))
+    return chunks.withWatermark("ts", late).select("ts", "c.*").dropDuplicatesWithinWatermark(["id", "translation"]).drop("ts")
 
 
 def incident_states(signals: DataFrame, settle_minutes: int = 150) -> DataFrame:
@@ -74,9 +77,38 @@ def incident_states(signals: DataFrame, settle_minutes: int = 150) -> DataFrame:
 
 
 def upsert_batches(path: str, key: list[str], value: str):
-    """For foreachBatch: adds each batch's counts to the table at path, once for each batch, as versions by batch id."""
+    """For foreachBatch: adds each batch's counts to the table at path and writes the sums as a new version of it.
+
+    Versions are numbered by batch, so a batch that comes again after a failure starts from the same version as before and
+    counts once. upserted reads the table.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.groupBy(*key).agg(F.sum(value).alias(value)).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        before = [v for v in _versions(spark, path) if v < batch_id]
+        new = batch.groupBy(*key).agg(F.sum(value).alias(value))
+        if before:
+            new = new.unionByName(spark.read.parquet(f"{path}/version={max(before)}").select(*new.columns)).groupBy(*key).agg(F.sum(value).alias(value))
+        new.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        for old in sorted(before)[:-1]:  # the last one is kept for the case that this batch comes again
+            _folder(spark, f"{path}/version={old}", delete=True)
 
     return write
+
+
+def upserted(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/version={max(_versions(spark, path))}")
+
+
+def _folder(spark: SparkSession, path: str, delete: bool = False):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if delete:
+        return fs.delete(at, True)
+    return fs.listStatus(at) if fs.exists(at) else []
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions that were written whole."""
+    names = [x.getPath().getName() for x in _folder(spark, path)]
+    return [int(n[8:]) for n in names if n.startswith("version=") and any(x.getPath().getName() == "_SUCCESS" for x in _folder(spark, f"{path}/{n}"))]
