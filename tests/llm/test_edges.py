@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.llm import langid, pii, quality, session, substring, suffix
+from tidemark.llm import langid, mixing, pii, quality, session, substring, suffix
 from tidemark.llm.jaccard import Fragments, Rule, linked_documents
 from tidemark.llm.pii import KINDS, Scoring, find
 from tidemark.llm.session import join_unique, shared_dir, stash
@@ -163,3 +163,27 @@ def test_no_folder_of_the_driver_on_a_cluster(spark):
 
     with pytest.raises(ValueError, match="checkpoint"):
         shared_dir(Session())
+
+
+def test_selection_recomputed(spark):
+    """Which documents of a source are taken: by ascending key until its budget ends, the last one in part."""
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 50}" for j in range(i % 17)), "abc"[i * i % 3]) for i in range(400)] + [(500, "x " * 30, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    rule = mixing.Mix()
+    drawn = [r["__d"] | {"doc_id": r["doc_id"]} for r in (x.asDict(recursive=True) for x in mixing.weighed(df, rule).collect())]
+    want = {}
+    found = mixing.digest(df, rule).collect()
+    goal = {r.doc_id: (r.target, r.source_size) for r in found}
+    for name in {d["src"]["name"] for d in drawn}:
+        own = sorted((d for d in drawn if d["src"]["name"] == name), key=lambda d: (d["key"], d["th"]))
+        target, size = goal[own[0]["doc_id"]]
+        epochs = min(2, int(target // size)) if size else 0
+        left = round(target - epochs * size)
+        for d in own:
+            part = min(d["size"], left)
+            left -= part
+            want.setdefault(d["doc_id"], []).append(epochs * d["size"] + part)
+    got = {}
+    for r in found:
+        got.setdefault(r.doc_id, []).append(r.taken)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}

@@ -27,6 +27,10 @@ from .quality import let, words_of
 from .session import stash
 
 
+#: Buckets (about 100 bytes each) that are broadcast; beyond that rows are shuffled to them.
+BROADCAST_BUCKETS = 200_000
+
+
 @dataclass(frozen=True)
 class Mix:
     weights: tuple[int, ...] = (5, 2, 1)
@@ -77,19 +81,27 @@ def weighed(docs: DataFrame, rule: Mix) -> DataFrame:
 
 
 def decided(rows: DataFrame, rule: Mix) -> DataFrame:
-    """rows (with __d) with the struct __t: source_size, target, epochs (complete copies), part (further words)."""
+    """rows (stashed, with __d) with the struct __t: source_size, target, epochs (complete copies), part (further words).
+
+    Only in the bucket in which a source's budget ends are documents put in order; all other buckets are taken whole or
+    not at all, so their rows are not shuffled while the table of buckets is small enough to be broadcast.
+    """
     sums = stash(rows.groupBy("__d.src", "__d.bucket").agg(F.sum("__d.size").alias("size")))
     goals = targets(sums.groupBy("src").agg(F.sum("size").alias("source_size")), rule)
     epochs = F.when(F.col("source_size") > 0, F.least(F.lit(rule.most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long")
     goals = goals.withColumn("epochs", epochs).withColumn("budget", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
     before = F.sum("size").over(W.partitionBy("src").orderBy("bucket")) - F.col("size")
-    buckets = stash(sums.withColumn("before", before).join(goals, "src").select("src", "bucket", F.struct("before", "source_size", "target", "epochs", "budget").alias("__b")))
-    buckets = buckets.withColumnsRenamed({"src": "__src", "bucket": "__bucket"})
-    joined = rows.join(buckets, (F.col("__d.src") == F.col("__src")) & (F.col("__d.bucket") == F.col("__bucket")))
+    facts = F.struct("before", F.col("size").alias("bucket_size"), "source_size", "target", "epochs", "budget").alias("__b")
+    buckets = stash(sums.withColumn("before", before).join(goals, "src").select(F.col("src").alias("__src"), F.col("bucket").alias("__bucket"), facts))
+    small = buckets.count() <= BROADCAST_BUCKETS
+    joined = rows.join(F.broadcast(buckets) if small else buckets, (F.col("__d.src") == F.col("__src")) & (F.col("__d.bucket") == F.col("__bucket")))
+    ends = (F.col("__b.before") < F.col("__b.budget")) & (F.col("__b.before") + F.col("__b.bucket_size") > F.col("__b.budget"))
+    whole = F.when(F.col("__b.before") < F.col("__b.budget"), F.col("__d.size")).otherwise(0)
     order = W.partitionBy("__src", "__bucket").orderBy("__d.key", "__d.th").rowsBetween(W.unboundedPreceding, 0)
     upto = F.sum("__d.size").over(order) - F.col("__d.size") + F.col("__b.before")
-    part = F.greatest(F.lit(0), F.least(F.col("__d.size"), F.col("__b.budget") - upto)).cast("long")
-    return joined.withColumn("__t", F.struct("__b.source_size", "__b.target", "__b.epochs", part.alias("part"))).drop("__src", "__bucket", "__b")
+    part = F.greatest(F.lit(0), F.least(F.col("__d.size"), F.col("__b.budget") - upto))
+    told = lambda df, p: df.withColumn("__t", F.struct("__b.source_size", "__b.target", "__b.epochs", p.cast("long").alias("part"))).drop("__src", "__bucket", "__b")
+    return told(joined.where(~ends), whole).union(told(joined.where(ends), part))
 
 
 def digest(docs: DataFrame, rule: Mix | None = None) -> DataFrame:
@@ -106,7 +118,7 @@ def mix(docs: DataFrame, rule: Mix | None = None) -> DataFrame:
     there is one, counted anew. Documents without words are never taken.
     """
     rule = rule or Mix()
-    rows = decided(weighed(docs, rule), rule)
+    rows = decided(stash(weighed(docs, rule)), rule)
     size, part = F.col("__d.size"), F.col("__t.part")
     whole = F.col("__t.epochs") + F.when(part == size, 1).otherwise(0)
     copies = F.when(size > 0, whole + F.when((part > 0) & (part < size), 1).otherwise(0)).otherwise(0).cast("int")
