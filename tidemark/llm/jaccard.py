@@ -313,10 +313,10 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     held = stash(held.join(F.broadcast(keys) if few else keys, ["sid", "did", "th"], "left_semi").select("sid", "grams"))
     near = _near(held, rule)
     clusters = stash(components(near).select(F.col("node").alias("sid"), F.col("component").alias("cluster")))
-    placed = standing.join(clusters, "sid").select("sid", "cluster", "copies", "n")
-    sizes = placed.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    placed = stash(standing.join(clusters, "sid").select("sid", "cluster", "copies", "n"))
+    sizes = stash(placed.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"), F.count("*").alias("sets")))
     # The sets are the bulk: while the facts beside them are few they are broadcast, so the sets travel only once.
-    placed = placed.join(sizes, "cluster").drop("n")
+    placed = join_unique(placed, sizes, "cluster", "sets").drop("n", "sets")
     blocked = (
         held.join(F.broadcast(placed) if few else placed, "sid")
         .withColumn("own", F.pmod(F.col("sid"), F.col("blocks")))
