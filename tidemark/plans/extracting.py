@@ -12,6 +12,7 @@ from tidemark.catalog import CUES, cue_rows, query
 from tidemark.functions import edges as E
 from tidemark.functions import text as T
 from tidemark.operators import extract as X
+from tidemark.operators import merging as G
 
 
 def sql_class(chars: str) -> str:
@@ -91,3 +92,15 @@ def lyric_mask(spark, sf_dir):
 @query(None)
 def request_plans(spark, sf_dir):
     return X.request_plan(cue_rows(spark, sf_dir), 2, 600, 10, 4)
+
+
+@query(f"WITH {CUES}, t AS (SELECT doc_id, pos, regexp_replace(text, '\\s+$', '') AS s FROM cues) SELECT doc_id, pos, CASE WHEN regexp_matches(s, '(?:—|…|\\.\\.|--)$') THEN 'trail_off' WHEN regexp_matches(s, '[,，、]$') THEN 'comma' WHEN regexp_matches(s, '[.。!?！？][''\"”’)\\]」』]*$') THEN 'period' WHEN regexp_matches(s, '[:：]$') THEN 'colon' END AS kind FROM t")
+def boundary_kinds(spark, sf_dir):
+    return cue_rows(spark, sf_dir).select("doc_id", "pos", G.boundary(F.col("text")).alias("kind"))
+
+
+@query(None)
+def translation_cuts(spark, sf_dir):
+    quarters = F.array(*(F.length("text") * q / 4 for q in (1, 2, 3)))
+    kinds = F.array(F.lit("comma"), F.lit(None).cast("string"), F.lit("period"))
+    return G.cut_translations(cue_rows(spark, sf_dir).select("doc_id", "pos", "text", kinds.alias("kinds"), quarters.alias("expected")), ["doc_id", "pos"])
