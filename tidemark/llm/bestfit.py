@@ -20,11 +20,16 @@ are ignored.
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
+from struct import pack as pack_numbers
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -35,7 +40,13 @@ from .session import release, small_batches, stash
 from .textwords import slices
 
 #: Tokens never cross white space, which the tokenizer drops.
-RUN = re.compile(f"[^{SPACE}]+")
+RUN, SEPARATORS = re.compile(f"[^{SPACE}]+"), re.compile("[\x1c-\x1f]")
+#: Letters and numbers below U+0250. All are in composed form already.
+LETTERS, NUMBERS = ("".join(c for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == kind) for kind in "LN")
+#: Characters beyond those and general punctuation, and what may begin a special token.
+NOT_PLAIN = re.compile(r"[^\x00-\u024f\u2010-\u2027\u2030-\u205e]|<\|")
+#: The tokenizer's first split (a fixed pattern), for plain characters.
+TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACE}{LETTERS}{NUMBERS}]+")
 PIECE = ("doc_id", "piece", "start", "length", "ids_crc32")
 #: Rows of one size are dealt out in groups of about this many, or a share of all rows if that is more.
 GROUP_ROWS, GROUP_SHARE = 128, 8192
@@ -50,17 +61,57 @@ class BestFit:
     vocabulary: str | None = None
 
 
+class Merger:
+    """Ids of one token of the tokenizer's first split, by its merges. The vocabulary's numbers have to ascend with the
+    rank of the merges, which is checked. The end of a word is byte 0xFF, which UTF-8 never has."""
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        suffix, vocabulary = model["end_of_word_suffix"], model["vocab"]
+        numbers = [vocabulary["".join(m if isinstance(m, list) else m.split(" ", 1))] for m in model["merges"]]
+        if not suffix or any(a >= b for a, b in pairwise(numbers)) or model["byte_fallback"] or model["ignore_merges"]:
+            raise ValueError(f"{path}: not a vocabulary with word ends whose numbers follow its merges")
+        # Byte-level vocabularies write bytes that can't be printed as the characters from U+0100 on.
+        shown = [b for b in range(256) if chr(b).isprintable() and b != 0x20]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        ranks = {}
+        for token, number in vocabulary.items():
+            word = token.removesuffix(suffix)
+            if all(c in byte_of for c in word) and word:
+                ranks[bytes(map(byte_of.__getitem__, word)) + b"\xff" * (word != token)] = number
+        ranks.setdefault(b"\xff", max(vocabulary.values()) + 1)
+        self.encode = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+
+    def ids(self, token: str) -> bytes:
+        found = self.encode(token.encode() + b"\xff")
+        return pack_numbers(f"<{len(found)}I", *found)
+
+
 class WordEncoder(dict):
-    """Ids of runs without white space, as bytes of little-endian unsigned 32-bit numbers; those seen before are looked up."""
+    """Ids of texts, as bytes of little-endian unsigned 32-bit numbers. Runs
+    without white space are looked up once seen.
+
+    In a run of plain characters (Latin letters, signs and general punctuation, which the tokenizer's normalisation
+    only lower-cases) the tokenizer's first split is taken by its pattern; other runs go to the tokenizer itself.
+    """
 
     def __init__(self, vocabulary: str | None = None):
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(vocabulary or public_tokenizers.path("word_bpe_49k.json"))
+        path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
+        self.merger = Merger(path)
+        self.tokenizer = Tokenizer.from_file(path)
 
     def __missing__(self, run: str) -> bytes:
-        found = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(run, add_special_tokens=False).ids)
+        low = run.lower()
+        if NOT_PLAIN.search(run) or NOT_PLAIN.search(low):
+            found = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        else:
+            found = b"".join(map(self.merger.ids, TOKEN.findall(low)))
         if len(run) <= 32:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -68,7 +119,9 @@ class WordEncoder(dict):
         return found
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, RUN.findall(text)))
+        # str.split also cuts at U+001C to U+001F, which are no white space here.
+        runs = RUN.findall(text) if SEPARATORS.search(text) else text.split()
+        return b"".join(map(self.__getitem__, runs))
 
 
 def pieces(docs: DataFrame, rule: BestFit) -> DataFrame:
@@ -126,7 +179,8 @@ def sweep(left: DataFrame, gaps: DataFrame, sizes: Sizes) -> DataFrame:
     spark = left.sparkSession
     rows = left.withColumns({"kind": F.lit(0), "size": F.col("length"), "sequence_id": F.lit(None).cast("long")}).unionByName(gaps.select(F.lit(1).alias("kind"), F.col("gap").alias("size"), "sequence_id"), allowMissingColumns=True)
     # Two rows for each size up to the window, and with salts GROUP_SHARE more.
-    places = spark.createDataFrame(sizes.places(), "kind int, size long, slots int, salts int, first long")
+    columns = zip(zip(*sizes.places(), strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)
+    places = spark.createDataFrame(pa.table([pa.array(c, t) for c, t in columns], names=["kind", "size", "slots", "salts", "first"]))
     dealt = rows.join(F.broadcast(places), ["kind", "size"]).withColumn("salt", F.pmod(F.xxhash64(*PIECE, "sequence_id"), F.col("salts")).cast("int"))
     counts = dealt.groupBy("kind", "size", "salt").agg(F.count("*").alias("n"))
     before = counts.select("kind", "size", "salt", (F.sum("n").over(W.partitionBy("kind", "size").orderBy("salt")) - F.col("n")).alias("before"))
