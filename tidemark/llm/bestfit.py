@@ -26,8 +26,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import pairwise
-from struct import pack as pack_numbers
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +44,10 @@ RUN, SEPARATORS = re.compile(f"[^{SPACE}]+"), re.compile("[\x1c-\x1f]")
 LETTERS, NUMBERS = ("".join(c for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == kind) for kind in "LN")
 #: Characters beyond those and general punctuation, and what may begin a special token.
 NOT_PLAIN = re.compile(r"[^\x00-\u024f\u2010-\u2027\u2030-\u205e]|<\|")
-#: The tokenizer's first split (a fixed pattern), for plain characters.
-TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACE}{LETTERS}{NUMBERS}]+")
+#: The tokenizer's first split (a fixed pattern), for plain characters; line ends stand between runs.
+TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACE}{LETTERS}{NUMBERS}]+|\n")
+#: Characters of the longest run that is remembered.
+LONGEST = 32
 PIECE = ("doc_id", "piece", "start", "length", "ids_crc32")
 #: Rows of one size are dealt out in groups of about this many, or a share of all rows if that is more.
 GROUP_ROWS, GROUP_SHARE = 128, 8192
@@ -62,8 +63,8 @@ class BestFit:
 
 
 class Merger:
-    """Ids of one token of the tokenizer's first split, by its merges. The vocabulary's numbers have to ascend with the
-    rank of the merges, which is checked. The end of a word is byte 0xFF, which UTF-8 never has."""
+    """Ids of runs without white space by the tokenizer's first split and its merges. The vocabulary's numbers have to
+    ascend with the rank of the merges, which is checked. A blank stands for the end of a word, as no token has one."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -80,19 +81,22 @@ class Merger:
         ranks = {}
         for token, number in vocabulary.items():
             word = token.removesuffix(suffix)
-            if all(c in byte_of for c in word) and word:
-                ranks[bytes(map(byte_of.__getitem__, word)) + b"\xff" * (word != token)] = number
-        ranks.setdefault(b"\xff", max(vocabulary.values()) + 1)
-        self.encode = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+            if word and all(byte_of.get(c, 0x20) not in b" \n" for c in word):
+                ranks[bytes(map(byte_of.__getitem__, word)) + b" " * (word != token)] = number
+        self.stop = 1 + max(vocabulary.values())
+        ranks |= {b" ": self.stop + 1, b"\n": self.stop + 2, b"\n ": self.stop}
+        self.encode = tiktoken.Encoding("words", pat_str="[^ \n]+ |\n ", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def ids(self, token: str) -> bytes:
-        found = self.encode(token.encode() + b"\xff")
-        return pack_numbers(f"<{len(found)}I", *found)
+    def ids(self, runs: list[str]) -> list[bytes]:
+        """For each run of plain characters in lower case."""
+        ids = np.array(self.encode(" ".join(TOKEN.findall("\n".join(runs))) + " \n "), dtype="<u4")
+        data, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.stop)).tolist()
+        return [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends, strict=False)]
 
 
 class WordEncoder(dict):
-    """Ids of texts, as bytes of little-endian unsigned 32-bit numbers. Runs
-    without white space are looked up once seen.
+    """Ids of texts, as bytes of little-endian unsigned 32-bit numbers. Runs without white space are looked up once seen;
+    those not met again for long are forgotten.
 
     In a run of plain characters (Latin letters, signs and general punctuation, which the tokenizer's normalisation
     only lower-cases) the tokenizer's first split is taken by its pattern; other runs go to the tokenizer itself.
@@ -105,23 +109,38 @@ class WordEncoder(dict):
         path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
         self.merger = Merger(path)
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, run: str) -> bytes:
-        low = run.lower()
-        if NOT_PLAIN.search(run) or NOT_PLAIN.search(low):
-            found = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        else:
-            found = b"".join(map(self.merger.ids, TOKEN.findall(low)))
-        if len(run) <= 32:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[run] = found
-        return found
-
-    def ids(self, text: str) -> bytes:
+        self.before: dict[str, bytes] = {}
+
+    def _learn(self, runs: set[str]) -> None:
+        unknown, before = [], self.before
+        for run in runs:
+            found = before.get(run)
+            if found is None:
+                unknown.append(run)
+            else:
+                self[run] = found
+        whole = "\n".join(unknown)
+        low = whole.lower().split("\n")
+        if NOT_PLAIN.search(whole) or NOT_PLAIN.search("".join(low)):
+            plain = [not (NOT_PLAIN.search(run) or NOT_PLAIN.search(x)) for run, x in zip(unknown, low, strict=True)]
+            for run in (run for run, ok in zip(unknown, plain, strict=True) if not ok):
+                self[run] = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            unknown, low = ([x for x, ok in zip(y, plain, strict=True) if ok] for y in (unknown, low))
+        if unknown:
+            self.update(zip(unknown, self.merger.ids(low), strict=True))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
         # str.split also cuts at U+001C to U+001F, which are no white space here.
-        runs = RUN.findall(text) if SEPARATORS.search(text) else text.split()
-        return b"".join(map(self.__getitem__, runs))
+        runs = [RUN.findall(text) if SEPARATORS.search(text) else text.split() for text in texts]
+        unseen = set(chain.from_iterable(runs)).difference(self)
+        self._learn(unseen)
+        out = [b"".join(map(self.__getitem__, x)) for x in runs]
+        for run in [run for run in unseen if len(run) > LONGEST]:
+            del self[run]
+        if len(self) > REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+        return out
 
 
 def pieces(docs: DataFrame, rule: BestFit) -> DataFrame:
@@ -132,8 +151,8 @@ def pieces(docs: DataFrame, rule: BestFit) -> DataFrame:
         end, width = rule.end.to_bytes(4, "little"), 4 * rule.window
         for batch in slices(batches):
             rows, out = [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                ids = encoder.ids(text or "") + end
+            for row, found in enumerate(encoder.ids([text or "" for text in batch.column(1).to_pylist()])):
+                ids = found + end
                 for piece, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     rows.append(row)
