@@ -26,7 +26,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, pairwise
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .packing import REMEMBERED, SPACE
+from .packing import SPACE
 from .session import release, small_batches, stash
 from .textwords import slices
 
@@ -46,8 +46,8 @@ LETTERS, NUMBERS = ("".join(c for c in map(chr, range(0x250)) if unicodedata.cat
 NOT_PLAIN = re.compile(r"[^\x00-\u024f\u2010-\u2027\u2030-\u205e]|<\|")
 #: The tokenizer's first split (a fixed pattern), for plain characters; line ends stand between runs.
 TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACE}{LETTERS}{NUMBERS}]+|\n")
-#: Characters of the longest run that is remembered.
-LONGEST = 32
+#: Runs of which a worker remembers so many to twice as many, and characters of the longest of them.
+REMEMBERED, LONGEST = 500_000, 32
 PIECE = ("doc_id", "piece", "start", "length", "ids_crc32")
 #: Rows of one size are dealt out in groups of about this many, or a share of all rows if that is more.
 GROUP_ROWS, GROUP_SHARE = 128, 8192
@@ -132,10 +132,16 @@ class WordEncoder(dict):
     def ids(self, texts: list[str]) -> list[bytes]:
         # str.split also cuts at U+001C to U+001F, which are no white space here.
         runs = [RUN.findall(text) if SEPARATORS.search(text) else text.split() for text in texts]
-        unseen = set(chain.from_iterable(runs)).difference(self)
-        self._learn(unseen)
-        out = [b"".join(map(self.__getitem__, x)) for x in runs]
-        for run in [run for run in unseen if len(run) > LONGEST]:
+        flat = list(chain.from_iterable(runs))
+        found = list(map(self.get, flat))
+        unseen = [i for i, ids in enumerate(found) if ids is None]
+        new = {flat[i] for i in unseen}
+        self._learn(new)
+        for i in unseen:
+            found[i] = self[flat[i]]
+        ends = list(accumulate(map(len, runs)))
+        out = [b"".join(found[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        for run in [run for run in new if len(run) > LONGEST]:
             del self[run]
         if len(self) > REMEMBERED:
             self.before = dict(self)
