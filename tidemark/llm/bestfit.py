@@ -47,7 +47,7 @@ NOT_PLAIN = re.compile(r"[^\x00-\u024f\u2010-\u2027\u2030-\u205e]|<\|")
 #: The tokenizer's first split (a fixed pattern), for plain characters; line ends stand between runs.
 TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACE}{LETTERS}{NUMBERS}]+|\n")
 #: Runs of which a worker remembers so many to twice as many, and characters of the longest of them.
-REMEMBERED, LONGEST = 500_000, 32
+REMEMBERED, LONGEST = 800_000, 32
 PIECE = ("doc_id", "piece", "start", "length", "ids_crc32")
 #: Rows of one size are dealt out in groups of about this many, or a share of all rows if that is more.
 GROUP_ROWS, GROUP_SHARE = 128, 8192
