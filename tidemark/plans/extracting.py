@@ -6,6 +6,8 @@ hold them against literal values.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidemark.catalog import CUES, cue_rows, query
@@ -13,6 +15,7 @@ from tidemark.functions import edges as E
 from tidemark.functions import text as T
 from tidemark.operators import extract as X
 from tidemark.operators import merging as G
+from tidemark.operators import restoring as R
 
 
 def sql_class(chars: str) -> str:
@@ -104,3 +107,41 @@ def translation_cuts(spark, sf_dir):
     quarters = F.array(*(F.length("text") * q / 4 for q in (1, 2, 3)))
     kinds = F.array(F.lit("comma"), F.lit(None).cast("string"), F.lit("period"))
     return G.cut_translations(cue_rows(spark, sf_dir).select("doc_id", "pos", "text", kinds.alias("kinds"), quarters.alias("expected")), ["doc_id", "pos"])
+
+
+SPLIT = "regexp_split_to_array(regexp_replace(text, '({})', chr(1) || '\\1' || chr(2), 'g'), '[' || chr(1) || chr(2) || ']')"
+
+
+def sql_pattern(pattern: str) -> str:
+    """A pattern of Java's as DuckDB writes it, inside quotes."""
+    return re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", pattern).replace("'", "''")
+
+
+@query(f"WITH {CUES}, cut AS (SELECT doc_id, pos, {SPLIT.format(sql_pattern(R.UNITS))} AS p FROM cues), each AS (SELECT doc_id, pos, p, unnest(range(1, len(p) + 1)) AS i FROM cut), placed AS (SELECT doc_id, pos, i, length(p[i]) AS n, sum(length(p[i])) OVER (PARTITION BY doc_id, pos ORDER BY i) AS upto FROM each) SELECT doc_id, pos, (upto - n)::INTEGER AS start_at, upto::INTEGER AS end_at FROM placed WHERE i % 2 = 0")
+def protected_units(spark, sf_dir):
+    """Words in Latin letters, numbers with their units, dates and the like: what no cut divides."""
+    spans = cue_rows(spark, sf_dir).select("doc_id", "pos", F.explode(R.match_spans(F.col("text"), R.UNITS)).alias("s"))
+    return spans.select("doc_id", "pos", F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"))
+
+
+@query(f"WITH {CUES} SELECT doc_id, pos, 2.5 * len(regexp_extract_all(text, '[A-Za-z]+(?:[''’][A-Za-z]+)*')) + 0.5 * len(regexp_extract_all(text, '[0-9，,、；;。.!?！？：:…]')) + len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]')) - len(regexp_extract_all(text, '[A-Za-z0-9]')) AS weight FROM cues")
+def place_weights(spark, sf_dir):
+    """The weight that shares out a translation's places."""
+    return cue_rows(spark, sf_dir).select("doc_id", "pos", F.round(R.total(R.weights(F.col("text"))), 6).alias("weight"))
+
+
+def turn_units(spark, sf_dir):
+    """Conversations in units of three turns; the turns' own texts, with a marker before some, stand for a translation."""
+    rows = cue_rows(spark, sf_dir).withColumnsRenamed({"pos": "cue_id"}).withColumns({"pos": F.col("cue_id"), "turn": F.lit(0), "group": F.floor(F.col("cue_id") / 3), "music": F.lit(False), "marked": F.col("cue_id") % 5 == 2})
+    units = R.marked_units(rows)
+    return units.withColumn("text", F.lower("ask"))
+
+
+@query(None)
+def translation_parts(spark, sf_dir):
+    return R.split_units(turn_units(spark, sf_dir)).select("doc_id", "unit", "method", F.posexplode("parts").alias("part", "text"))
+
+
+@query(None)
+def restored_cues(spark, sf_dir):
+    return R.restored_cues(cue_rows(spark, sf_dir), R.split_units(turn_units(spark, sf_dir))).select("doc_id", "pos", "translation")
