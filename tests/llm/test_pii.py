@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from tidemark.llm.pii import KINDS, Scoring, digest, emails, find, find_base, luhn, mask_documents, mod97
+from tidemark.llm.pii import KINDS, Scoring, digest, emails, find, find_base, luhn, mask, mask_documents, mod97
 
 
 def plain_base(text):
@@ -56,3 +56,45 @@ def test_digest(spark):
 def test_mask(spark):
     df = spark.createDataFrame([(1, "to a.b@c.de, 1.2.3.4!", 21), (2, None, None)], "doc_id long, text string, n_chars long")
     assert sorted(map(tuple, mask_documents(df).collect())) == [(1, "to <email>, <ip>!", 17), (2, None, None)]
+
+
+def test_secrets_of_any_length_are_masked_whole():
+    scoring = Scoring()
+    for value in ("a1B2c3D4e5" * 40, "9f8e7d6c5b4a39281706" * 500):
+        assert mask(f"password={value} end", scoring) == "password=<secret> end"
+    for token in ("ghp_" + "aB3" * 120, "github_pat_" + "x_Y1" * 200, "xoxb-" + "1-a" * 400, "sk_live_" + "Z9" * 300, ".".join(["eyJ" + "a-_B" * 1000] * 2 + ["c" * 5000])):
+        assert mask(f"so {token}, then", scoring) == "so <secret>, then"
+    assert find("ghp_" + "aB3" * 20 + "_", scoring) == [] and find("xoxb-" + "1-a" * 20 + "_", scoring) == [] and find("eyJ" + "a" * 20 + ".eyJabc.def", scoring) == []
+    assert mask("x.y.eyJaaaaaaaaaa.eyJbbbbbbbbbb.cccccccccc.d", scoring) == "x.y.<secret>.d"
+
+
+def test_many_spans_and_long_runs_take_linear_time():
+    import time
+
+    scoring = Scoring()
+
+    def seconds(text):
+        began = time.process_time()
+        found = find(text, scoring)
+        return time.process_time() - began, len(found)
+
+    kinds = ["token=a1b2c3d4e5f6 ", "DE89370400440532013000 iban a.b@c.de ", "password: q9w8e7r6t5 call +1 202 555 0100 "]
+    for unit in kinds:
+        (small, n), (large, m) = seconds(unit * 2500), seconds(unit * 20_000)
+        assert m == 8 * n and large < 24 * small + 1
+    for text in ("xoxb-" * 100_000 + "_", "eyJ-" * 100_000, "eyJa." * 100_000, "-----BEGIN PRIVATE KEY-----" * 20_000, "ghp_" * 100_000, "key=" * 100_000):
+        assert seconds(text)[0] < 10
+
+
+def test_overlaps_against_all_pairs():
+    import random
+
+    from tidemark.llm.pii import Overlaps
+
+    rnd = random.Random(7)
+    for _ in range(200):
+        spans = sorted((a, a + rnd.randrange(1, 9)) for a in (rnd.randrange(40) for _ in range(rnd.randrange(6))))
+        known = Overlaps(spans)
+        for a in range(45):
+            for b in range(a + 1, 46):
+                assert known.any(a, b) == any(x < b and a < y for x, y in spans)

@@ -7,7 +7,8 @@ private key blocks, and values with digits and much entropy that are assigned to
 span has a score, and added spans below `Scoring.least` are dropped.
 
 Defined results: null text is empty; rows are judged one by one, so repeated rows and null ids change nothing; an
-empty table gives an empty one; very long texts and runs are read in linear time; further columns are ignored.
+empty table gives an empty one; very long texts and runs, and texts with very many spans, take linear time (apart from the
+sorting of spans), and secrets of any length are found whole; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,8 +16,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -46,11 +50,10 @@ IBAN_LENGTHS = {
     23: "AE IL TL", 24: "AD CZ ES MD PK RO SA SE SK TN VA", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ CY DO GT HU LB PL SV",
     29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
 }
-# Published formats of access keys.
-KEYS = (
-    r"(?:AKIA|ASIA)[A-Z0-9]{16}", r"gh[oprsu]_[A-Za-z0-9]{36,255}", r"github_pat_[A-Za-z0-9_]{22,255}", r"xox[abprs]-[A-Za-z0-9-]{10,255}",
-    r"AIza[A-Za-z0-9_-]{35}", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,255}", r"eyJ[A-Za-z0-9_-]{10,2000}\.eyJ[A-Za-z0-9_-]{10,2000}\.[A-Za-z0-9_-]{10,2000}",
-)
+# Published formats of access keys, and what a text with such a key or an assigned secret must hold.
+KEYS = (r"(?:AKIA|ASIA)[A-Z0-9]{16}", r"gh[oprsu]_[A-Za-z0-9]{36,}+", r"github_pat_[A-Za-z0-9_]{22,}+", r"AIza[A-Za-z0-9_-]{35}", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}+")
+KEY_MARKS = ("AKIA", "ASIA", "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "github_pat_", "AIza", "k_live_", "k_test_")
+NAME_MARKS = ("passw", "passphrase", "contrase", "pwd", "secret", "token", "key")
 
 
 @dataclass(frozen=True)
@@ -74,9 +77,11 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 IBAN_SIZE = {country: n for n, countries in IBAN_LENGTHS.items() for country in countries.split()}
 KEY = re.compile(rf"(?<![A-Za-z0-9_])(?:{'|'.join(KEYS)})(?![A-Za-z0-9_])")
+CHAT_KEY = re.compile(r"(?<![A-Za-z0-9_])xox[abprs]-([A-Za-z0-9-]*+)")
+WEB_TOKEN, WEB_TOKEN_START = re.compile(r"[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){2,}+"), re.compile("(?<![A-Za-z0-9_])eyJ")
 KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----")
 ASSIGNED = re.compile(
-    r"(?<![A-Za-z])(?:password|passwd|passwort|passphrase|contraseña|pwd|secret|token|(?:api|access|secret|auth)[_-]?(?:key|token))[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"'<>,;]{8,256})",
+    r"(?<![A-Za-z])(?:password|passwd|passwort|passphrase|contraseña|pwd|secret|token|(?:api|access|secret|auth)[_-]?(?:key|token))[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"'<>,;]{8,}+)",
     re.IGNORECASE,
 )
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
@@ -106,7 +111,7 @@ def iban_end(text: str, start: int, end: int) -> int:
 
 def entropy(text: str) -> float:
     """Bits a character."""
-    return -sum((n := text.count(c) / len(text)) * math.log2(n) for c in set(text))
+    return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
 
 
 def mod97(iban: str) -> bool:
@@ -142,18 +147,55 @@ def find_base(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+class Overlaps:
+    """Does a range overlap any of the given ones? Found by bisection."""
+
+    def __init__(self, spans: list[tuple]):
+        self.starts, self.ends = [x[0] for x in spans], list(accumulate((x[1] for x in spans), max))
+
+    def any(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)
+        return before > 0 and self.ends[before - 1] > start
+
+
+def web_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Tokens of three parts between dots, of which the first two begin with eyJ."""
+    for m in WEB_TOKEN.finditer(text):
+        parts, at = m[0].split("."), m.start()
+        begins = []
+        for part in parts:
+            begins.append(at)
+            at += len(part) + 1
+        last = 0
+        for i in range(len(parts) - 2):
+            # The first beginning leaves the most characters.
+            first = WEB_TOKEN_START.search(parts[i]) if i >= last else None
+            if first and len(parts[i]) - first.end() >= 10 and parts[i + 1].startswith("eyJ") and len(parts[i + 1]) >= 13 and len(parts[i + 2]) >= 10:
+                last = i + 3
+                yield begins[i] + first.start(), begins[i + 2] + len(parts[i + 2])
+
+
 def find_secrets(text: str, least: float) -> list[tuple[int, int, int, bool]]:
-    found = [(*m.span(), 7, True) for m in KEY.finditer(text)]
+    found = [(*m.span(), 7, True) for m in KEY.finditer(text)] if any(mark in text for mark in KEY_MARKS) else []
+    if "xox" in text:
+        found += [(*m.span(), 7, True) for m in CHAT_KEY.finditer(text) if len(m[1]) >= 10 and text[m.end() : m.end() + 1] != "_"]
+    if "eyJ" in text:
+        found += [(a, b, 7, True) for a, b in web_tokens(text)]
     if "-----BEGIN" in text:
-        at = 0
+        at, last = 0, text.rfind("-----END")
         while m := KEY_BLOCK.search(text, at):
-            ends = text.find("-----END", m.end())
+            ends = text.find("-----END", m.end()) if last >= m.end() else -1
             at = m.end() if ends < 0 else max(m.end(), text.find("-----", ends + 8) + 5)
             found.append((m.start(), at, 7, True))
-    for m in ASSIGNED.finditer(text):
-        if any("0" <= c <= "9" for c in m[1]) and entropy(m[1]) >= least and not any(a < m.end(1) and m.start(1) < b for a, b, *_ in found):
-            found.append((*m.span(1), 7, False))
-    return found
+    kept: list[tuple[int, int, int, bool]] = []
+    for x in sorted(found):
+        if not kept or x[0] >= kept[-1][1]:
+            kept.append(x)
+    low = text.casefold() if ":" in text or "=" in text else ""
+    if not any(mark in low for mark in NAME_MARKS):
+        return kept
+    known = Overlaps(kept)
+    return kept + [(*m.span(1), 7, False) for m in ASSIGNED.finditer(text) if any("0" <= c <= "9" for c in m[1]) and entropy(m[1]) >= least and not known.any(*m.span(1))]
 
 
 def find_added(text: str, scoring: Scoring) -> list[tuple[int, int, int, bool]]:
@@ -181,8 +223,9 @@ def find(text: str, scoring: Scoring) -> list[tuple[int, int, int, float]]:
     """(start, end, kind, score) of all spans, by start and kind."""
     base = find_base(text)
     found = [(a, b, k, score(text, a, b, k, k == 2, scoring)) for a, b, k in base]
+    known = Overlaps(base)
     for a, b, k, passed in find_added(text, scoring):
-        if not any(a < y and x < b for x, y, _ in base) and (s := score(text, a, b, k, passed, scoring)) >= scoring.least:
+        if not known.any(a, b) and (s := score(text, a, b, k, passed, scoring)) >= scoring.least:
             found.append((a, b, k, s))
     return sorted(found, key=lambda x: (x[0], x[2]))
 
