@@ -78,7 +78,7 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 IBAN_SIZE = {country: n for n, countries in IBAN_LENGTHS.items() for country in countries.split()}
 KEY = re.compile(rf"(?<![A-Za-z0-9_])(?:{'|'.join(KEYS)})(?![A-Za-z0-9_])")
 CHAT_KEY = re.compile(r"(?<![A-Za-z0-9_])xox[abprs]-([A-Za-z0-9-]*+)")
-WEB_TOKEN, WEB_TOKEN_START = re.compile(r"[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){2,}+"), re.compile("(?<![A-Za-z0-9_])eyJ")
+WEB_TOKEN, WEB_TOKEN_START = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){2,}+"), re.compile("(?<![A-Za-z0-9_])eyJ")
 KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----")
 ASSIGNED = re.compile(
     r"(?<![A-Za-z])(?:password|passwd|passwort|passphrase|contraseña|pwd|secret|token|(?:api|access|secret|auth)[_-]?(?:key|token))[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"'<>,;]{8,}+)",
