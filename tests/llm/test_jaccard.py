@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import components as parts
@@ -123,3 +124,16 @@ def test_components_when_a_node_has_two_lesser_ones(spark, monkeypatch, labels):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert sorted(map(tuple, found)) == [(x, a) for x in labels]
+
+
+def test_equal_digests_lose_no_count():
+    """Fragments of one set that agree in their digest count each; a set that was sent twice counts once."""
+    from tidemark.llm.jaccard import _counted
+
+    def sent(*sets):
+        sid, meta, digests = zip(*sets, strict=True)
+        return [np.array(sid, dtype=np.int64).tobytes(), np.array(meta, dtype=np.uint32).tobytes(), np.array([len(d) for d in digests], dtype=np.uint32).tobytes(), np.array([x for d in digests for x in d], dtype=np.uint32).tobytes()]
+
+    held = [sent((1, 6, [7, 7, 9]), (2, 6, [7, 7, 9, 4])), sent((1, 6, [7, 7, 9]), (3, 4, [5, 5]), (4, 1, [8]))]
+    rows = _counted([[pa.py_buffer(x) for x in part] for part in held]).to_pylist()
+    assert sorted((r["sid"], r["meta"], r["shared"]) for r in rows) == [(1, 6, 3), (2, 6, 3), (4, 1, 0)]

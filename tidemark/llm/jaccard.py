@@ -240,22 +240,29 @@ def _evidence(rule: Rule, ranges: int):
 
 
 def _shared(digest: np.ndarray, sid: np.ndarray) -> np.ndarray:
-    """True for one place of each (fragment, set) whose fragment two sets have or more."""
+    """True for each place whose fragment two sets have or more."""
     order = np.argsort((digest.astype(U64) << U64(32)) | (sid.view(U64) & U64(0xFFFFFFFF)))
     d, s = digest[order], sid[order]
     first = np.diff(d.astype(np.int64), prepend=-1) != 0
     fresh = first | np.append(False, s[1:] != s[:-1])
     group = np.cumsum(first) - 1
     out = np.zeros(len(digest), dtype=bool)
-    out[order] = fresh & (np.bincount(group, weights=fresh)[group] > 1)
+    out[order] = np.bincount(group, weights=fresh)[group] > 1
     return out
 
 
 def _counted(held: list[list[pa.Buffer]]) -> pa.RecordBatch:
-    """Of a range the sets with fragments that others share, and how many."""
+    """Of a range the sets with fragments that others share, and how many.
+
+    A set that several tasks have sent counts as sent once. Fragments of one set whose digests are equal count each: a
+    count may be too high for that, which costs a comparison, but never too low, which would lose a link.
+    """
     sid, meta, counts, digest = (np.concatenate([np.frombuffer(x[i], dtype=kind) for x in held]) for i, kind in enumerate((np.int64, np.uint32, np.uint32, np.uint32)))
+    order = np.lexsort((meta, sid))
+    once = np.zeros(len(sid), dtype=bool)
+    once[order] = np.append(True, (np.diff(sid[order]) != 0) | (np.diff(meta[order].astype(np.int64)) != 0))[: len(sid)]
     owner = np.repeat(np.arange(len(sid)), counts)
-    shared = np.bincount(owner, weights=_shared(digest, sid[owner]), minlength=len(sid)).astype(np.int64)
+    shared = np.bincount(owner, weights=_shared(digest, sid[owner]) & once[owner], minlength=len(sid)).astype(np.int64)
     keep = (shared > 0) | (meta < 2)  # who needs none is never ruled out
     n = int(keep.sum())
     return _record([_none(n), _none(n), _none(n), sid[keep], meta[keep].astype(np.int64), shared[keep]], COUNTED)
