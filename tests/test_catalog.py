@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from tidemark import catalog
-from tidemark.plans import containers, extracting, further  # noqa: F401
+from tidemark.plans import containers, extracting, further, jobs  # noqa: F401
 
 SMOKE = "/root/testdata/sf0.001"
 
