@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog import query, table
 from tidemark.sources import matroska
+from tidemark.sources.files import shared_folder
 
 #: A track for each role, one of each compression; the rest has a track of its own.
 TRACKS = [
@@ -21,17 +18,6 @@ TRACKS = [
 SPOKEN = "spoken AS (SELECT conv_id, turn, CASE WHEN role IN ('user', 'assistant') THEN role ELSE 'other' END AS name, CASE WHEN role IN ('user', 'assistant') THEN text ELSE '- ' || text END AS text, CASE WHEN turn % 3 <> 0 THEN 50 * length(text) END AS duration_ms FROM conversations WHERE text <> '')"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; in local mode one of its own if that is
-    unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{found.rstrip('/')}/files/{uuid.uuid4().hex}"
-
-
 def film(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(blocks, tracks) of the conversations written as Matroska files: each has a million milliseconds, a turn four
     thousand of them."""

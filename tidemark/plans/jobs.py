@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import SCENES, cue_rows, query, table
 from tidemark.operators import cues as C
+from tidemark.operators import related
 from tidemark.operators import resuming as R
-from tidemark.plans.containers import shared_folder
+from tidemark.sources.files import shared_folder
 from tidemark.streaming import jobs
 
 # Conversations are short, so two rows of a scene and three of a sentence stand for two hundred and eight. Done is what
@@ -53,3 +54,13 @@ def streamed_cues(spark, sf_dir):
     run = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema("doc_id string, cue long, text string, complete boolean").parquet(f"{folder}/out")
+
+
+RELATED = "t AS (SELECT lower(p_name) AS k FROM part UNION SELECT lower(split_part(p_name, ' ', 1)) FROM part), p AS (SELECT a.k AS i, b.k AS o FROM t a JOIN t b ON a.k <> b.k AND contains(' ' || b.k || ' ', ' ' || a.k || ' ')), e AS (SELECT i AS x, o AS y FROM p UNION SELECT o, i FROM p), r AS (SELECT k AS x, k AS y FROM t UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x), c AS (SELECT x AS key, min(y) AS root FROM r GROUP BY 1)"
+
+
+@query(f"WITH RECURSIVE {RELATED} SELECT key, first_value(key) OVER (PARTITION BY root ORDER BY length(key) DESC, key) AS cluster FROM c")
+def related_terms(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("term"))
+    heads = names.select(F.get(F.split("term", " "), F.lit(0)).alias("term"))
+    return related.related_terms(names.union(heads).distinct()).select("key", "cluster").distinct()

@@ -7,6 +7,9 @@ archives are read by pandas UDFs on batches; everything else is columns.
 from __future__ import annotations
 
 import io
+import re
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -22,6 +25,17 @@ MULTIBYTE = ("gb18030", "big5", "shift_jis", "euc_kr")
 SINGLE_BYTE = ("cp1252", "cp1251", "cp1250", "cp1253", "cp1254", "cp1255", "cp1256")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; in local mode one of its own if that is
+    unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{found.rstrip('/')}/files/{uuid.uuid4().hex}"
+
+
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """path, name, kind, depth, content of the files below a directory."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
