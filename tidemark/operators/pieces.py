@@ -2,7 +2,7 @@
 
 A vocabulary is a table (piece, id, score), read from its file or made from a corpus. It goes to the tasks whole, so its
 size is checked first (MOST_PIECES). Texts stay where they are: there is no shuffle, and what a task has cut before it
-remembers, up to MOST_KEPT words. Places are counted in UTF-16 units, as clients count them.
+remembers, up to MOST_KEPT stretches between blanks; equal ones are cut once, and arrays gathered from them. Places are counted in UTF-16 units, as clients count them.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Callable, Iterator, Mapping
+from array import array
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.edges import BLANK
 
 MOST_PIECES = 1 << 20
-MOST_KEPT = 1 << 17
+MOST_KEPT = 1 << 18
+GROUP_CHARS = 1 << 20
 
 # Limits, special pieces, classes of characters.
 LONGEST_WORD, LONGEST_PIECE = 100, 24
@@ -48,9 +50,7 @@ _CHANGED = regex.compile(f"[{SPACE}{DROPPED}]")
 _CHUNK, _STRETCH = re.compile(f"[^{BLANK}]+"), re.compile(f"[^{BLANK}]+|[{BLANK}]+")
 
 #: Starts and ends of words in UTF-16 units, their numbers of pieces, and the ids of all pieces.
-Cut = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
-NONE = np.empty(0, np.int32)
-NOTHING: Cut = (NONE, NONE, NONE, NONE)
+Cut = tuple[Sequence[int], Sequence[int], Sequence[int], Sequence[int]]
 
 
 @dataclass(frozen=True)
@@ -126,58 +126,101 @@ def remembered(f: Callable) -> Callable:
     return look
 
 
-def placed(text: str, starts: list[int], ends: list[int], sizes: list[int], ids: list[int]) -> Cut:
-    """Arrays of a cut, with places in UTF-16 units."""
-    found = [np.array(x, np.int32) for x in (starts, ends, sizes, ids)]
-    if max(text, default="") > "\uffff":
-        wide = offsets([1 + (char > "\uffff") for char in text])
-        found[:2] = wide[found[0]], wide[found[1]]
-    return tuple(found)
+class Pool(dict):
+    """Stretches by number, each cut once, with flat arrays of their words and pieces."""
+
+    def __init__(self, cut: Callable[[str], Cut]):
+        self.cut = cut
+        self.empty()
+
+    def empty(self) -> None:
+        self.clear()
+        self.units, self.words, self.starts, self.ends, self.sizes, self.ids = (array("i") for _ in range(6))
+
+    def __missing__(self, part: str) -> int:
+        starts, ends, sizes, ids = self.cut(part)
+        wide = None if part.isascii() or max(part) <= "\uffff" else offsets([1 + (char > "\uffff") for char in part]).tolist()
+        self.units.append(wide[-1] if wide else len(part))
+        self.words.append(len(starts))
+        self.starts.extend([wide[i] for i in starts] if wide else starts)
+        self.ends.extend([wide[i] for i in ends] if wide else ends)
+        self.sizes.extend(sizes)
+        self.ids.extend(ids)
+        self[part] = len(self)
+        return self[part]
+
+
+def gather(sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Places of the items of lists (codes) in a flat array of lists that have these sizes."""
+    taken, first = sizes[codes], np.cumsum(sizes) - sizes
+    return np.repeat(first[codes] - np.cumsum(taken) + taken, taken) + np.arange(taken.sum())
+
+
+def word_arrays(cut: Callable[[str], Cut], whole: bool = False, unknown: int | None = None) -> Callable[[pa.Array], pa.Array]:
+    """Batches of texts to arrays of WORDS. Texts are cut between blanks, or not at all (whole). With an id of unknown
+    pieces (one a word), those side by side become one, and a boundary that stands for no character of a text goes."""
+    pool = Pool(cut)
+    stretches = (lambda text: [text] if text else []) if whole else _STRETCH.findall
+
+    def group(texts: list[str]) -> tuple[np.ndarray, ...]:
+        if whole or len(pool) > MOST_KEPT:
+            pool.empty()
+        found = [stretches(text) for text in texts]
+        codes = np.fromiter((pool[part] for parts in found for part in parts), np.int64)
+        units, words, starts, ends, sizes, ids = (np.array(x, np.int64) for x in (pool.units, pool.words, pool.starts, pool.ends, pool.sizes, pool.ids))
+        counts = [len(parts) for parts in found]
+        reach = np.r_[0, np.cumsum(units[codes])]
+        moved = np.repeat(reach[:-1] - np.repeat(reach[offsets(counts)[:-1]], counts), words[codes])
+        owner = np.repeat(np.repeat(np.arange(len(texts)), counts), words[codes])
+        at = gather(words, codes)
+        starts, ends, ids, sizes = starts[at] + moved, ends[at] + moved, ids[gather(sizes, at)], sizes[at]
+        if unknown is not None and len(at):
+            odd, fresh = ids == unknown, np.r_[True, owner[1:] != owner[:-1]]
+            first = np.flatnonzero(fresh | ~(odd & np.r_[False, odd[:-1]]))
+            last = np.r_[first[1:], len(ids)] - 1
+            starts, ends, ids, sizes, owner, fresh = starts[first], ends[last], ids[first], sizes[first], owner[first], fresh[first]
+            kept = ~(fresh & (starts == ends))
+            starts, ends, ids, sizes, owner = starts[kept], ends[kept], ids[kept], sizes[kept], owner[kept]
+        return starts, ends, sizes, ids, np.bincount(owner, minlength=len(texts))
 
+    def batch(texts: pa.Array) -> pa.Array:
+        plain = ["" if text is None else text for text in texts.to_pylist()]
+        numbers = np.cumsum([len(text) for text in plain]) // GROUP_CHARS
+        bounds = [0, *(np.flatnonzero(np.diff(numbers)) + 1), len(plain)] if plain else [0]
+        parts = [group(plain[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+        starts, ends, sizes, ids, counts = (np.concatenate([np.empty(0, np.int64), *(x[k] for x in parts)]).astype(np.int32) for k in range(5))
+        pieces = pa.ListArray.from_arrays(offsets(sizes), pa.array(ids, pa.int32()))
+        words = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pieces], ["start", "end", "pieces"])
+        return listed(texts, words, counts)
 
-def by_chunks(cut: Callable[[str], Cut]) -> Callable[[str], Cut]:
-    """Cuts what stands between blanks, which are single units all of them."""
-
-    def whole(text: str) -> Cut:
-        places, cuts, wide = [], [], not text.isascii() and max(text) > "\uffff"
-        beyond, seen = 0, 0
-        for m in _CHUNK.finditer(text):
-            place = m.start()
-            if wide:
-                beyond += sum(char > "\uffff" for char in text[seen:place])
-                seen = place
-            places.append(place + beyond)
-            cuts.append(cut(m.group()))
-        if not cuts:
-            return NOTHING
-        moved = np.repeat(np.array(places, np.int32), [len(c[0]) for c in cuts])
-        return np.concatenate([c[0] for c in cuts]) + moved, np.concatenate([c[1] for c in cuts]) + moved, np.concatenate([c[2] for c in cuts]), np.concatenate([c[3] for c in cuts])
-
-    return whole
+    return batch
 
 
 def cut_word(word: str, ids: Mapping[str, int], unknown: int, longest: int) -> list[int]:
     """The longest piece from the left, again and again; a word that is not used up, or has over 100 characters, is
     unknown as a whole."""
     pieces: list[int] = []
-    while word and len(word) <= LONGEST_WORD:
-        mark = INNER if pieces else ""
-        size = next((n for n in range(min(longest, len(word)), 0, -1) if mark + word[:n] in ids), 0)
-        if not size:
-            break
-        pieces.append(ids[mark + word[:size]])
-        word = word[size:]
-    return [unknown] if word else pieces
-
-
-def wordpiece_cutter(vocabulary: Vocabulary) -> Callable[[str], Cut]:
+    mark, at, size = "", 0, len(word)
+    while at < size <= LONGEST_WORD:
+        end = min(size, at + longest)
+        while end > at and mark + word[at:end] not in ids:
+            end -= 1
+        if end == at:
+            return [unknown]
+        pieces.append(ids[mark + word[at:end]])
+        mark, at = INNER, end
+    return pieces or [unknown]
+
+
+def wordpiece_arrays(vocabulary: Vocabulary) -> Callable[[pa.Array], pa.Array]:
     longest = max((len(p) for p in vocabulary.ids), default=0)
+    pieces = remembered(lambda word: cut_word(word, vocabulary.ids, vocabulary.unknown, longest))
 
-    def chunk(text: str) -> Cut:
-        found = [(m.start(), m.end(), cut_word(m.group(), vocabulary.ids, vocabulary.unknown, longest)) for m in _WORD.finditer(text)]
-        return placed(text, [x[0] for x in found], [x[1] for x in found], [len(x[2]) for x in found], [i for x in found for i in x[2]])
+    def cut(text: str) -> Cut:
+        found = [(m.start(), m.end(), pieces(m.group())) for m in _WORD.finditer(text)]
+        return [x[0] for x in found], [x[1] for x in found], [len(x[2]) for x in found], [i for x in found for i in x[2]]
 
-    return by_chunks(remembered(chunk))
+    return word_arrays(cut)
 
 
 @lru_cache(1 << 12)
@@ -212,54 +255,26 @@ def folded(text: str) -> tuple[str, list[int], list[int]]:
     return "".join(out), starts, ends
 
 
-def unigram_cutter(vocabulary: Vocabulary) -> Callable[[str], Cut]:
-    """Pieces of the best path. Where no piece goes beyond a boundary, stretches between blanks are cut one by one (and
-    remembered), which gives the same path; sums of scores may differ in the last bit."""
+def unigram_arrays(vocabulary: Vocabulary) -> Callable[[pa.Array], pa.Array]:
+    """Pieces of the best path. Where no piece goes beyond a boundary, stretches between blanks are cut one by one, which
+    gives the same path; sums of scores may differ in the last bit."""
     scores, ids, unknown = vocabulary.scores, vocabulary.ids, vocabulary.unknown
     worst = min([0.0, *scores.values()]) - UNKNOWN_PENALTY
     longest = min(LONGEST_PIECE, max((len(p) for p in ids), default=1))
 
-    def chunk(text: str) -> Cut:
+    def cut(text: str) -> Cut:
         plain, starts, ends = folded(text)
         path = best_path(plain, scores, longest, worst) if len(plain) > 1 else []
-        return placed(text, [starts[a] for a, _ in path], [ends[b - 1] for _, b in path], [1] * len(path), [ids.get(plain[a:b], unknown) for a, b in path])
-
-    whole = any(BOUNDARY in piece[1:] for piece in ids)
-    cut = chunk if whole else by_chunks(remembered(chunk))
-
-    def joined(text: str) -> Cut:
-        """Unknown pieces side by side are one; the boundary put before the text stands for no character of it."""
-        starts, ends, sizes, found = cut(text)
-        if not len(found):
-            return starts, ends, sizes, found
-        odd = found == unknown
-        first = np.flatnonzero(np.r_[True, ~(odd[1:] & odd[:-1])])
-        last = np.r_[first[1:], len(found)] - 1
-        starts, ends, sizes, found = starts[first], ends[last], sizes[first], found[first]
-        begin = int(starts[0] == ends[0])
-        return starts[begin:], ends[begin:], sizes[begin:], found[begin:]
-
-    return joined
+        return [starts[a] for a, _ in path], [ends[b - 1] for _, b in path], [1] * len(path), [ids.get(plain[a:b], unknown) for a, b in path]
 
+    return word_arrays(cut, any(BOUNDARY in piece[1:] for piece in ids), unknown)
 
-def word_arrays(cut: Callable[[str], Cut]) -> Callable[[pa.Array], pa.Array]:
-    """Batches of texts to arrays of WORDS."""
 
-    def batch(texts: pa.Array) -> pa.Array:
-        cuts = [NOTHING if text is None else cut(text) for text in texts.to_pylist()]
-        starts, ends, sizes, ids = (np.concatenate([NONE, *(c[k] for c in cuts)]) for k in range(4))
-        pieces = pa.ListArray.from_arrays(offsets(sizes), pa.array(ids, pa.int32()))
-        words = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pieces], ["start", "end", "pieces"])
-        return listed(texts, words, [len(c[0]) for c in cuts])
-
-    return batch
-
-
-def offsets(sizes) -> np.ndarray:
+def offsets(sizes: Sequence[int]) -> np.ndarray:
     return np.r_[0, np.cumsum(sizes, dtype=np.int64)].astype(np.int32)
 
 
-def listed(texts: pa.Array, items: pa.Array, sizes: list[int]) -> pa.Array:
+def listed(texts: pa.Array, items: pa.Array, sizes: Sequence[int]) -> pa.Array:
     """Lists of the items, by their sizes; null for null texts."""
     return pa.ListArray.from_arrays(pa.array(offsets(sizes)), items, mask=texts.is_null())
 
@@ -304,24 +319,16 @@ def _column(spark: SparkSession, make: Callable[..., Callable[[pa.Array], pa.Arr
     return cut
 
 
-def _wordpiece_arrays(vocabulary: Vocabulary) -> Callable[[pa.Array], pa.Array]:
-    return word_arrays(wordpiece_cutter(vocabulary))
-
-
-def _unigram_arrays(vocabulary: Vocabulary) -> Callable[[pa.Array], pa.Array]:
-    return word_arrays(unigram_cutter(vocabulary))
-
-
 def word_pieces(spark: SparkSession, table: DataFrame) -> Callable[[Column], Column]:
     """A function of a text column: array<struct<start, end, pieces>> of its words. Words end at blanks and control
     characters; punctuation, ASCII symbols and Han characters stand alone. Null gives null, an empty text no words."""
-    return _column(spark, _wordpiece_arrays, (held(table, WORDPIECE_SPECIAL, "[UNK]"),), WORDS)
+    return _column(spark, wordpiece_arrays, (held(table, WORDPIECE_SPECIAL, "[UNK]"),), WORDS)
 
 
 def unigram_pieces(spark: SparkSession, table: DataFrame, unknown: int) -> Callable[[Column], Column]:
     """A function of a text column: array<struct<start, end, pieces>>, a piece each, on the path of the best sum over the
     text in NFKC with boundaries for blanks. Neighbouring unknown pieces are one. Null gives null."""
-    return _column(spark, _unigram_arrays, (held(table, UNIGRAM_SPECIAL, unknown),), WORDS)
+    return _column(spark, unigram_arrays, (held(table, UNIGRAM_SPECIAL, unknown),), WORDS)
 
 
 def lexicon(words: DataFrame) -> dict[str, float]:
