@@ -26,6 +26,7 @@ from tidemark.functions.edges import BLANK
 MOST_PIECES = 1 << 20
 MOST_KEPT = 1 << 18
 GROUP_CHARS = 1 << 20
+BATCH_BYTES = 4 << 20
 
 # Limits, special pieces, classes of characters.
 LONGEST_WORD, LONGEST_PIECE = 100, 24
@@ -311,6 +312,8 @@ def token_arrays(scores: Mapping[str, float], unknown: float, unspaced: str) ->
 
 def _column(spark: SparkSession, make: Callable[..., Callable[[pa.Array], pa.Array]], args: tuple, kind: str) -> Callable[[Column], Column]:
     shared = spark.sparkContext.broadcast(args)
+    # For the session: batches are bounded by bytes, as a batch of long texts has far more pieces than rows.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
     @F.arrow_udf(kind)
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
