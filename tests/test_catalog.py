@@ -5,8 +5,10 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import catalog
+from tidemark.functions import clock
 from tidemark.plans import containers, extracting, further, jobs  # noqa: F401
 
 SMOKE = "/root/testdata/sf0.001"
@@ -65,3 +67,22 @@ def test_semi_join_and_corroboration_cover_all_ids(spark, tmp_path):
     spark.createDataFrame(found, "event_id long, user_id long, event_type string, ts string").write.parquet(str(tmp_path / "events.parquet"))
     got = sorted(map(tuple, catalog.QUERIES["corroborated_states"](spark, str(tmp_path)).collect()))
     assert got == [(1, "major_outage"), (2, "operational"), (3, "operational"), (4, "operational")]
+
+
+@pytest.mark.parametrize("name", ["sliding_throughput", "throughput_steps"])
+def test_events_within_half_a_millisecond_before_a_step(spark, tmp_path, name):
+    c = duckdb.connect()
+    at = [30_000_000 * i + j for i in (0, 1, 57_000_000) for j in (0, 1, 499, 500, 29_999_499, 29_999_500, 29_999_600, 29_999_999)]
+    c.execute(f"CREATE TABLE events AS SELECT 'type' || t % 2 AS event_type, make_timestamp(t) AS ts, repeat('x', i::INTEGER) AS props FROM (SELECT unnest({at}) AS t, unnest(range({len(at)})) AS i) UNION ALL SELECT 'type0', NULL, 'x'")
+    c.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    found = c.sql(catalog.ORACLE_SQL[name])
+    kept = [r for r in found.fetchall() if r[found.columns.index("start")] is not None]
+    assert rows(df.columns, df.collect()) == rows(found.columns, kept)
+
+
+def test_whole_milliseconds_as_epoch_ms(spark):
+    us = [0, 1, 499, 500, 501, 1499, 1500, -1, -499, -500, -501, -1500, -1501, 1_704_067_229_999_600, 32_503_680_000_000_500, -32_503_680_000_000_500]
+    want = duckdb.sql(f"SELECT u, epoch_ms(make_timestamp(u)) FROM (SELECT unnest({us}::BIGINT[]) AS u) ORDER BY u").fetchall()
+    found = spark.createDataFrame([(u,) for u in us], "u long").select("u", F.unix_micros(clock.to_whole_ms(F.timestamp_micros("u"))).alias("t"))
+    assert sorted((r.u, r.t) for r in found.collect()) == [(u, ms * 1000) for u, ms in want]

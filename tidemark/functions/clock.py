@@ -20,6 +20,12 @@ def ass_to_ms(text: Column) -> Column:
     return ((part(1) * 60 + part(2)) * 60 + part(3)) * 1000 + part(4) * 10
 
 
+def to_whole_ms(ts: Column) -> Column:
+    """A timestamp at the nearest whole millisecond, halves away from 1970."""
+    moved = F.unix_micros(ts) + F.when(F.unix_micros(ts) < 0, -500).otherwise(500)
+    return F.timestamp_micros(moved - moved % 1000)
+
+
 def _hms(seconds: Column) -> tuple[Column, Column, Column]:
     return F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), seconds % 60
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import CUES, SCENES, cue_rows, events, query, table
 from tidemark.functions import checks as K
+from tidemark.functions import clock as D
 from tidemark.functions import numbers as N
 from tidemark.functions import text as T
 from tidemark.operators import cues as C
@@ -60,17 +61,22 @@ def dispatch_cap(spark, sf_dir):
     return H.first_pass(cue_rows(spark, sf_dir), ["doc_id"], ["pos"], 3).select("doc_id", "pos")
 
 
+def step_rates(rows):
+    samples = rows.select("event_type", "ts", F.length("props").alias("n"))
+    return H.throughput(samples, ["event_type"], 120, 30_000).select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "rate")
+
+
 @query("SELECT event_type, epoch_ms((epoch_ms(ts) // 30000 - i) * 30000) AS start, sum(length(props)) / 120 AS rate FROM events, (SELECT unnest(range(4)) AS i) GROUP BY ALL")
 def sliding_throughput(spark, sf_dir):
-    samples = events(spark, sf_dir).select("event_type", "ts", F.length("props").alias("n"))
-    return H.throughput(samples, ["event_type"], 120, 30_000).select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "rate")
+    """Times are whole milliseconds here, rounded as epoch_ms of its SQL does."""
+    return step_rates(events(spark, sf_dir).withColumn("ts", D.to_whole_ms(F.col("ts"))))
 
 
 @query("SELECT event_type, make_timestamp((epoch_us(ts) // 30000000 - i) * 30000000) AS start, sum(length(props)) / 120 AS rate FROM events, (SELECT unnest(range(4)) AS i) GROUP BY ALL")
 def throughput_steps(spark, sf_dir):
-    """sliding_throughput with SQL whose steps begin at whole microseconds: epoch_ms rounds, so an event just before a step
-    counts into it there."""
-    return sliding_throughput(spark, sf_dir)
+    """sliding_throughput of times in microseconds: an event within half a millisecond before a step counts into it there,
+    and into the one before here."""
+    return step_rates(events(spark, sf_dir))
 
 
 @query("SELECT p_brand AS brand, trim(p_type) AS source, arg_min(trim(p_name), p_partkey) AS target FROM part WHERE trim(p_type) <> '' GROUP BY 1, 2")
