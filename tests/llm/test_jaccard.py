@@ -137,3 +137,54 @@ def test_equal_digests_lose_no_count():
     held = [sent((1, 6, [7, 7, 9]), (2, 6, [7, 7, 9, 4])), sent((1, 6, [7, 7, 9]), (3, 4, [5, 5]), (4, 1, [8]))]
     rows = _counted([[pa.py_buffer(x) for x in part] for part in held]).to_pylist()
     assert sorted((r["sid"], r["meta"], r["shared"]) for r in rows) == [(1, 6, 3), (2, 6, 3), (4, 1, 0)]
+
+
+def test_chained_clusters_come_apart(spark, monkeypatch):
+    """Sets that have only a passage in common make one cluster; blocks are not dealt out for it, and no link is lost."""
+    rnd = random.Random(7)
+    fresh = lambda n: [f"x{rnd.randrange(10**9)}" for _ in range(n)]
+    passages = [fresh(60) for _ in range(12)]
+    families = [fresh(60) + passages[i] + passages[(i + 1) % 12] for i in range(12)]
+    rows = []
+    for i, words in enumerate(families):
+        for j in range(4 if i else 40):
+            copy = list(words)
+            copy[rnd.randrange(60)] = fresh(1)[0]
+            rows.append((100 * i + j, " ".join(copy)))
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 8)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    seen = []
+    sizes = jaccard._sizes
+    monkeypatch.setattr(jaccard, "_sizes", lambda placed: seen.append(sizes(placed)) or seen[-1])
+    assert sorted(tuple(r) for r in linked_documents(df, 5, 80).collect()) == by_hand(rows, 5, 80)
+    before, after = ([r.sets for r in x.select("sets").collect()] for x in seen)
+    # What fits a block is left together.
+    assert max(before) > 40 and sum(after) == 84 and sorted(after)[-2:] == [8, 40]
+
+
+def test_rare_fragments_and_frequent_ones(spark, monkeypatch):
+    rows = corpus(11, 80)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 1)
+    for few in (1, 3, 6, 1000):
+        monkeypatch.setattr(jaccard, "FEW_SETS", few)
+        assert sorted(tuple(r) for r in linked_documents(df, 4, 85).collect()) == by_hand(rows, 4, 85)
+
+
+def test_a_set_has_one_id_a_range():
+    """Both entries of a set travel under one id, and come back as they were."""
+    from tidemark.llm.jaccard import _counted, _entries, _sent
+
+    rnd = np.random.default_rng(3)
+    sets = [np.unique(rnd.integers(0, 2**63, n).astype(np.uint64)) for n in (9, 40, 700)]
+    cut = Fragments(Rule(5, 80)).cut([*sets, sets[1]], wide=True)
+    names = np.array([5, 6, 7, 8])
+    sent = _sent([(cut, names)], 3).to_pylist()
+    assert sum(len(r["digests"]) for r in sent) == 4 * len(cut.sigs)
+    assert all(len(r["sids"]) // 8 == len(set(np.frombuffer(r["sids"], dtype=np.int64).tolist())) for r in sent)
+    total = {}
+    for r in sent:
+        for row in _counted([_entries(*(pa.py_buffer(r[c]) for c in ("sids", "metas", "counts", "digests")))]).to_pylist():
+            total[row["sid"], row["meta"] & 1] = total.get((row["sid"], row["meta"] & 1), 0) + row["shared"]
+    full = {(int(names[o]), int(u)): int((cut.entry == e).sum()) for e, (o, u) in enumerate(zip(cut.owner, cut.up, strict=True))}
+    assert {k: n for k, n in total.items() if n} == {k: n for k, n in full.items() if k[0] in (6, 8)}

@@ -9,6 +9,9 @@ fragments, and two linked sets of nearly equal size (a size class and the one be
    So a set that merely quotes others goes no further, and the work follows the sets that have a near copy.
 2. Candidates: the other sets are cut into fragments anew, the fewest that must have an equal one in each linked set.
    Sets that hang together by equal fragments form a cluster.
+   A cluster of more than one block may be a chain of sets that have one fragment each in common. It is cut apart by
+   what linked sets have in common at least: of fragments that few sets have, enough in one pair; of frequent ones, the
+   rarest that the others leave open.
 3. Verification: within a cluster overlaps are counted fragment by fragment and summed for each pair, in blocks of
    bounded size, inside the tasks. No pair is emitted: a block sends the stars of its links and each set's number of
    links. So a large group of near copies costs rows in proportion to its size.
@@ -44,10 +47,15 @@ BROADCAST_SETS = 300_000
 #: Signatures whose first set a task remembers, and sets that it remembers to have sent.
 LEADS, SENT = 1 << 18, 1 << 18
 #: Fragments that a task gathers before it sends them, and about so many are counted at a time.
-FLUSH, RANGE = 1 << 19, 1 << 21
+FLUSH, RANGE = 1 << 19, 1 << 22
+#: So many parts of a range are counted one after the other, and fewer ranges than these do for a small input.
+PARTS, LEAST_RANGES = 4, 128
+#: Sets that may have a fragment while their pairs are counted; more hang together by it.
+FEW_SETS = 32
 #: Ranges of the global order whose partial overlaps are counted one after the other.
 VERTICAL = 16
 EVIDENCE = "part int, did long, th long, n long, sid long, meta long, shared long, sids binary, metas binary, counts binary, digests binary"
+WIDE = "sig long, sid long, up long, need long"
 COUNTED = "did long, th long, n long, sid long, meta long, shared long"
 
 
@@ -118,13 +126,15 @@ class Fragments:
         classes = size_classes(self.rule, most)
         self.low, self.high = (np.array([c[i] for c in classes], dtype=np.int64) for i in (0, 1))
 
-    def cut(self, sets: list[np.ndarray], wide: bool) -> Cut:
+    def cut(self, sets: list[np.ndarray], wide: bool, empty_too: bool | None = None) -> Cut:
         """The fewest fragments that suffice, or half as many again (wide). Sets too small to differ have none.
 
         Linked sets differ in at most k n-grams, each of which spoils one fragment: of e fragments that are not empty,
         e - k are equal in both. With the fewest (k + 1 and some more, as some are empty) a set that has k or fewer also
-        gives its empty ones, so of two linked sets either both do or one has an equal fragment that is not empty.
+        gives its empty ones, so of two linked sets either both do or one has an equal fragment that is not empty. With
+        half as many again it does so if empty_too is set.
         """
+        empty_too = not wide if empty_too is None else empty_too
         size = np.array([len(s) for s in sets], dtype=np.int64)
         if len(size) and self.high[-2] < (most := int(size.max())):
             self._grow(4 * most)
@@ -154,7 +164,7 @@ class Fragments:
             with np.errstate(over="ignore"):
                 sums = np.add.reduceat(content[take], begins) if len(begins) else content[:0]
                 sigs = mix(sums + mix(place + name[owner] + self.salt[1]))
-                if not wide:
+                if empty_too:
                     gaps = [(d, np.setdiff1d(np.arange(total[at[d]], dtype=U64), place[owner == d])) for d in np.flatnonzero(full <= k[at]).tolist()]
                     sigs = np.concatenate([sigs, *(mix(mix(empty + name[d] + self.salt[1]) ^ U64(0xE)) for d, empty in gaps)])
                     owner = np.concatenate([owner, *(np.full(len(empty), d) for d, empty in gaps)])
@@ -179,28 +189,45 @@ def _none(n: int) -> pa.Array:
     return pa.nulls(n, pa.int64())
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers of 32 bits, first all their lowest bytes: the higher ones are mostly zero, and packed well by that."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _entries(sids: pa.Buffer, metas: pa.Buffer, counts: pa.Buffer, digests: pa.Buffer) -> list:
+    """What _sent has packed, with each entry's set, meta and count by itself."""
+    meta, n = (np.ascontiguousarray(np.frombuffer(x, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel() for x in (metas, counts))
+    there = np.flatnonzero(n)
+    return [np.frombuffer(sids, dtype=np.int64)[there >> 1], meta[there], n[there], digests]
+
+
 def _sent(cuts: list[tuple[Cut, np.ndarray]], ranges: int) -> pa.RecordBatch:
-    """The fragments of some sets, a row for each range of hashes: the entries that have any there (set, need * 2 + up,
-    how many) and 32 further bits of each hash."""
-    offset, entries = 0, []
-    for cut, _ in cuts:
-        entries.append(cut.entry + offset)
-        offset += len(cut.owner)
-    sigs, entry = np.concatenate([c.sigs for c, _ in cuts]), np.concatenate(entries)
-    sid = np.concatenate([names[c.owner] for c, names in cuts])
-    meta = np.concatenate([np.maximum(c.need, 0) * 2 + c.up for c, _ in cuts])
+    """The fragments of some sets, a row for each range of hashes: the sets that have any there, of both entries of each
+    need * 2 + up and how many, and 32 further bits of each hash."""
+    offset, places = 0, []
+    meta = np.zeros(2 * sum(len(names) for _, names in cuts), dtype=np.uint32)
+    for cut, names in cuts:
+        at = (cut.owner + offset) * 2 + cut.up
+        meta[at] = np.maximum(cut.need, 0) * 2 + cut.up
+        places.append(at[cut.entry])
+        offset += len(names)
+    sigs, place = np.concatenate([c.sigs for c, _ in cuts]), np.concatenate(places)
+    sid = np.concatenate([names for _, names in cuts])
     wide = (sigs >> U64(32)) * U64(ranges)
     part = (wide >> U64(32)).astype(np.int64)
-    order = np.lexsort((entry, part))
-    part, entry, digest = part[order], entry[order], (mix(sigs[order]) >> U64(32)).astype(np.uint32)
-    heads = np.flatnonzero((np.diff(part, prepend=-1) != 0) | (np.diff(entry, prepend=-1) != 0))
-    counts = np.diff(np.append(heads, len(part))).astype(np.uint32)
+    order = np.lexsort((place, part))
+    part, place, digest = part[order], place[order], (mix(sigs[order]) >> U64(32)).astype(np.uint32)
+    owner = place >> 1
+    heads = np.flatnonzero((np.diff(part, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
+    both = np.diff(np.append(heads, len(part)))
+    up = np.add.reduceat(place & 1, heads) if len(heads) else both
+    counts = np.stack([both - up, up], axis=1)
     cuts_ = np.flatnonzero(np.diff(part, prepend=-1) != 0)
     rows = []
     for a, b in zip(cuts_.tolist(), [*cuts_[1:].tolist(), len(part)], strict=True):
         i, j = np.searchsorted(heads, [a, b])
-        who = entry[heads[i:j]]
-        rows.append((int(part[a]), sid[who].tobytes(), meta[who].astype(np.uint32).tobytes(), counts[i:j].tobytes(), digest[a:b].tobytes()))
+        who = owner[heads[i:j]]
+        rows.append((int(part[a]), sid[who].tobytes(), _planes(meta.reshape(-1, 2)[who].ravel()), _planes(counts[i:j].ravel()), digest[a:b].tobytes()))
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[_none(len(rows))] * 6, *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3, 4))], _names(EVIDENCE))
 
 
@@ -239,15 +266,18 @@ def _evidence(rule: Rule, ranges: int):
     return run
 
 
-def _shared(digest: np.ndarray, sid: np.ndarray) -> np.ndarray:
-    """True for each place whose fragment two sets have or more."""
-    order = np.argsort((digest.astype(U64) << U64(32)) | (sid.view(U64) & U64(0xFFFFFFFF)))
-    d, s = digest[order], sid[order]
-    first = np.diff(d.astype(np.int64), prepend=-1) != 0
-    fresh = first | np.append(False, s[1:] != s[:-1])
-    group = np.cumsum(first) - 1
+def _shared(digest: np.ndarray, sid: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """True for each place whose fragment two sets have or more; sid[owner] is a place's set."""
     out = np.zeros(len(digest), dtype=bool)
-    out[order] = np.bincount(group, weights=fresh)[group] > 1
+    for low in range(PARTS):
+        at = np.flatnonzero(digest % PARTS == low)
+        d, s = digest[at], sid[owner[at]]
+        order = np.argsort((d.astype(U64) << U64(32)) | (s.view(U64) & U64(0xFFFFFFFF)))
+        d, s = d[order], s[order]
+        first = np.diff(d.astype(np.int64), prepend=-1) != 0
+        fresh = first | np.append(False, s[1:] != s[:-1])[: len(s)]
+        group = np.cumsum(first) - 1
+        out[at[order]] = np.bincount(group, weights=fresh)[group] > 1
     return out
 
 
@@ -261,8 +291,8 @@ def _counted(held: list[list[pa.Buffer]]) -> pa.RecordBatch:
     order = np.lexsort((meta, sid))
     once = np.zeros(len(sid), dtype=bool)
     once[order] = np.append(True, (np.diff(sid[order]) != 0) | (np.diff(meta[order].astype(np.int64)) != 0))[: len(sid)]
-    owner = np.repeat(np.arange(len(sid)), counts)
-    shared = np.bincount(owner, weights=_shared(digest, sid[owner]) & once[owner], minlength=len(sid)).astype(np.int64)
+    owner = np.repeat(np.arange(len(sid), dtype=np.int32), counts)
+    shared = np.bincount(owner[_shared(digest, sid, owner) & once[owner]], minlength=len(sid)).astype(np.int64)
     keep = (shared > 0) | (meta < 2)  # who needs none is never ruled out
     n = int(keep.sum())
     return _record([_none(n), _none(n), _none(n), sid[keep], meta[keep].astype(np.int64), shared[keep]], COUNTED)
@@ -271,9 +301,10 @@ def _counted(held: list[list[pa.Buffer]]) -> pa.RecordBatch:
 def evidence(rows: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """(did, th, n, sid) of each row, and (sid) of the sets that may have a linked one."""
     # A set of n n-grams has about (100 - percent) / 30 * n fragments, and a word has about 6 bytes.
-    ranges = max(n_partitions(rows.sparkSession), int(bytes_estimate(rows) / 180 * (100 - rule.percent)) // RANGE)
+    # Each range that a set has fragments in costs its id once more, so there are no more ranges than memory asks for.
+    ranges = max(min(n_partitions(rows.sparkSession), LEAST_RANGES), int(bytes_estimate(rows) / 180 * (100 - rule.percent)) // RANGE)
     sent = rows.mapInArrow(_evidence(rule, ranges), EVIDENCE)
-    counted = stash(sent.repartition("part").sortWithinPartitions("part").mapInArrow(lambda batches: by_range(batches, COUNTED, _counted), COUNTED))
+    counted = stash(sent.repartition("part").sortWithinPartitions("part").mapInArrow(lambda batches: by_range(batches, COUNTED, lambda held: _counted([_entries(*x) for x in held])), COUNTED))
     members = counted.where("did IS NOT NULL").select("did", "th", "n", "sid")
     found = counted.where("did IS NULL").groupBy("sid", "meta").agg(F.sum("shared").alias("shared"))
     return members, found.where(F.col("shared") >= F.shiftright("meta", 1)).select("sid").distinct()
@@ -316,12 +347,22 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
     held = texts_of(rows, standing, shingle, "did long, th long, sid long, grams binary")
     few = standing.count() <= BROADCAST_SETS
-    keys = standing.select("sid", "did", "th")
-    held = stash(held.join(F.broadcast(keys) if few else keys, ["sid", "did", "th"], "left_semi").select("sid", "grams"))
+    if few:
+        held = held.join(F.broadcast(standing.select("sid", "did", "th")), ["sid", "did", "th"], "left_semi")
+    # Beyond that the few others that a bitmap lets pass stay: a set that stands twice is compared once, and one that is
+    # not hopeful has no place below. So no set travels for them.
+    held = stash(held.select("sid", "grams"))
     near = _near(held, rule)
     clusters = stash(components(near).select(F.col("node").alias("sid"), F.col("component").alias("cluster")))
     placed = stash(standing.join(clusters, "sid").select("sid", "cluster", "copies", "n"))
-    sizes = stash(placed.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"), F.count("*").alias("sets")))
+    sizes = _sizes(placed)
+    over = sizes.where("blocks > 1").select("cluster")
+    if not over.isEmpty():
+        chained = stash(placed.join(F.broadcast(over), "cluster", "left_semi"))
+        told = held.join(F.broadcast(chained.select("sid")) if few else chained.select("sid"), "sid", "left_semi")
+        apart = stash(components(_nearer(told, rule)).select(F.col("node").alias("sid"), F.col("component").alias("cluster")))
+        placed = stash(placed.join(F.broadcast(over), "cluster", "left_anti").unionByName(chained.drop("cluster").join(apart, "sid")))
+        sizes = _sizes(placed)
     # The sets are the bulk: while the facts beside them are few they are broadcast, so the sets travel only once.
     placed = join_unique(placed, sizes, "cluster", "sets").drop("n", "sets")
     blocked = (
@@ -341,6 +382,43 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     )
 
 
+def _sizes(placed: DataFrame) -> DataFrame:
+    """(cluster, blocks, sets): the number of blocks that each cluster is compared in, and of its sets."""
+    return stash(placed.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"), F.count("*").alias("sets")))
+
+
+def _nearer(held: DataFrame, rule: Rule) -> DataFrame:
+    """(sid, lead): linked sets hang together by these, and by more evidence than one common fragment.
+
+    Of its fragments (half as many again as linked sets can differ in) a set has `need` or more in common with each
+    linked one. At most `many` of them are among its frequent ones, so need - many are rare and counted for each pair.
+    Put in one order, rare ones first, two linked sets have one in common among all but the last need - 1 of each; if it
+    is frequent, it is among the many - need + 1 rarest of its kind, and the sets that have it hang together.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fragments = Fragments(rule)
+        for batch in slices(batches, text="grams"):
+            names = batch.column(0).to_numpy()
+            found = fragments.cut([np.frombuffer(x.as_buffer(), dtype=U64) for x in batch.column(1)], wide=True, empty_too=True)
+            yield _record([found.sigs.view(np.int64), *(x[found.entry] for x in (names[found.owner], found.up, np.maximum(found.need, 0)))], WIDE)
+
+    told = stash(held.mapInArrow(cut, WIDE).distinct())
+    counts = stash(told.groupBy("sig").agg(F.count("*").alias("sets"), F.min("sid").alias("lead")).where("sets > 1"))
+    shared = stash(join_unique(told, counts, "sig", "sets").where("sets IS NOT NULL"))
+    frequent = shared.where(F.col("sets") > FEW_SETS)
+    entry = W.partitionBy("sid", "up")
+    placed = frequent.withColumn("many", F.count("*").over(entry)).withColumn("place", F.row_number().over(entry.orderBy("sets", "sig")))
+    stars = placed.where("need = 0 OR place <= many - need + 1").where("sid != lead").select("sid", "lead")
+    many = frequent.groupBy("sid", "up").agg(F.count("*").alias("many"))
+    rare = shared.where(F.col("sets") <= FEW_SETS).join(many, ["sid", "up"], "left")
+    rare = stash(rare.select("sig", "sid", "up", (F.col("need") - F.coalesce("many", F.lit(0))).alias("short")))
+    # Sets of one class meet as such, so they need not meet as members of the next class too.
+    a, b = (rare.select("sig", *(F.col(c).alias(c + x) for c in ("sid", "up", "short"))) for x in "ab")
+    pairs = a.join(b, "sig").where("sida < sidb AND upa + upb < 2").groupBy("sida", "sidb", "upa", "upb").agg(F.count("*").alias("n"), F.max(F.greatest("shorta", "shortb")).alias("short"))
+    return pairs.where("n >= short").select(F.col("sida").alias("sid"), F.col("sidb").alias("lead")).union(stars).distinct()
+
+
 def _near(held: DataFrame, rule: Rule) -> DataFrame:
     """(sid, lead): sets with a common signature hang together by these.
 
