@@ -188,3 +188,48 @@ def test_a_set_has_one_id_a_range():
             total[row["sid"], row["meta"] & 1] = total.get((row["sid"], row["meta"] & 1), 0) + row["shared"]
     full = {(int(names[o]), int(u)): int((cut.entry == e).sum()) for e, (o, u) in enumerate(zip(cut.owner, cut.up, strict=True))}
     assert {k: n for k, n in total.items() if n} == {k: n for k, n in full.items() if k[0] in (6, 8)}
+
+
+def test_components_of_a_chain_and_hubs_take_few_tables(spark, monkeypatch):
+    """A round writes two tables, though edges are double and chunks small."""
+    monkeypatch.setattr(parts, "CHUNK", 3)
+    written, stash = [], parts.stash
+    monkeypatch.setattr(parts, "stash", lambda df: written.append(1) or stash(df))
+    edges = [(i, i + 1) for i in range(40)] * 2 + [(100 + i, x) for i in range(30) for x in (99, 98, 100 + (i * 7) % 30)] + [(500, 500)]
+    random.Random(9).shuffle(edges)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        found = components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, found)) == [(i, 0) for i in range(41)] + [(x, 98) for x in range(98, 130)]
+    assert 4 <= len(written) <= 10
+
+
+def test_edges_of_one_node_stay_in_one_chunk():
+    batches = [pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())}) for u, v in (([5, 8], [1, 2]), ([8, 8], [3, 2]), ([8, 9], [4, 1]))]
+    found = [x.to_pydict() for x in parts._forest(iter(batches), 2, whole=True)]
+    assert sorted((u, v) for x in found for u, v in zip(x["u"], x["v"], strict=True)) == [(3, 2), (4, 2), (5, 1), (8, 2), (9, 1)]
+
+
+def test_a_bitmap_is_read_back_by_one_job(spark):
+    """Not by one for each partition: on many partitions, mostly empty, these took longer than all else."""
+    from tidemark.llm import sketch
+
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    keys = spark.range(50).selectExpr("id * 1000003 AS __k")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.sparkContext.setJobGroup("bitmap", "bitmap")
+        known = sketch.build(keys, sketch.counted("__k"), 1 << 23, least=1)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("bitmap")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert known.value.repeated((np.arange(50) * 1000003).astype(np.uint64)).all()
+    assert len(jobs) == 1

@@ -1,8 +1,10 @@
-"""Connected components of large graphs by alternating stars, with a local spanning forest first.
+"""Connected components of large graphs by alternating stars, each with a local spanning forest.
 
-Every step is a grouped minimum and a join on its key; no adjacency list is ever gathered. Steps end in written
-tables, so a lost executor costs no more than a step. Hubs are safe: their minimum is combined before the shuffle, and
-in the join the nodes with far more edges than others, which are boundedly few, are broadcast.
+A round is a grouped minimum, a join on its key and edges dealt out by their greater ends; no adjacency list is ever
+gathered, and tasks drop what is double, so no step is there for that alone. Rounds end in written tables, so a lost
+executor costs no more than a step. Hubs are safe: their minimum is combined before the shuffle, in the join the nodes
+with far more edges than others, which are boundedly few, are broadcast, and of the edges to lesser nodes a task sends
+one a node.
 """
 
 from __future__ import annotations
@@ -19,12 +21,13 @@ from .session import join_unique, release, stash
 CHUNK = 1 << 19
 
 
-def _forest(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
-    """Replaces the edges that a task has, in chunks, by stars around the least node of each of their components."""
+def _forest(batches: Iterator[pa.RecordBatch], chunk: int, whole: bool = False) -> Iterator[pa.RecordBatch]:
+    """Replaces the edges that a task has, in chunks, by stars around the least node of each of their components; there
+    are never more of these. With whole the edges come in order of u, and those of one u are in one chunk."""
     held: list[np.ndarray] = []
     n = 0
 
-    def stars() -> pa.RecordBatch:
+    def stars(edges: np.ndarray) -> pa.RecordBatch:
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -35,7 +38,9 @@ def _forest(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.Record
                 root[x], x = top, root[x]
             return top
 
-        for a, b in np.concatenate(held).tolist():
+        edges = edges[np.lexsort((edges[:, 1], edges[:, 0]))]
+        fresh = np.append(True, (np.diff(edges, axis=0) != 0).any(axis=1))
+        for a, b in edges[fresh].tolist():
             a, b = find(a), find(b)
             if a != b:
                 root[max(a, b)] = min(a, b)
@@ -47,36 +52,43 @@ def _forest(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.Record
             held.append(np.stack([c.to_numpy() for c in batch.columns], axis=1))
             n += batch.num_rows
         if n >= chunk:
-            yield stars()
-            held, n = [], 0
+            edges = np.concatenate(held)
+            cut = int(np.searchsorted(edges[:, 0], edges[-1, 0])) if whole else n
+            if cut:
+                yield stars(edges[:cut])
+            held, n = [edges[cut:]], n - cut
     if n:
-        yield stars()
+        yield stars(np.concatenate(held))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of the edges (two long columns); component is the least node reachable.
+    """(node, component) for every node of the edges (two long columns), a written table; component is the least node
+    reachable.
 
-    Self-loops count for nothing and nulls are left out; an empty table gives an empty one.
+    Edges may be there more than once. Self-loops count for nothing and nulls are left out; an empty table gives an
+    empty one.
     """
     a, b = edges.columns
     chunk = CHUNK
-    forest = lambda batches: _forest(batches, chunk)
     star = "u long, v long"
-    found = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    # A hub has one edge a task left when the edges are dealt out by their greater ends.
-    found = stash(found.mapInArrow(forest, star).distinct().repartition("u").mapInArrow(forest, star).distinct())
+
+    def dealt(found: DataFrame) -> DataFrame:
+        """A hub has one edge a task left when the edges are dealt out by their greater ends, where lesser ones meet."""
+        sent = found.mapInArrow(lambda batches: _forest(batches, chunk), star)
+        return stash(sent.repartition("u").sortWithinPartitions("u").mapInArrow(lambda batches: _forest(batches, chunk, whole=True), star))
+
+    found = dealt(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
     while True:
-        # Is this a forest of stars? Then no centre has an edge to a lesser node, and every other node has one edge.
-        ends = found.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(found.select("v", F.lit(0), F.lit(1)))
-        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").isEmpty():
+        # Of each node the least and the greatest of its lesser neighbours, and how many edges it has to greater ones.
+        ends = found.select(F.col("u").alias("node"), "v", F.lit(0).alias("n")).union(found.select("v", F.lit(None).cast("long"), F.lit(1)))
+        ends = stash(ends.groupBy("node").agg(F.min("v").alias("m"), F.max("v").alias("most"), F.sum("n").alias("n")))
+        # Is this a forest of stars? Then no centre has an edge to a lesser node, and every other node has one centre.
+        if ends.where("most > m OR m IS NOT NULL AND n > 0").isEmpty():
             break
-        both = stash(found.union(found.select("v", "u")))
-        least = stash(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")))
-        large = stash(join_unique(both, least, "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
-        least = stash(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        small = join_unique(large, least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        last, found = found, stash(small.union(least.select("u", F.col("m").alias("v"))).mapInArrow(forest, star).distinct())
-        for done in (last, both, large):
-            release(done)
-    nodes = found.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.union(found.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        # A node's greater neighbours go on to the least of its lesser ones.
+        centres = ends.where("n > 0").select(F.col("node").alias("v"), "m", "n")
+        last, found = found, dealt(join_unique(found, centres, "v", "n").select("u", F.coalesce("m", "v").alias("v")))
+        release(last)
+        release(ends)
+    release(found)
+    return ends.select("node", F.coalesce("m", "node").alias("component"))

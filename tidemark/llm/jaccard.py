@@ -353,14 +353,14 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     # not hopeful has no place below. So no set travels for them.
     held = stash(held.select("sid", "grams"))
     near = _near(held, rule)
-    clusters = stash(components(near).select(F.col("node").alias("sid"), F.col("component").alias("cluster")))
+    clusters = components(near).select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
     placed = stash(standing.join(clusters, "sid").select("sid", "cluster", "copies", "n"))
     sizes = _sizes(placed)
     over = sizes.where("blocks > 1").select("cluster")
     if not over.isEmpty():
         chained = stash(placed.join(F.broadcast(over), "cluster", "left_semi"))
         told = held.join(F.broadcast(chained.select("sid")) if few else chained.select("sid"), "sid", "left_semi")
-        apart = stash(components(_nearer(told, rule)).select(F.col("node").alias("sid"), F.col("component").alias("cluster")))
+        apart = components(_nearer(told, rule)).select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
         placed = stash(placed.join(F.broadcast(over), "cluster", "left_anti").unionByName(chained.drop("cluster").join(apart, "sid")))
         sizes = _sizes(placed)
     # The sets are the bulk: while the facts beside them are few they are broadcast, so the sets travel only once.
@@ -405,18 +405,18 @@ def _nearer(held: DataFrame, rule: Rule) -> DataFrame:
 
     told = stash(held.mapInArrow(cut, WIDE).distinct())
     counts = stash(told.groupBy("sig").agg(F.count("*").alias("sets"), F.min("sid").alias("lead")).where("sets > 1"))
-    shared = stash(join_unique(told, counts, "sig", "sets").where("sets IS NOT NULL"))
-    frequent = shared.where(F.col("sets") > FEW_SETS)
+    shared = join_unique(told, counts, "sig", "sets").where("sets IS NOT NULL")
     entry = W.partitionBy("sid", "up")
-    placed = frequent.withColumn("many", F.count("*").over(entry)).withColumn("place", F.row_number().over(entry.orderBy("sets", "sig")))
-    stars = placed.where("need = 0 OR place <= many - need + 1").where("sid != lead").select("sid", "lead")
-    many = frequent.groupBy("sid", "up").agg(F.count("*").alias("many"))
-    rare = shared.where(F.col("sets") <= FEW_SETS).join(many, ["sid", "up"], "left")
-    rare = stash(rare.select("sig", "sid", "up", (F.col("need") - F.coalesce("many", F.lit(0))).alias("short")))
+    many = F.count(F.when(F.col("sets") > FEW_SETS, 1)).over(entry)
+    placed = shared.withColumn("many", many).withColumn("last", F.count("*").over(entry) - F.row_number().over(entry.orderBy("sets", "sig")))
+    placed = stash(placed)
+    # The frequent ones are the last of an entry: all of them but need - 1.
+    stars = placed.where(F.col("sets") > FEW_SETS).where("last >= need - 1 AND sid != lead").select("sid", "lead")
+    rare = placed.where(F.col("sets") <= FEW_SETS).select("sig", "sid", "up", (F.col("need") - F.col("many")).alias("short"))
     # Sets of one class meet as such, so they need not meet as members of the next class too.
     a, b = (rare.select("sig", *(F.col(c).alias(c + x) for c in ("sid", "up", "short"))) for x in "ab")
     pairs = a.join(b, "sig").where("sida < sidb AND upa + upb < 2").groupBy("sida", "sidb", "upa", "upb").agg(F.count("*").alias("n"), F.max(F.greatest("shorta", "shortb")).alias("short"))
-    return pairs.where("n >= short").select(F.col("sida").alias("sid"), F.col("sidb").alias("lead")).union(stars).distinct()
+    return pairs.where("n >= short").select(F.col("sida").alias("sid"), F.col("sidb").alias("lead")).union(stars)
 
 
 def _near(held: DataFrame, rule: Rule) -> DataFrame:
@@ -447,7 +447,7 @@ def _near(held: DataFrame, rule: Rule) -> DataFrame:
     told = stash(held.mapInArrow(lead, kind))
     first = F.min("sid").over(W.partitionBy("sig"))
     shared = told.where("sig IS NOT NULL").select("sid", first.alias("lead")).where("sid != lead")
-    return shared.union(told.where("lead IS NOT NULL").select("sid", "lead")).distinct()
+    return shared.union(told.where("lead IS NOT NULL").select("sid", "lead"))
 
 
 def _compare(rule: Rule):

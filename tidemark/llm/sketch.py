@@ -106,7 +106,8 @@ def build(rows: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterato
     sent = rows.mapInArrow(count, SCHEMA).repartition(max(1, min(parts, n_partitions(spark))), "part").mapInArrow(merge, SCHEMA)
     repeated = np.zeros(parts * RANGE // 8, dtype=np.uint8)
     found_hot = None if hot is None else repeated.copy()
-    for part, a, b in sent.select(F.col("part"), F.col("cells"), F.col("counts")).toLocalIterator():
+    # The bitmaps are bounded, and collected by one job; an iterator would run one for each partition, empty ones too.
+    for part, a, b in sent.select(F.col("part"), F.col("cells"), F.col("counts")).collect():
         at = slice(part * RANGE // 8, (part + 1) * RANGE // 8)
         repeated[at] = np.frombuffer(zlib.decompress(bytes(a)), dtype=np.uint8)
         if found_hot is not None:
