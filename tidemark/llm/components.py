@@ -77,7 +77,10 @@ def components(edges: DataFrame) -> DataFrame:
         sent = found.mapInArrow(lambda batches: _forest(batches, chunk), star)
         return stash(sent.repartition("u").sortWithinPartitions("u").mapInArrow(lambda batches: _forest(batches, chunk, whole=True), star))
 
-    found = dealt(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
+    # Written first, few edges from many partitions are read by few tasks, whose forests drop more of them.
+    given = stash(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
+    found = dealt(given)
+    release(given)
     while True:
         # Of each node the least and the greatest of its lesser neighbours, and how many edges it has to greater ones.
         ends = found.select(F.col("u").alias("node"), "v", F.lit(0).alias("n")).union(found.select("v", F.lit(None).cast("long"), F.lit(1)))
