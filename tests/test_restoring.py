@@ -190,3 +190,44 @@ def test_there_and_back(spark):
     assert got[1, 4] == "♪ la la ♪" and got[2, 1] == "Alone."
     lost = split.where("unit <> 1")
     assert R.restored_cues(df, lost).where("translation IS NULL").count() > 0
+
+
+def test_each_unit_is_cut_once(spark):
+    """Neither the look for empty parts nor their repair cuts a unit again that has none, however long it is."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = [(0, "well he came home", ["nun", "kam er heim"]), (1, "yes", ["ja", "..."]), (2, "hello ?", ["hallo", "welt"]), (3, "one two, " * 10_000, ["eins zwei, " * 5_000, "eins zwei " * 5_000])]
+    df = spark.createDataFrame([(i, t, s, [None] * len(s)) for i, t, s in rows], "i int, text string, sources array<string>, markers array<string>")
+    got = {r.i: r.parts for r in R.split_units(df.mapInPandas(counted, df.schema)).collect()}
+    assert seen.value == len(rows)
+    assert all(squeezed("".join(got[i])) == squeezed(t) for i, t, _ in rows)
+    assert all(p.endswith("two,") for p in got[3])
+
+
+def test_places_of_a_batch(spark):
+    """Texts found together have the places that each has alone: nothing goes on from one to the next."""
+    parts = [*SIGNS, "《", "》", "(", "【", "<i>", "</i>", "「", '"', "'", "\n", " ", "\t"]
+    given = ["ends in 《", "》 begins", "(", ")", "a.", '"b', "5", "%", "", "x ", " y", *some_texts(200, 11, parts)]
+    df = spark.createDataFrame(list(enumerate(given)), "i int, t string").coalesce(1)
+    rules = R.Rules(quotes=("「", "」"), clause_spaces=True)
+    rows = df.select("i", R.facts_at_once(F.col("t"), F.lit(True), F.array(F.lit("b")), rules).alias("f")).orderBy("i").collect()
+    for text, f in zip(given, (r.f for r in rows), strict=True):
+        inside = lambda p: any(s.start < p < s.end for s in f.spans)  # noqa: E731,B023
+        found = lambda pattern: [m.span() for m in re.finditer(pattern, text, re.ASCII)]  # noqa: E731,B023
+        ends = lambda pattern: [b for a, b in found(pattern) if not inside(b) and not (a and text[a - 1] in G.NO_LINE_END)]  # noqa: E731,B023
+        quotes = [(a, b) for a, b in found("「[^「」]*」") if a > 0 and b < len(text) and b - a <= 16]
+        spans = [x for p in (R.BRACKETED, R.TITLES, R.STYLED, R.UNITS, R.CUE_MARKERS, R.ELLIPSES) for x in found(p)] + quotes + found("b")
+        assert [(s.start, s.end) for s in f.spans] == spans, text
+        places = range(len(text) + 1)
+        assert [p for p in places if any(s.start < p < s.end for s in f.protected)] == [p for p in places if inside(p)], text
+        signs = {f"{kind}{i}": p for kind, (_, patterns) in G.SIGNS.items() for i, p in enumerate(patterns)} | {"strong": G.STRONG, "weak": G.WEAK, "clauses": R.CLAUSE_SPACE}
+        assert {name: f[name] for name in signs} == {name: ends(p) for name, p in signs.items()}, text
+        assert f.lefts == [a for a, _ in found(G.LEFT) if not inside(a)], text
+        assert f.breaks == [b for _, b in found(R.FALLBACK) if not inside(b)], text
+        assert [tuple(b) for b in f.blanks] == [(a, b, not inside(b)) for a, b in found(r"\s+")], text
+        assert len(f.upto) == len(text) and f.upto == sorted(f.upto)

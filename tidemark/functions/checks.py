@@ -16,6 +16,8 @@ from tidemark.functions.text import MUSIC, join_lines
 MARKER = r"⟦/?[a-z]?\d*⟧"
 BRACKETS = (("(", ")"), ("[", "]"), ("{", "}"), ("（", "）"), ("【", "】"))
 OPENERS, CLOSERS = "([{（［｛〔〖〘〚〈《【⟨⟪", ")]}）］｝〕〗〙〛〉》】⟩⟫"
+#: A class of both, in ranges, which are quicker to test than each of them.
+BRACKET = r"[()\[\]{}⟨-⟫〈-》【】〔-〛（）［］｛｝]"
 HALF_WIDTH, FULL_WIDTH = ",.!?:;()", "，。！？：；（）"
 QUOTES = (("“", "”"), ("‘", "’"), ("«", "»"), ("「", "」"), ("『", "』"), ("„", "“"))
 #: Script names, whether words are written with spaces, and how long a run must be to tell.
@@ -38,12 +40,12 @@ def corrupt_markers(text: Column) -> Column:
 
 
 def bracket_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[{re.escape(OPENERS + CLOSERS)}]"))
+    return F.regexp_count(text, F.lit(BRACKET))
 
 
 def bracket_profile(text: Column) -> Column:
     """count: brackets of any kind; crossing: one closes that none has opened, or one stays open."""
-    kept = F.regexp_replace(text, f"[^{re.escape(OPENERS + CLOSERS)}]", "")
+    kept = F.regexp_replace(text, f"[^{BRACKET[1:-1]}]+", "")
     steps = F.transform(F.filter(F.split(kept, ""), lambda c: c != ""), lambda c: F.when(F.position(c, F.lit(OPENERS)) > 0, 1).otherwise(-1))
     start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("crossing"))
 
@@ -61,7 +63,7 @@ def marker_leak(text: Column, source: Column) -> Column:
 
 def unbalanced_brackets(text: Column) -> Column:
     """Is a bracket left over when each closing one takes back the last opening one, which must be of its kind?"""
-    kept = F.regexp_replace(text, f"[^{re.escape(OPENERS + CLOSERS)}]", "")
+    kept = F.regexp_replace(text, f"[^{BRACKET[1:-1]}]+", "")
 
     def step(stack: Column, c: Column) -> Column:
         kind, top = F.position(c, F.lit(CLOSERS)), F.position(F.right(stack, F.lit(1)), F.lit(OPENERS))

@@ -144,7 +144,9 @@ def place_punctuation(parts: Column) -> Column:
         both = F.concat(F.element_at(done, -1), F.lit(cut), part)
         moved = F.regexp_replace(both, f"({char_class(NO_LINE_END)}+){cut}", f"{cut}$1")
         moved = F.split(F.regexp_replace(moved, f"{cut}({char_class(NO_LINE_START)}+)", f"$1{cut}"), cut)
-        return F.concat(F.slice(done, 1, F.size(done) - 1), moved)
+        moved = F.concat(F.slice(done, 1, F.size(done) - 1), moved)
+        moves = F.right(F.element_at(done, -1), F.lit(1)).rlike(char_class(NO_LINE_END)) | F.left(part, F.lit(1)).rlike(char_class(NO_LINE_START))
+        return F.when(~moves, F.concat(done, F.array(part))).otherwise(moved)
 
     rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
     moved = F.when(F.size(parts) > 0, F.aggregate(rest, F.slice(parts, 1, 1), step)).otherwise(parts)

@@ -82,12 +82,16 @@ def plausible_length(source: Column, target: Column, low: float = 0.15, high: fl
 
 def weighted_length(text: Column) -> Column:
     """Latin words 2.5, digits 0.5, other letters and digits 1; a text without any of them by its UTF-16 length."""
-    plain = F.regexp_replace(text, STYLE_TAG, "")
-    words = F.regexp_count(plain, F.lit(r"[A-Za-z](?:['’]?[A-Za-z])*"))
-    digits = F.regexp_count(plain, F.lit("[0-9]"))
-    others = F.regexp_count(plain, F.lit(r"[\p{L}\p{N}&&[^\x00-\x7F]]"))
-    weight = LATIN_WORD_WEIGHT * words + DIGIT_WEIGHT * digits + others
-    return F.when(weight > 0, weight).otherwise(F.length(plain) + F.regexp_count(plain, F.lit(r"[\x{10000}-\x{10FFFF}]")))
+    once = lambda value, use: F.transform(F.array(value), use)[0]
+
+    def length(plain: Column) -> Column:
+        words = F.regexp_count(plain, F.lit(r"[A-Za-z]+(?:['’][A-Za-z]+)*"))
+        digits = F.regexp_count(plain, F.lit("[0-9]"))
+        others = F.regexp_count(plain, F.lit(r"[[^\x00-\x7F]&&[\p{L}\p{N}]]"))
+        units = F.length(plain) + F.regexp_count(plain, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+        return once(LATIN_WORD_WEIGHT * words + DIGIT_WEIGHT * digits + others, lambda w: F.when(w > 0, w).otherwise(units))
+
+    return once(F.regexp_replace(text, STYLE_TAG, ""), length)
 
 
 def visible_lines(text: Column) -> Column:

@@ -1,9 +1,10 @@
 """From translated units back to cues: cuts of a translation for the segments of its unit, and cues put together again.
 
-A unit is one row: its translation and the texts of its segments. All rules are column expressions over arrays of places
-in the text (counted in code points, from 0), so nothing is shuffled until segments meet in their cue; only the alignment
-of several expected cuts with several signs is a small function on numbers, in Arrow batches (`merging.align`). A unit is
-short: folds over its places take time with the square of their number.
+A unit is one row: its translation and the texts of its segments. The rules are column expressions over arrays of places
+in the text (counted in code points, from 0), so nothing is shuffled until segments meet in their cue. Three small functions
+run on Arrow batches, as a fold over places would copy what it has found at every step: where patterns match and which of
+their ends lie inside a protected span, how many characters reach a weight, and the alignment of several expected cuts with
+several signs (`merging.align`). Time grows with the length of a unit, not with its square.
 
 A cut is never made inside a protected span (titles, styled text, numbers with units, words in Latin letters, markers,
 ellipses, short quotes, brackets, terms of a glossary), unless the text offers nothing else.
@@ -16,10 +17,15 @@ neighbour (`repair_empty`).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,6 +35,8 @@ from tidemark.functions import checks, numbers
 from tidemark.functions import edges as E
 from tidemark.functions import text as T
 from tidemark.operators import merging as G
+from tidemark.operators.pieces import BATCH_BYTES, listed
+from tidemark.sources.files import shared_folder
 
 # Patterns of protected spans, bounds of shares, costs of brackets, tolerances.
 LATIN = "A-Za-z\\u00C0-\\u00D6\\u00D8-\\u00F6\\u00F8-\\u024F"
@@ -43,16 +51,21 @@ UNITS = "|".join(
         "第[0-9]+",
     ]
 )
-TITLES, STYLED, CUE_MARKERS, ELLIPSES = "《[^《》]*》", r"(?is)<([ibu])>.*?</\2>", r"(?i)⟦c[0-9]+(?:\.[0-9]+)?⟧", r"\.{2,}|…+"
+TITLES, STYLED, CUE_MARKERS, ELLIPSES = "《[^《》]*》", r"(?is)<([ibu])>.*?</\1>", r"(?i)⟦c[0-9]+(?:\.[0-9]+)?⟧", r"\.{2,}|…+"
 BRACKETED = r"（[^（）]{0,38}）|\([^()]{0,38}\)|【[^【】]{0,38}】|\[[^\[\]]{0,38}\]|〔[^〔〕]{0,38}〕"
 RESIDUAL = r"⟦[^⟦⟧]*⟧|⟦[a-zA-Z]?[0-9]{0,6}(?:\.[0-9]+)?|⟧"
-CLAUSE_SPACE, FALLBACK = r"(?<![A-Za-z0-9])\s+(?![A-Za-z0-9\s])", r"[，,、；;。.!?…\s]+"
+CLAUSE_SPACE, BLANKS, BREAKS = r"(?<![A-Za-z0-9])\s+(?![A-Za-z0-9\s])", " \t\n\v\f\r", "，,、；;。.!?…"
+FALLBACK = rf"[{BREAKS}\s]+"
 LONGEST_QUOTE, LATIN_WORD, DIGIT, SIGN = 16, 2.5, 0.5, 0.5
 LOW_SHARE, HIGH_SHARE, SNAP_SHARE, SNAP_NEAR, FORWARD = 0.55, 1.85, 0.12, 3, 3
 MISSING_BRACKET, EXTRA_BRACKET, UNBALANCED, MISMATCH = 1.0, 0.5, 0.5, 0.25
 CLAUSE_SHARE, CLAUSE_NEAR = 0.3, 4
 
 SPAN = "array<struct<start:int,end:int>>"
+#: Ends by kind of sign, blanks (free: a cut may be at the end), ends between words of texts without blanks, sums of weights.
+KINDS = [f"{kind}{i}" for kind, (_, patterns) in G.SIGNS.items() for i in range(len(patterns))]
+NAMES = (*KINDS, "strong", "weak", "clauses", "lefts", "breaks", "blanks", "upto")
+PLACES = f"{','.join(f'{name}:array<int>' for name in NAMES[:-2])},blanks:array<struct<start:int,end:int,free:boolean>>,upto:array<double>"
 #: What the rules look up in a text, by name.
 Facts = dict[str, Column]
 
@@ -93,28 +106,134 @@ def match_spans(text: Column, pattern: str | Column) -> Column:
     return F.aggregate(pieces, start, step)["found"]
 
 
+class Laid:
+    """Texts of a batch laid one after the other, so that a pattern runs over all of them at once. Between two there is a
+    character that no pattern over signs, words or blanks takes in."""
+
+    def __init__(self, texts: pa.Array):
+        self.texts = [(t or "").replace("\u0001", " ").replace("\u0002", " ") for t in texts.to_pylist()]
+        sizes = np.array([len(t) for t in self.texts], dtype=np.int64)
+        self.all, self.base, self.like = "\0" + "\0".join(self.texts) + "\0", np.cumsum(sizes + 1) - sizes, texts
+        # Of no class of signs, words or blanks are characters beyond the first plane.
+        self.codes = np.minimum(np.frombuffer(self.all.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), 0xFFFF)
+
+    def spans(self, pattern: str, but_after: str = "") -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends, but for matches right after one of some characters. As in Java, blanks and cases are ASCII's."""
+        found = re.compile(pattern, re.ASCII).finditer(self.all)
+        found = [m.span() for m in found if self.all[m.start() - 1] not in but_after] if but_after else [m.span() for m in found]
+        at = np.array(found, dtype=np.int64).reshape(-1, 2)
+        return at[:, 0], at[:, 1]
+
+    def among(self, chars: str) -> np.ndarray:
+        table = np.zeros(0x10000, dtype=bool)
+        table[[ord(c) for c in chars]] = True
+        return table[self.codes]
+
+    def spans_within(self, pattern: str, sign: str, rows: Iterable[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of a pattern that has the sign and may take in any character, in some of the texts or all."""
+        match, base = re.compile(pattern, re.ASCII).finditer, self.base.tolist()
+        rows = range(len(base)) if rows is None else rows
+        at = np.array([(m.start() + base[i], m.end() + base[i]) for i in rows if sign in self.texts[i] for m in match(self.texts[i])], dtype=np.int64).reshape(-1, 2)
+        return at[:, 0], at[:, 1]
+
+    def row(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.base, at, side="right") - 1
+
+    def lists(self, row: np.ndarray, *at: np.ndarray, **more: np.ndarray) -> pa.Array:
+        """Lists by row, which ascends: of places, or of structs of two places (start, end) and more."""
+        own = [pa.array(x - self.base[row], pa.int32()) for x in at]
+        items = own[0] if len(own) == 1 else pa.StructArray.from_arrays([*own, *map(pa.array, more.values())], ["start", "end", *more])
+        return listed(self.like, items, np.bincount(row, minlength=len(self.base)))
+
+
+def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs; neither the first nor the last is inside."""
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    return edges[::2], edges[1::2]
+
+
+def spans_in(laid: Laid, brackets: pa.Array, terms: pa.Array, quoted: str | None) -> pa.Array:
+    found = [laid.spans_within(BRACKETED, "", [i for i, x in enumerate(brackets.to_pylist()) if x]), laid.spans_within(TITLES, "《"), laid.spans_within(STYLED, "<")]
+    found += map(laid.spans, (UNITS, CUE_MARKERS, ELLIPSES))
+    if quoted:
+        start, end = laid.spans_within(quoted, "")
+        row = laid.row(start)
+        size = np.array([len(t) for t in laid.texts], dtype=np.int64)
+        short = (start > laid.base[row]) & (end < laid.base[row] + size[row]) & (end - start <= LONGEST_QUOTE)
+        found.append((start[short], end[short]))
+    known = [(m.start() + b, m.end() + b) for t, b, some in zip(laid.texts, laid.base.tolist(), terms.to_pylist(), strict=True) for term in some or () if term for m in re.finditer(re.escape(term), t)]
+    found.append(tuple(np.array(known, dtype=np.int64).reshape(-1, 2).T))
+    start, end = (np.concatenate(x) for x in zip(*found, strict=True))
+    row = laid.row(start)
+    order = np.argsort(row, kind="stable")
+    return laid.lists(row[order], start[order], end[order])
+
+
+def laid_spans(spans: pa.Array, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of spans on texts laid out from base on, or as wide as their spans need; and base."""
+    sizes = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    start, end = (spans.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+    if base is None:
+        widest = np.zeros(len(sizes), dtype=np.int64)
+        np.maximum.at(widest, row, end)
+        base = np.cumsum(widest + 1) - widest
+    return row, start + base[row], end + base[row], base
+
+
+def islands_in(spans: pa.Array) -> pa.Array:
+    row, start, end, base = laid_spans(spans)
+    order = np.lexsort((end, start))
+    order = order[(end - start)[order] > 1]
+    row, start, end = row[order], start[order], np.maximum.accumulate(end[order])
+    first = np.flatnonzero(np.append(True, start[1:] >= end[:-1])[: len(start)])
+    last = np.append(first[1:] - 1, len(start) - 1)[: len(first)]
+    row = row[first]
+    own = [pa.array(x - base[row], pa.int32()) for x in (start[first], end[last])]
+    return listed(spans, pa.StructArray.from_arrays(own, ["start", "end"]), np.bincount(row, minlength=len(spans)))
+
+
+def places_in(laid: Laid, protected: pa.Array, weights: pa.Array, clause_spaces: bool) -> dict[str, pa.Array]:
+    _, start, end, _ = laid_spans(protected, laid.base)
+    # Before all others there is a span without an inside.
+    start, end = np.append(-1, start), np.append(-1, end)
+    free = lambda at: at >= end[np.searchsorted(start, at) - 1]
+    kept = lambda at, row: laid.lists(row[free(at)], at[free(at)])
+
+    def ends(pattern: str) -> pa.Array:
+        low, high = laid.spans(pattern, E.NO_LINE_END)
+        return kept(high, laid.row(low))
+
+    signs = {f"{kind}{i}": p for kind, (_, patterns) in G.SIGNS.items() for i, p in enumerate(patterns)} | {"strong": G.STRONG, "weak": G.WEAK}
+    out = {name: ends(p) for name, p in signs.items()}
+    out["clauses"] = ends(CLAUSE_SPACE if clause_spaces else "(?!)")
+    lefts, _ = laid.spans(G.LEFT)
+    low, high = runs(laid.among(BREAKS + BLANKS))
+    out |= {"lefts": kept(lefts, laid.row(lefts)), "breaks": kept(high, laid.row(low))}
+    low, high = runs(laid.among(BLANKS))
+    out["blanks"] = laid.lists(laid.row(low), low, high, free=free(high))
+    at, own = weights.offsets.to_numpy(), weights.values.to_numpy()
+    sums = [np.cumsum(own[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return out | {"upto": listed(laid.like, pa.array(np.concatenate([*sums, np.zeros(0)])), np.diff(at))}
+
+
+def quoted(rules: Rules) -> str | None:
+    if not rules.quotes:
+        return None
+    a, b = (E.char_class(q) for q in rules.quotes)
+    return f"{a}[^{a[1:-1]}{b[1:-1]}]*{b}"
+
+
 def protected_spans(text: Column, rules: Rules, brackets: Column, terms: Column | None = None) -> Column:
     """Spans that a cut should not divide. brackets: are bracketed texts among them?"""
-    found = [F.when(brackets, match_spans(text, BRACKETED)).otherwise(F.array().cast(SPAN)), *(match_spans(text, p) for p in (TITLES, STYLED, UNITS, CUE_MARKERS, ELLIPSES))]
-    if rules.quotes:
-        a, b = (E.char_class(q) for q in rules.quotes)
-        short = lambda s: (s["start"] > 0) & (s["end"] < F.length(text)) & (s["end"] - s["start"] <= LONGEST_QUOTE)
-        found.append(F.filter(match_spans(text, f"{a}[^{a[1:-1]}{b[1:-1]}]*{b}"), short))
-    if terms is not None:
-        known = F.filter(F.coalesce(terms, F.array().cast("array<string>")), lambda t: F.length(t) > 0)
-        found.append(F.flatten(F.transform(known, lambda t: match_spans(text, F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))))))
-    return F.concat(*found)
+    pattern = quoted(rules)
+    find = F.arrow_udf(lambda texts, brackets, terms: spans_in(Laid(texts), brackets, terms, pattern), SPAN)
+    return find(text, brackets, F.array().cast("array<string>") if terms is None else terms)
 
 
 def islands(spans: Column) -> Column:
     """Spans of more than one character, overlapping ones put together, in order."""
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(span(last["start"], F.greatest(last["end"], x["end"]))))
-        return F.when((F.size(done) > 0) & (x["start"] < last["end"]), joined).otherwise(F.concat(done, F.array(x)))
-
-    return F.aggregate(F.array_sort(F.filter(spans, lambda s: s["end"] - s["start"] > 1)), F.array().cast(SPAN), step)
+    return F.arrow_udf(lambda spans: islands_in(spans), SPAN)(spans)
 
 
 def inside(protected: Column, place: Column) -> Column:
@@ -127,47 +246,86 @@ def escape(spans: Column, place: Column) -> Column:
     return F.coalesce(F.when(place - around["start"] <= around["end"] - place, around["start"]).otherwise(around["end"]), place)
 
 
+def weight_kinds(text: Column) -> Column:
+    """The text with other letters than ASCII's, digits and signs as one character each."""
+    digits, signs = "0123456789", "，,、；;。.!?！？：:…"
+    plain = F.translate(text, "\u0003\u0004\u0005" + digits + signs, "   " + "\u0003" * len(digits) + "\u0004" * len(signs))
+    return F.regexp_replace(plain, r"[[^\x00-\x7F]&&[\p{L}\p{N}]]", "\u0005")
+
+
+def weights_in(kinds: pa.Array) -> pa.Array:
+    laid = Laid(kinds)
+    letters, joints = laid.among("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), laid.among("'’")
+    # A word goes on over an apostrophe that has letters on both sides.
+    letters[1:-1] |= joints[1:-1] & letters[:-2] & letters[2:]
+    found = laid.among("\u0003") * DIGIT + laid.among("\u0004") * SIGN + laid.among("\u0005") * 1.0
+    start, end = runs(letters)
+    found[letters] = np.repeat(LATIN_WORD / (end - start), end - start)
+    sizes = np.array([len(t) for t in laid.texts], dtype=np.int64)
+    within = np.ones(len(found), dtype=bool)
+    within[[0, *(laid.base + sizes)]] = False
+    return listed(kinds, pa.array(found[within]), sizes)
+
+
 def weights(text: Column) -> Column:
     """The weight of each character: 2.5 to a word in ASCII letters, 0.5 to a digit or sign, 1 to other letters."""
-    marked = F.split(F.regexp_replace(F.translate(text, "\u0001\u0002", "  "), r"([A-Za-z]+(?:['’][A-Za-z]+)*)", "\u0001$1\u0002"), "[\u0001\u0002]")
-    single = lambda c: F.when(c.rlike("[0-9]"), DIGIT).when(c.rlike(r"[\p{L}\p{N}&&[^\x00-\x7F]]"), 1.0).when(c.rlike("[，,、；;。.!?！？：:…]"), SIGN).otherwise(0.0)
-    one = lambda x, i: F.when(i % 2 == 1, F.array_repeat(F.lit(LATIN_WORD) / F.length(x), F.length(x))).otherwise(F.transform(F.filter(F.split(x, ""), lambda c: c != ""), single))
-    return F.flatten(F.transform(marked, one))
+    return F.arrow_udf(lambda kinds: weights_in(kinds), "array<double>")(weight_kinds(text))
 
 
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def weight_between(w: Column, start: Column, end: Column) -> Column:
-    return total(F.slice(w, start + 1, F.greatest(end - start, F.lit(0))))
+def weight_until(f: Facts, place: Column) -> Column:
+    return F.coalesce(F.get(f["upto"], place - 1), F.lit(0.0))
+
+
+def weight_between(f: Facts, start: Column, end: Column) -> Column:
+    return F.when(start < end, weight_until(f, end) - weight_until(f, start)).otherwise(0.0)
 
 
-def place_of_weight(w: Column, target: Column) -> Column:
-    """How many characters can be taken before their weight reaches the target."""
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
-    return F.aggregate(w, start, lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["n"] + F.when(s["sum"] + x < target, 1).otherwise(0)).alias("n")))["n"]
+def all_weight(f: Facts) -> Column:
+    return F.coalesce(F.try_element_at(f["upto"], F.lit(-1)), F.lit(0.0))
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def places_of_weights(upto: pa.Array, targets: pa.Array) -> pa.Array:
+    """For each target how many characters can be taken before their weight reaches it."""
+    found = [np.searchsorted(u.values.to_numpy(), t.values.to_numpy(zero_copy_only=False)) if u.is_valid and t.is_valid else np.zeros(0, dtype=np.int64) for u, t in zip(upto, targets, strict=True)]
+    return listed(targets, pa.array(np.concatenate([*found, np.zeros(0, dtype=np.int64)]), pa.int32()), np.array([len(x) for x in found], dtype=np.int64))
 
 
 def facts(text: Column, spans: Column, protected: Column, rules: Rules) -> Facts:
-    """Length, weights, protected spans, and the places where signs and blanks end."""
+    """Length, weights, protected spans, and the places where signs and blanks end. protected: what islands gives."""
+    clauses = rules.clause_spaces
+
+    def find(texts: pa.Array, protected: pa.Array, kinds: pa.Array) -> pa.Array:
+        out = places_in(Laid(texts), protected, weights_in(kinds), clauses)
+        return pa.StructArray.from_arrays(list(out.values()), list(out))
+
+    at = F.arrow_udf(find, f"struct<{PLACES}>")(text, protected, weight_kinds(text))
+    return {"spans": spans, "protected": protected, "n": F.length(text)} | {name: at[name] for name in NAMES}
+
 
-    def ends(pattern: str) -> Column:
-        opened = lambda s: (s["start"] > 0) & F.substr(text, s["start"], F.lit(1)).rlike(E.char_class(E.NO_LINE_END))
-        return F.transform(F.filter(match_spans(text, pattern), lambda s: ~inside(protected, s["end"]) & ~opened(s)), lambda s: s["end"])
+def facts_at_once(text: Column, brackets: Column, terms: Column | None, rules: Rules) -> Column:
+    """A struct of protected_spans, islands and facts but for n, found on one batch."""
+    clauses, pattern = rules.clause_spaces, quoted(rules)
 
-    lefts = F.transform(F.filter(match_spans(text, G.LEFT), lambda s: ~inside(protected, s["start"])), lambda s: s["start"])
-    own = {f"{kind}{i}": ends(p) for kind, (_, patterns) in G.SIGNS.items() for i, p in enumerate(patterns)}
-    found = {"spans": spans, "protected": protected, **own, "strong": ends(G.STRONG), "lefts": lefts, "weak": ends(G.WEAK), "weights": weights(text), "n": F.length(text)}
-    found |= {"clauses": ends(CLAUSE_SPACE) if rules.clause_spaces else F.array().cast("array<int>"), "blanks": match_spans(text, r"\s+"), "breaks": match_spans(text, FALLBACK)}
-    return found
+    def find(texts: pa.Array, brackets: pa.Array, terms: pa.Array, kinds: pa.Array) -> pa.Array:
+        laid = Laid(texts)
+        spans = spans_in(laid, brackets, terms, pattern)
+        protected = islands_in(spans)
+        out = {"spans": spans, "protected": protected} | places_in(laid, protected, weights_in(kinds), clauses)
+        return pa.StructArray.from_arrays(list(out.values()), list(out))
+
+    return F.arrow_udf(find, f"struct<spans:{SPAN},protected:{SPAN},{PLACES}>")(text, brackets, F.array().cast("array<string>") if terms is None else terms, weight_kinds(text))
 
 
 def words_between(f: Facts, low: Column, high: Column, until: Column) -> Column:
     """Places between words after low and before high, by blanks if there are any before until, else by signs."""
-    ends = lambda runs, test: F.filter(F.transform(F.filter(runs, test), lambda s: s["end"]), lambda x: (low < x) & (x < high) & ~inside(f["protected"], x))
+    spaces = F.filter(f["blanks"], lambda s: s["free"] & (s["start"] > low) & (s["end"] < high))
     blank = F.exists(f["blanks"], lambda s: (s["end"] > low) & (s["start"] < until))
-    return F.when(blank, ends(f["blanks"], lambda s: s["start"] > low)).otherwise(ends(f["breaks"], lambda s: s["end"] > low))
+    return F.when(blank, F.transform(spaces, lambda s: s["end"])).otherwise(F.filter(f["breaks"], lambda x: (low < x) & (x < high)))
 
 
 def shares(lengths: Column) -> Column:
@@ -178,8 +336,9 @@ def shares(lengths: Column) -> Column:
 
 def expected_places(f: Facts, lengths: Column) -> Column:
     """Where the cuts should be if the translation's weight were shared like the sources' lengths."""
-    all_ = total(f["weights"])
-    return let(all_, lambda w: F.transform(shares(lengths), lambda s: F.when(w > 0, F.when(w * s > 0, F.least(place_of_weight(f["weights"], w * s), f["n"])).otherwise(0).cast("double")).otherwise(f["n"] * s)))
+    due = F.transform(shares(lengths), lambda s: F.struct(s.alias("share"), (all_weight(f) * s).alias("weight")))
+    by_weight = lambda x, p: F.when(x["weight"] > 0, F.least(p, f["n"])).otherwise(0).cast("double")
+    return F.zip_with(due, places_of_weights(f["upto"], F.transform(due, lambda x: x["weight"])), lambda x, p: F.when(all_weight(f) > 0, by_weight(x, p)).otherwise(f["n"] * x["share"]))
 
 
 def refined_places(lengths: Column, anchors: Column, expected: Column, n: Column) -> Column:
@@ -260,13 +419,13 @@ def resolve(f: Facts, requests: Column, use_clauses: bool) -> Column:
 def rebalance(f: Facts, lengths: Column, cuts: Column, tags: Column) -> Column:
     """Cuts beside parts whose share of the weight is far from their share of the lengths, set anew between the cuts around
     them, at a strong sign or a word's end near the place by weight. Cuts at markers stay."""
-    w, n, locked = f["weights"], f["n"], lambda k: F.coalesce(F.get(tags, k) == "marker", F.lit(False))
+    n, locked = f["n"], lambda k: F.coalesce(F.get(tags, k) == "marker", F.lit(False))
     bounds = F.concat(F.array(F.lit(0)), cuts, F.array(n))
     sum_ = F.when(total(lengths) > 0, total(lengths)).otherwise(1.0)
 
     def off(x: Column, i: Column) -> Column:
-        due = total(w) * x / sum_
-        ratio = F.when(due > 0, weight_between(w, F.get(bounds, i), F.get(bounds, i + 1)) / due).otherwise(1.0)
+        due = all_weight(f) * x / sum_
+        ratio = F.when(due > 0, weight_between(f, F.get(bounds, i), F.get(bounds, i + 1)) / due).otherwise(1.0)
         return F.when((ratio < LOW_SHARE) | (ratio > HIGH_SHARE), i)
 
     bad = F.filter(F.transform(lengths, off), lambda x: x.isNotNull())
@@ -283,9 +442,10 @@ def rebalance(f: Facts, lengths: Column, cuts: Column, tags: Column) -> Column:
         cursor = F.when(k == x["low"], first).otherwise(s["cursor"])
         part = F.slice(lengths, x["low"] + 1, x["high"] - x["low"] + 1)
         share = total(F.slice(part, 1, k - x["low"] + 1)) / F.when(total(part) > 0, total(part)).otherwise(1.0)
-        target = weight_between(w, F.lit(0), first) + weight_between(w, first, last) * share
+        target = weight_until(f, first) + weight_between(f, first, last) * share
+        by_weight = let(target, lambda t: F.when(t > 0, F.least(F.size(F.filter(f["upto"], lambda u: u < t)), n)).otherwise(0))
         room = last - F.greatest(x["high"] - k, F.lit(1))
-        ideal = F.greatest(cursor + 1, F.least(let(target, lambda t: F.when(t > 0, F.least(place_of_weight(w, t), n)).otherwise(0)), room))
+        ideal = F.greatest(cursor + 1, F.least(by_weight, room))
         near = F.greatest(SNAP_SHARE * (last - first) / (x["high"] - x["low"]), F.lit(float(SNAP_NEAR)))
 
         def snapped(ideal: Column) -> Column:
@@ -297,12 +457,13 @@ def rebalance(f: Facts, lengths: Column, cuts: Column, tags: Column) -> Column:
         return let(now, lambda p: F.struct(p.alias("cursor"), F.transform(s["cuts"], lambda c, j: F.when(j == k, p).otherwise(c)).alias("cuts")))
 
     moved = F.aggregate(steps, F.struct(F.lit(0).alias("cursor"), cuts.alias("cuts")), step)["cuts"]
-    return F.when((F.size(lengths) > 1) & (total(w) > 0), moved).otherwise(cuts)
+    return F.when((F.size(lengths) > 1) & (all_weight(f) > 0), moved).otherwise(cuts)
 
 
 def align_to_brackets(text: Column, f: Facts, sources: Column, cuts: Column, tags: Column) -> Column:
     """Cuts moved to the bracket edge where distance and what the parts' brackets lack of their sources' cost least."""
-    edges = F.transform(match_spans(text, f"[{checks.re.escape(checks.OPENERS + checks.CLOSERS)}]"), lambda s: F.when(F.substr(text, s["start"] + 1, F.lit(1)).rlike(f"[{checks.re.escape(checks.OPENERS)}]"), s["start"]).otherwise(s["end"]))
+    bracket = checks.BRACKET
+    edges = F.transform(match_spans(text, bracket), lambda s: F.when(F.substr(text, s["start"] + 1, F.lit(1)).rlike(f"[{checks.re.escape(checks.OPENERS)}]"), s["start"]).otherwise(s["end"]))
 
     def mismatch(part: Column, source: Column) -> Column:
         def cost(a: Column, b: Column) -> Column:
@@ -320,7 +481,7 @@ def align_to_brackets(text: Column, f: Facts, sources: Column, cuts: Column, tag
         best = F.array_min(F.transform(places, lambda p, j: F.struct(cost(p).alias("cost"), j.alias("j"), p.alias("p"))))["p"]
         return F.when(F.coalesce(F.get(tags, i) == "marker", F.lit(False)), done).otherwise(F.transform(done, lambda c, j: F.when(j == i, best).otherwise(c)))
 
-    wanted = (F.size(edges) > 0) & F.exists(sources, lambda s: checks.bracket_count(s) > 0) & (F.size(cuts) > 0)
+    wanted = (F.size(cuts) > 0) & text.rlike(bracket) & F.exists(sources, lambda s: s.rlike(bracket))
     return F.when(wanted, F.aggregate(F.transform(cuts, lambda c, i: i), cuts, step)).otherwise(cuts)
 
 
@@ -350,18 +511,18 @@ def split_rows(rows: DataFrame, text: Column, sources: Column, markers: Column,
     Each step is a column of its own, so that it is computed once.
     """
     c = F.col
+    # For the session: a batch of long texts has many places.
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     named = {"__text": text, "__sources": sources, "__markers": markers}
     rows = rows.withColumns(named)
-    rows = rows.withColumn("__spans", protected_spans(c("__text"), rules, guard & (checks.bracket_count(c("__text")) > 0), terms))
-    rows = rows.withColumn("__protected", islands(c("__spans")))
-    found = facts(c("__text"), c("__spans"), c("__protected"), rules)
-    rows = rows.withColumns({f"__{name}_places": value for name, value in found.items()})
-    f = {name: c(f"__{name}_places") for name in found}
+    rows = rows.withColumn("__facts", facts_at_once(c("__text"), guard & c("__text").rlike(checks.BRACKET), terms, rules))
+    rows = rows.withColumns({"__n": F.length("__text")})
+    f = {name: c("__facts")[name] for name in ("spans", "protected", *NAMES)} | {"n": c("__n")}
     rows = rows.withColumn("__lengths", F.transform("__sources", lambda s: T.weighted_length(s).cast("double")))
     rows = rows.withColumns({"__expected": expected_places(f, c("__lengths")), "__kinds": F.transform(F.slice("__sources", 1, F.size("__sources") - 1), G.boundary)})
     at = lambda m: F.nullif(F.position(F.concat(F.lit("⟦c"), m, F.lit("⟧")), F.lower("__text")), F.lit(0)) - 1
     rows = rows.withColumn("__marked", F.transform(F.slice("__markers", 2, F.greatest(F.size("__markers") - 1, F.lit(0))), at))
-    places = F.array(*(f[f"{kind}{i}"] for kind, (_, patterns) in G.SIGNS.items() for i in range(len(patterns))))
+    places = F.array(*(f[name] for name in KINDS))
     rows = rows.withColumn("__signs", aligned_anchors(c("__kinds"), c("__expected"), places) if rules.anchors else F.array().cast("array<int>"))
     rows = rows.withColumn("__fixed", F.transform("__expected", lambda x, i: F.coalesce(F.get(c("__marked"), i), F.get(c("__signs"), i))))
     rows = rows.withColumn("__refined", refined_places(c("__lengths"), c("__fixed"), c("__expected"), f["n"]))
@@ -371,7 +532,7 @@ def split_rows(rows: DataFrame, text: Column, sources: Column, markers: Column,
     rows = rows.withColumn("__cuts", align_to_brackets(c("__text"), f, c("__sources"), c("__cuts"), c("__tags")))
     rows = rows.withColumn("__cuts", snap_forward(c("__text"), f, c("__cuts"), c("__tags")))
     rows = rows.withColumn("__parts", F.when(F.size("__sources") == 1, F.array(trim(c("__text")))).otherwise(cut_text(c("__text"), c("__cuts"))))
-    return rows.drop(*named, *(f"__{name}_places" for name in found), "__spans", "__protected", "__lengths", "__expected", "__kinds", "__marked", "__signs", "__fixed", "__refined", "__found", "__cuts")
+    return rows.drop(*named, "__facts", "__n", "__lengths", "__expected", "__kinds", "__marked", "__signs", "__fixed", "__refined", "__found", "__cuts")
 
 
 def has_content(text: Column) -> Column:
@@ -380,7 +541,9 @@ def has_content(text: Column) -> Column:
 
 def proportional_parts(text: Column, sources: Column) -> Column:
     """Two parts at the word's end nearest to the sources' shares, outside of titles, or null."""
-    f = {"protected": match_spans(text, TITLES), "blanks": match_spans(text, r"\s+"), "breaks": match_spans(text, FALLBACK)}
+    titles = match_spans(text, TITLES)
+    blanks = F.transform(match_spans(text, r"\s+"), lambda s: s.withField("free", ~inside(titles, s["end"])))
+    f = {"blanks": blanks, "breaks": F.filter(F.transform(match_spans(text, FALLBACK), lambda s: s["end"]), lambda x: ~inside(titles, x))}
     n = F.length(text)
     lengths = F.transform(sources, lambda s: T.weighted_length(s).cast("double"))
     want = let(n * F.get(shares(lengths), 0), numbers.round_half_even)
@@ -391,28 +554,41 @@ def proportional_parts(text: Column, sources: Column) -> Column:
 def repair_empty(rows: DataFrame, guard: Column, rules: Rules, terms: Column | None) -> DataFrame:
     """rows (parts, sources): parts without content whose source has some share their neighbour's text, cut anew, else by
     proportion. Parts are looked at from left to right, one of each unit in a round; there are as many rounds as the
-    unit with most of them needs."""
-    c = F.col
-    rows = rows.withColumn("__seen", F.lit(-1))
+    unit with most of them needs. Each round is a table in the shared folder, and only units with such a part are in the
+    next one, so that none is cut twice."""
+    c, spark = F.col, rows.sparkSession
+    folder = shared_folder(spark)
     empty = lambda p, i: ~has_content(p) & has_content(F.get(c("sources"), i)) & (F.size("parts") > 1) & (i > c("__seen"))
     at = F.array_min(F.transform("parts", lambda p, i: F.when(empty(p, i), i)))
-    while rows.agg(F.max(at.isNotNull())).first()[0]:
-        rows = rows.withColumn("__i", at).withColumn("__low", F.greatest(c("__i") - 1, F.lit(0)))
+
+    def write(rows: DataFrame, number: int) -> DataFrame:
+        rows = rows.withColumn("__i", at)
+        path = f"{folder}/round={number}"
+        rows.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    rows = write(rows.withColumn("__seen", F.lit(-1)), 0)
+    rounds = [rows.where("__i is null")]
+    while not (rows := rows.where("__i is not null")).isEmpty():
+        rows = rows.withColumn("__low", F.greatest(c("__i") - 1, F.lit(0)))
         rows = rows.withColumn("__near", F.coalesce(F.get("parts", F.when(c("__i") > 0, c("__i") - 1).otherwise(1)), F.lit("")))
-        rows = rows.withColumn("__pair", F.when(c("__i").isNull(), F.array(F.lit(""), F.lit(""))).otherwise(F.slice("sources", c("__low") + 1, F.lit(2))))
+        rows = rows.withColumn("__pair", F.slice("sources", c("__low") + 1, F.lit(2)))
         none = F.array(F.lit(None).cast("string"), F.lit(None).cast("string"))
-        rows = split_rows(rows, F.when(c("__i").isNull(), F.lit("")).otherwise(c("__near")), c("__pair"), none, guard, rules, terms)
+        rows = split_rows(rows, c("__near"), c("__pair"), none, guard, rules, terms)
         filled = lambda p: has_content(F.coalesce(F.get(p, c("__i") - c("__low")), F.lit("")))
         rows = rows.withColumn("__share", proportional_parts(c("__near"), c("__pair")))
         rows = rows.withColumn("__new", F.when(filled(c("__parts")), c("__parts")).when(filled(c("__share")), c("__share")))
         put = F.transform("parts", lambda x, j: F.when(j == c("__low"), c("__new")[0]).when(j == c("__low") + 1, c("__new")[1]).otherwise(x))
-        rows = rows.withColumns({"parts": F.when(c("__i").isNotNull() & c("__new").isNotNull(), put).otherwise(c("parts")), "__seen": F.coalesce("__i", "__seen")})
-        rows = settled(rows).drop("__i", "__low", "__near", "__pair", "__parts", "__tags", "__share", "__new")
-    return rows.drop("__seen")
+        rows = rows.withColumns({"parts": F.when(c("__new").isNotNull(), put).otherwise(c("parts")), "__seen": c("__i")})
+        rows = settled(rows.drop("__i", "__low", "__near", "__pair", "__parts", "__tags", "__share", "__new"))
+        rows = write(rows, len(rounds))
+        rounds.append(rows.where("__i is null"))
+    return reduce(DataFrame.unionByName, rounds).drop("__seen", "__i")
 
 
 def without_markers(text: Column) -> Column:
-    return trim(F.regexp_replace(F.regexp_replace(text, rf"\s+(?:{RESIDUAL})\s+", " "), RESIDUAL, ""))
+    rest = F.regexp_replace(F.regexp_replace(text, rf"\s+(?:{RESIDUAL})\s+", " "), RESIDUAL, "")
+    return trim(F.when(text.contains("⟦") | text.contains("⟧"), rest).otherwise(text))
 
 
 def close_quotes(parts: Column, quotes: tuple[str, str]) -> Column:
@@ -442,11 +618,11 @@ def split_units(units: DataFrame, rules: Rules | None = None, terms: str | None
     parts, one for each source, and method. terms names a column of glossary terms. A null text is empty."""
     rules = rules or Rules()
     c, known = F.col, F.col(terms) if terms else None
-    rows = units.withColumn("__guard", ~F.exists("sources", lambda s: checks.bracket_profile(s)["crossing"]))
+    rows = units.withColumn("__guard", ~F.exists("sources", lambda s: s.rlike(checks.BRACKET) & checks.bracket_profile(s)["crossing"]))
     rows = split_rows(rows, F.coalesce("text", F.lit("")), c("sources"), c("markers"), c("__guard"), rules, known)
     rows = rows.withColumns({"parts": E.place_punctuation(F.transform("__parts", without_markers)), "method": method_of(c("__tags"))}).drop("__parts", "__tags")
     rows = repair_empty(settled(rows), c("__guard"), rules, known).drop("__guard")
-    return settled(rows.withColumn("parts", close_quotes(c("parts"), rules.quotes)) if rules.quotes else rows)
+    return settled(rows.withColumn("parts", close_quotes(c("parts"), rules.quotes))) if rules.quotes else rows
 
 
 def marked_units(segments: DataFrame) -> DataFrame:
@@ -458,10 +634,10 @@ def marked_units(segments: DataFrame) -> DataFrame:
     marker = F.when(F.col("marked"), F.concat(F.col("cue_id").cast("string"), F.when(several, F.concat(F.lit("."), per)).otherwise("")))
     rows = segments.withColumn("__marker", marker)
     part = F.struct("pos", F.coalesce("text", F.lit("")).alias("text"), F.col("__marker").alias("marker"), "cue_id", "turn", "music")
-    units = rows.groupBy("doc_id", F.col("group").alias("unit")).agg(F.array_sort(F.collect_list(part)).alias("__s"))
+    units = rows.groupBy("doc_id", "group").agg(F.array_sort(F.collect_list(part)).alias("__s"))
     tagged = F.transform("__s", lambda s: F.when(s["marker"].isNull(), s["text"]).otherwise(F.concat(F.lit("⟦c"), s["marker"], F.lit("⟧"), s["text"])))
     names = {"sources": "text", "markers": "marker", "cues": "cue_id", "turns": "turn"}
-    return units.select("doc_id", "unit", *(F.col(f"__s.{field}").alias(name) for name, field in names.items()), F.exists("__s", lambda s: s["music"]).alias("music"), F.btrim(F.array_join(tagged, " ")).alias("ask"))
+    return units.select("doc_id", F.col("group").alias("unit"), *(F.col(f"__s.{field}").alias(name) for name, field in names.items()), F.exists("__s", lambda s: s["music"]).alias("music"), F.btrim(F.array_join(tagged, " ")).alias("ask"))
 
 
 def restored_cues(cues: DataFrame, split: DataFrame) -> DataFrame:

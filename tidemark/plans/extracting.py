@@ -134,7 +134,7 @@ def turn_units(spark, sf_dir):
     """Conversations in units of three turns; the turns' own texts, with a marker before some, stand for a translation."""
     rows = cue_rows(spark, sf_dir).withColumnsRenamed({"pos": "cue_id"}).withColumns({"pos": F.col("cue_id"), "turn": F.lit(0), "group": F.floor(F.col("cue_id") / 3), "music": F.lit(False), "marked": F.col("cue_id") % 5 == 2})
     units = R.marked_units(rows)
-    return units.withColumn("text", F.lower("ask"))
+    return units.withColumn("text", F.lower("ask")).drop("ask", "music")
 
 
 @query(None)
