@@ -632,7 +632,8 @@ def marked_units(segments: DataFrame) -> DataFrame:
     per = F.row_number().over(W.partitionBy("doc_id", "group", "cue_id", "marked").orderBy("pos"))
     several = F.count("*").over(W.partitionBy("doc_id", "group", "cue_id", "marked")) > 1
     marker = F.when(F.col("marked"), F.concat(F.col("cue_id").cast("string"), F.when(several, F.concat(F.lit("."), per)).otherwise("")))
-    rows = segments.withColumn("__marker", marker)
+    # Dealt out by unit once; the windows lie within units.
+    rows = segments.repartition("doc_id", "group").withColumn("__marker", marker)
     part = F.struct("pos", F.coalesce("text", F.lit("")).alias("text"), F.col("__marker").alias("marker"), "cue_id", "turn", "music")
     units = rows.groupBy("doc_id", "group").agg(F.array_sort(F.collect_list(part)).alias("__s"))
     tagged = F.transform("__s", lambda s: F.when(s["marker"].isNull(), s["text"]).otherwise(F.concat(F.lit("⟦c"), s["marker"], F.lit("⟧"), s["text"])))
