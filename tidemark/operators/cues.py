@@ -17,6 +17,8 @@ from tidemark.functions import text as T
 
 SENTENCE_END = r"[.!?。！？…♪]['\"”’»)\]]*\s*$"
 OPEN_END = r"[,，、;；:：—–-]\s*$"
+#: Bytes of a glossary that is broadcast, what a row has besides its strings, and bits of the bitmap of a larger one.
+BROADCAST_BYTES, ROW_BYTES, BITS = 8 << 20, 64, 1 << 27
 
 
 def doc_order() -> W:
@@ -224,16 +226,36 @@ def name_runs(docs: DataFrame, least: int = 2) -> DataFrame:
     return runs.groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def glossary_hits(docs: DataFrame, terms: DataFrame, most_words: int | None = None) -> DataFrame:
+def glossary_hits(docs: DataFrame, terms: DataFrame, most_words: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, term, n: the terms (term) that stand in a text between word edges. Texts' n-grams, of up to as many words
-    as the longest term has, meet the terms in an equi-join, so the glossary may be of any size."""
+    as the longest term has, meet the terms in an equi-join. Terms of up to broadcast_bytes, which are counted first, go to
+    the texts; of a larger glossary a bitmap of hashes does, and only grams that it has are shuffled."""
     most_words = most_words or terms.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}']+)"), 1)
-    rows = docs.select("doc_id", words.alias("w"))
-    grams = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
-    exploded = rows.select("doc_id", F.explode(F.concat(*(grams(n) for n in range(1, most_words + 1)))).alias("key"))
+    # Each word with those that follow it, null beyond the end.
+    names = [f"w{i}" for i in range(most_words)]
+    rows = docs.select("doc_id", words.alias("w0")).withColumns({name: F.slice("w0", i + 1, F.greatest(F.size("w0") - i, F.lit(0))) for i, name in enumerate(names)})
+    rows = rows.select("doc_id", F.explode(F.arrays_zip(*names)).alias("w")).select("doc_id", "w.*")
     keyed = terms.select(F.lower("term").alias("key"), "term").dropDuplicates(["key"])
-    return exploded.join(keyed, "key").groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    grams = F.array(*(F.concat(*(part for name in names[: n + 1] for part in (F.lit(" "), F.col(name)))) for n in range(most_words)))
+    keys = lambda found: found.select("doc_id", F.explode(F.transform(grams, lambda g: F.substr(g, F.lit(2)))).alias("key")).where("key is not null")
+    if (keyed.agg(F.sum(F.octet_length("key") + F.octet_length("term") + ROW_BYTES)).first()[0] or 0) <= broadcast_bytes:
+        starts = keyed.select(F.element_at(F.split("key", " "), 1).alias("w0")).distinct()
+        hits = keys(rows.join(F.broadcast(starts), "w0", "left_semi")).join(F.broadcast(keyed), "key")
+    else:
+        hits = in_bitmap(keys(rows), keyed, "key").join(keyed.hint("merge"), "key")
+    return hits.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+
+
+def in_bitmap(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows but for most whose key is none of keys: those whose hash has no bit in a bitmap of the hashes of keys, which is
+    broadcast and has a fixed size, however many keys there are."""
+    slot = F.pmod(F.xxhash64(key), F.lit(BITS))
+    maps = keys.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("__bits"))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("__bits", (at / 8 + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("__bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(maps), "__bucket")
+    return found.where(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0).drop("__bucket", "__bits")
 
 
 def sibling_contrast(rows: DataFrame, key: str, share: str) -> DataFrame:
