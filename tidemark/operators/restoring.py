@@ -117,13 +117,22 @@ class Laid:
         # Of no class of signs, words or blanks are characters beyond the first plane.
         self.codes = np.minimum(np.frombuffer(self.all.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), 0xFFFF)
 
-    def spans(self, pattern: str, but_after: str = "") -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends, but for matches right after one of some characters. As in Java, blanks and cases are ASCII's."""
-        found = re.compile(pattern, re.ASCII).finditer(self.all)
-        found = [m.span() for m in found if self.all[m.start() - 1] not in but_after] if but_after else [m.span() for m in found]
-        at = np.array(found, dtype=np.int64).reshape(-1, 2)
+    def spans(self, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends. As in Java, blanks and cases are ASCII's."""
+        at = np.array([m.span() for m in re.compile(pattern, re.ASCII).finditer(self.all)], dtype=np.int64).reshape(-1, 2)
         return at[:, 0], at[:, 1]
 
+    def sign_spans(self, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of a pattern that takes in only characters it names: it is looked for in stretches of these."""
+        at = np.flatnonzero(self.among(pattern))
+        apart = np.flatnonzero(np.diff(at) > 1) + 1
+        stretches, place = np.insert(self.codes[at], apart, 0).tobytes().decode("utf-32-le"), np.insert(at, apart, 0)
+        found = np.array([m.span() for m in re.finditer(pattern, stretches)], dtype=np.int64).reshape(-1, 2)
+        return place[found[:, 0]], place[found[:, 1] - 1] + 1
+
+    def not_after(self, chars: str, start: np.ndarray) -> np.ndarray:
+        return ~self.among(chars)[start - 1]
+
     def among(self, chars: str) -> np.ndarray:
         table = np.zeros(0x10000, dtype=bool)
         table[[ord(c) for c in chars]] = True
@@ -200,14 +209,14 @@ def places_in(laid: Laid, protected: pa.Array, weights: pa.Array, clause_spaces:
     free = lambda at: at >= end[np.searchsorted(start, at) - 1]
     kept = lambda at, row: laid.lists(row[free(at)], at[free(at)])
 
-    def ends(pattern: str) -> pa.Array:
-        low, high = laid.spans(pattern, E.NO_LINE_END)
-        return kept(high, laid.row(low))
+    def ends(low: np.ndarray, high: np.ndarray) -> pa.Array:
+        own = laid.not_after(E.NO_LINE_END, low)
+        return kept(high[own], laid.row(low[own]))
 
     signs = {f"{kind}{i}": p for kind, (_, patterns) in G.SIGNS.items() for i, p in enumerate(patterns)} | {"strong": G.STRONG, "weak": G.WEAK}
-    out = {name: ends(p) for name, p in signs.items()}
-    out["clauses"] = ends(CLAUSE_SPACE if clause_spaces else "(?!)")
-    lefts, _ = laid.spans(G.LEFT)
+    out = {name: ends(*laid.sign_spans(p)) for name, p in signs.items()}
+    out["clauses"] = ends(*laid.spans(CLAUSE_SPACE if clause_spaces else "(?!)"))
+    lefts, _ = laid.sign_spans(G.LEFT)
     low, high = runs(laid.among(BREAKS + BLANKS))
     out |= {"lefts": kept(lefts, laid.row(lefts)), "breaks": kept(high, laid.row(low))}
     low, high = runs(laid.among(BLANKS))
@@ -515,8 +524,8 @@ def split_rows(rows: DataFrame, text: Column, sources: Column, markers: Column,
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     named = {"__text": text, "__sources": sources, "__markers": markers}
     rows = rows.withColumns(named)
-    rows = rows.withColumn("__facts", facts_at_once(c("__text"), guard & c("__text").rlike(checks.BRACKET), terms, rules))
-    rows = rows.withColumns({"__n": F.length("__text")})
+    rows = rows.withColumns({"__n": F.length("__text"), "__bracketed": c("__text").rlike(checks.BRACKET)})
+    rows = rows.withColumn("__facts", facts_at_once(c("__text"), c("__bracketed") & guard, terms, rules))
     f = {name: c("__facts")[name] for name in ("spans", "protected", *NAMES)} | {"n": c("__n")}
     rows = rows.withColumn("__lengths", F.transform("__sources", lambda s: T.weighted_length(s).cast("double")))
     rows = rows.withColumns({"__expected": expected_places(f, c("__lengths")), "__kinds": F.transform(F.slice("__sources", 1, F.size("__sources") - 1), G.boundary)})
@@ -529,10 +538,10 @@ def split_rows(rows: DataFrame, text: Column, sources: Column, markers: Column,
     request = lambda x, i: F.struct(F.get(c("__kinds"), i).alias("kind"), x.alias("expected"), whole(F.get(c("__fixed"), i)).alias("anchor"), whole(F.get(c("__marked"), i)).alias("marker"), (f["n"] - (F.size("__sources") - 1 - i)).alias("ceiling"))
     rows = rows.withColumn("__found", resolve(f, F.transform("__refined", request), rules.clause_spaces)).withColumn("__tags", c("__found")["tags"])
     rows = rows.withColumn("__cuts", rebalance(f, c("__lengths"), c("__found")["cuts"], c("__tags")))
-    rows = rows.withColumn("__cuts", align_to_brackets(c("__text"), f, c("__sources"), c("__cuts"), c("__tags")))
+    rows = rows.withColumn("__cuts", F.when(c("__bracketed"), align_to_brackets(c("__text"), f, c("__sources"), c("__cuts"), c("__tags"))).otherwise(c("__cuts")))
     rows = rows.withColumn("__cuts", snap_forward(c("__text"), f, c("__cuts"), c("__tags")))
     rows = rows.withColumn("__parts", F.when(F.size("__sources") == 1, F.array(trim(c("__text")))).otherwise(cut_text(c("__text"), c("__cuts"))))
-    return rows.drop(*named, "__facts", "__n", "__lengths", "__expected", "__kinds", "__marked", "__signs", "__fixed", "__refined", "__found", "__cuts")
+    return rows.drop(*named, "__facts", "__n", "__bracketed", "__lengths", "__expected", "__kinds", "__marked", "__signs", "__fixed", "__refined", "__found", "__cuts")
 
 
 def has_content(text: Column) -> Column:
@@ -618,10 +627,10 @@ def split_units(units: DataFrame, rules: Rules | None = None, terms: str | None
     parts, one for each source, and method. terms names a column of glossary terms. A null text is empty."""
     rules = rules or Rules()
     c, known = F.col, F.col(terms) if terms else None
-    rows = units.withColumn("__guard", ~F.exists("sources", lambda s: s.rlike(checks.BRACKET) & checks.bracket_profile(s)["crossing"]))
-    rows = split_rows(rows, F.coalesce("text", F.lit("")), c("sources"), c("markers"), c("__guard"), rules, known)
+    guard = ~F.exists("sources", lambda s: s.rlike(checks.BRACKET) & checks.bracket_profile(s)["crossing"])
+    rows = split_rows(units, F.coalesce("text", F.lit("")), c("sources"), c("markers"), guard, rules, known)
     rows = rows.withColumns({"parts": E.place_punctuation(F.transform("__parts", without_markers)), "method": method_of(c("__tags"))}).drop("__parts", "__tags")
-    rows = repair_empty(settled(rows), c("__guard"), rules, known).drop("__guard")
+    rows = repair_empty(settled(rows), guard, rules, known)
     return settled(rows.withColumn("parts", close_quotes(c("parts"), rules.quotes))) if rules.quotes else rows
 
 
