@@ -660,8 +660,9 @@ def restored_cues(cues: DataFrame, split: DataFrame) -> DataFrame:
     lines = cues.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).select("doc_id", trim(F.regexp_replace("line", T.STYLE_TAG, "")).alias("line")).where("line LIKE '-%'")
     spaced = F.avg(F.when(c("line").startswith("- "), 1.0).otherwise(0.0))
     style = lines.groupBy("doc_id").agg(F.when(spaced >= 2 / 3, "- ").otherwise("-").alias("dash"))
-    turns = F.size(E.turns(F.coalesce("text", F.lit(""))))
+    # Cues get what is known of their documents and texts first: a text is shuffled only if it is asked for, and parts once.
+    known = cues.select("doc_id", "pos", "text", F.size(E.turns(F.coalesce("text", F.lit("")))).alias("turns")).join(style, "doc_id", "left")
     dashed = F.transform("said", lambda s: F.concat(F.coalesce("dash", F.lit("-")), F.regexp_replace(s["part"], "^[- ]+", "")))
-    whole_ = (F.size("said") >= turns) & ~F.exists("said", lambda s: s["part"].isNull())
+    whole_ = (F.size("said") >= c("turns")) & ~F.exists("said", lambda s: s["part"].isNull())
     said = F.when(whole_, F.when(F.size("said") > 1, F.array_join(dashed, " ")).otherwise(c("said")[0]["part"]))
-    return cues.select("doc_id", "pos", "text").join(held, ["doc_id", "pos"], "left").join(style, "doc_id", "left").select("doc_id", "pos", "text", said.alias("translation"))
+    return known.join(held, ["doc_id", "pos"], "left").select("doc_id", "pos", "text", said.alias("translation"))
